@@ -7,15 +7,7 @@ import importlib
 #: query name -> (module, SQL constant or None)
 MODULES = {
     "op1_line_dedup": ("line_dedup", "OP1_SQL"),
-    "op2_token_counts": ("tokens", None),
-    "op3_sentencepiece": ("tokens", None),
-    "op4_html_extraction": ("html_text", None),
-    "op5_mixing": ("mixing", "OP5_SQL"),
-    "op6_embedding_dedup": ("embedding_dedup", "OP6_SQL"),
-    "op7_secret_scan": ("secrets", None),
     "op8_simhash": ("simhash", None),
-    "op9_substring_dedup": ("substring_dedup", "OP9_SQL"),
-    "op10_quality_rules": ("quality", None),
 }
 
 
