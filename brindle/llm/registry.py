@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_line_dedup": ("line_dedup", "OP1_SQL"),
     "op5_mixing": ("mixing", "OP5_SQL"),
+    "op6_embedding_dedup": ("embedding_dedup", None),
     "op7_secret_scan": ("secrets", None),
     "op8_simhash": ("simhash", None),
     "op9_substring_dedup": ("substring_dedup", "OP9_SQL"),
