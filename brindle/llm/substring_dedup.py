@@ -165,6 +165,35 @@ def _scan(window: int):
     return scan
 
 
+def _parts(window: int, run: int = 11):
+    """Pieces cut to parts of at most `run` windows. Places are counted from the anchor's gram, so that equal windows
+    fall into parts alike; core is the words that all windows of a part have, (core_a, core_b) their hash."""
+    fields = [("core_a", pa.int64()), ("core_b", pa.int64()), ("part", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.list_(pa.int64()))]
+
+    @F.arrow_udf("array<struct<core_a:long,core_b:long,part:long,start:int,stop:int,words:array<long>>>")
+    def parts(anchors: pa.Array, starts: pa.Array, sequences: pa.Array) -> pa.Array:
+        out = []
+        for anchor, start, seq in zip(anchors.to_pylist(), starts.to_pylist(), sequences.to_pylist(), strict=True):
+            words = np.array(seq, dtype=np.int64).view(np.uint64)
+            at = np.arange(len(words) - GRAM + 1)
+            gram = int(np.flatnonzero(span_hash(words, at, at + GRAM).view(np.int64) == anchor)[0])
+            first = np.arange(len(words) - window + 1)
+            group = (gram - first) // run
+            low = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            high = np.r_[low[1:], len(first)] - 1
+            # a part at the end of a piece has fewer windows; its core is still the one of the whole part
+            core_low, core_high = gram - group[low] * run, gram - (group[low] + 1) * run + 1 + window
+            a, b = (span_hash(words, core_low, core_high, k).view(np.int64).tolist() for k in (0, 1))
+            whole = span_hash(words, low, high + window, 1).view(np.int64).tolist()
+            out.append([
+                {"core_a": x, "core_b": y, "part": w, "start": start + i, "stop": start + j + window, "words": seq[i : j + window]}
+                for x, y, w, i, j in zip(a, b, whole, low.tolist(), high.tolist(), strict=True)
+            ])
+        return pa.array(out, pa.list_(pa.struct(fields)))
+
+    return parts
+
+
 def _windows(window: int):
     @F.arrow_udf("array<struct<a:long,b:long,start:int>>")
     def windows(starts: pa.Array, sequences: pa.Array) -> pa.Array:
@@ -206,7 +235,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, shard: int = 256) -> DataF
        all of it is repeated.
     3. Pieces of an anchor that has different pieces in several documents (the edges of shared passages and near
        copies) are a reference shard: one occurrence of each goes through the shard's suffix automaton.
-    4. Shards of over `shard` different pieces would be unbounded: their windows are aggregated by 128-bit hash.
+    4. Shards of over `shard` different pieces would be unbounded: they are cut to parts and windows, which are
+       aggregated by 128-bit hash.
     """
     rows = docs.where("doc_id is not null").select("doc_id", F.inline(_pieces(window)(F.col("text").cast("binary"))))
     rows = written(rows, "pieces")
@@ -227,15 +257,26 @@ def repeated_spans(docs: DataFrame, window: int = 50, shard: int = 256) -> DataF
         held.where("not crowded").select("anchor", "doc_id", "start", "words").repartition("anchor")
         .sortWithinPartitions(*order).mapInArrow(_scan(window), "doc_id long, start int, stop int")
     )
-    hashed = held.where("crowded").select("doc_id", F.inline(_windows(window)(F.col("start"), F.col("words"))))
-    hashed = written(hashed, "windows")
+    # Crowded pieces differ mostly at one end: parts whose common words no other document has drop out, equal parts
+    # shrink to one, and of the rest the windows are compared.
+    cut = F.inline(_parts(window)(F.col("anchor"), F.col("start"), F.col("words")))
+    parts = written(held.where("crowded").select("doc_id", cut), "parts")
+    part = parts.groupBy("core_a", "core_b", "part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    part = written(part, "part")
+    core = part.groupBy("core_a", "core_b").agg(F.count("*").alias("n"), F.min("first").alias("low"), F.max("last").alias("high"))
+    shared = part.join(core.where("low < high"), ["core_a", "core_b"]).where("n > 1 or first < last")
+    shared = shared.select("core_a", "core_b", "part", "first", "n")
+    met = written(parts.join(shared, ["core_a", "core_b", "part"]), "met_parts")
+    whole = whole.union(met.where("first < doc_id").select("doc_id", "start", "stop"))
+    last = met.where("first = doc_id and n > 1")
+    hashed = written(last.select("doc_id", F.inline(_windows(window)(F.col("start"), F.col("words")))), "windows")
     twice = hashed.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     crowd = hashed.join(twice.select("a", "b", "low"), ["a", "b"]).where("low < doc_id")
     crowd = crowd.select("doc_id", "start", (F.col("start") + window).alias("stop"))
     return whole.union(found).union(crowd)
 
 
-def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 50, shard: int = 256) -> DataFrame:
     """docs with text cut to the words that stay, joined by one space, plus n_words and n_removed.
 
     A word goes if a window of `window` words that covers it has the same words as one that starts in a document of a
@@ -245,7 +286,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     prepare(docs.sparkSession)
     docs = without(docs, "n_words", "n_removed")
-    spans = repeated_spans(docs, window).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("_cut"))
+    spans = repeated_spans(docs, window, shard).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("_cut"))
     out = docs.join(spans, "doc_id", "left").withColumn("_kept", _keep()(F.col("text").cast("binary"), F.col("_cut")))
     names = [F.col("_kept.text").alias(c) if c == "text" else F.col(c) for c in docs.columns]
     return out.select(*names, "_kept.n_words", "_kept.n_removed")
