@@ -1 +1,11 @@
-"""brindle.plans"""
+"""Queries of the inspection operators over the test tables, and their SQL."""
+
+from brindle.plans import catalog, detection  # noqa: F401
+
+
+def queries() -> dict:
+    return dict(catalog.QUERIES)
+
+
+def oracle_sql() -> dict:
+    return dict(catalog.SQL)
