@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.tables import saved
+
 POLICY = (
     "policy_id string, version string, enabled boolean, url string, model string, phase string, subject_kind string, "
     "subject string, detectors array<string>, deadline_ms bigint, on_detected string, on_clean string, on_error string, "
@@ -51,12 +53,12 @@ def override_cycles(policies: DataFrame) -> DataFrame:
     Reachability by doubling: paths of up to 1, 2, 4, ... overrides, until no new pair comes. (A recursive query knows
     UNION ALL only, which does not end on a cycle.) The pairs are those of a policy table, not of traffic.
     """
-    reach = policies.select(F.col("policy_id").alias("src"), F.explode("overrides").alias("dst")).distinct()
+    reach = saved(policies.select(F.col("policy_id").alias("src"), F.explode("overrides").alias("dst")).distinct(), "reach")
     known = -1
     while (n := reach.count()) != known:
         known = n
         longer = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        reach = reach.union(longer).distinct()
+        reach = saved(reach.union(longer).distinct(), "reach")
     return reach.where("src = dst").agg(F.min("src").alias("policy_id")).where("policy_id is not null")
 
 

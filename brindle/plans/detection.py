@@ -44,7 +44,7 @@ def d4_ipv4_values(spark, sf_dir):
 
 @query(r"""
 WITH runs AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9!#$%&''*+/=?^_`{|}~.-]+@[A-Za-z0-9-]+( ?\. ?[A-Za-z0-9-]+)+([^A-Za-z0-9.-]|$)')) AS m FROM documents)
+  SELECT doc_id, unnest(regexp_extract_all(text, '(^|[^A-Za-z0-9!#$%&''*+/=?^_`{|}~. -]|[^!#$%&''*+/=?^_`{|}~. -] +)[A-Za-z0-9!#$%&''*+/=?^_`{|}~.-]+@[A-Za-z0-9-]+( ?\. ?[A-Za-z0-9-]+)+([^A-Za-z0-9.-]|$)')) AS m FROM documents)
 SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id
 """)
 def d1_email_documents(spark, sf_dir):
