@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import functools
 import re
 
@@ -75,6 +76,21 @@ class Vocabulary:
             else:
                 self.surface.append(p.piece.replace(SPACE, " ").encode())
 
+        sizes = np.array([len(x) for x in self.surface], dtype=np.int64)
+        self._size, self._start = sizes, np.cumsum(sizes) - sizes
+        self._bytes = np.frombuffer(b"".join(self.surface), dtype=np.uint8)
+
+    def join(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(surfaces of the ids laid end to end, where each ends), in parts of bounded size."""
+        ends = np.cumsum(self._size[ids])
+        parts = []
+        for k in range(0, len(ids), 1 << 18):
+            part = ids[k : k + (1 << 18)]
+            n = self._size[part]
+            first = np.repeat(self._start[part] - (np.cumsum(n) - n), n)
+            parts.append(self._bytes[first + np.arange(len(first))].tobytes())
+        return b"".join(parts), ends
+
     def prepare(self, text: str) -> str:
         return self.prefix + text.replace(" ", SPACE) if text else ""
 
@@ -167,16 +183,20 @@ class Vocabulary:
 
 
 class Memo(dict):
-    """Results of chunks that come again and again; emptied when full."""
+    """Results of chunks that come again and again, in two generations of at most `most` chunks: when the young one is
+    full it becomes the old one, so that chunks in use stay."""
 
-    def __init__(self, solve, most: int = 200_000, longest: int = 64):
+    def __init__(self, solve, most: int = 250_000, longest: int = 64):
         super().__init__()
-        self.solve, self.most, self.longest = solve, most, longest
+        self.solve, self.most, self.longest, self.old = solve, most, longest, {}
 
     def __missing__(self, chunk: str):
-        out = self.solve(chunk)
+        out = self.old.get(chunk)
+        if out is None:
+            out = self.solve(chunk)
         if len(chunk) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = out
         return out
@@ -185,7 +205,7 @@ class Memo(dict):
 @functools.lru_cache(maxsize=2)
 def _loaded(model: bytes) -> tuple[Vocabulary, Memo, Memo]:
     v = Vocabulary(model)
-    return v, Memo(v.count), Memo(lambda c: np.array(v.solve(c), dtype=np.int32).tobytes())
+    return v, Memo(v.count), Memo(lambda c: array.array("i", v.solve(c)).tobytes())
 
 
 def _model(spark, path: str):
@@ -245,10 +265,16 @@ def decode(df: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "decod
     @F.arrow_udf("string")
     def decoded(lists: pa.Array) -> pa.Array:
         vocabulary, _, _ = _loaded(sent.value)
+        if not len(lists):
+            return pa.array([], pa.string())
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        each = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        text, ends = vocabulary.join(flat)
+        cuts = np.r_[0, ends][np.r_[0, np.cumsum(each)]].tolist()
         out = []
-        for one in lists.to_pylist():
-            text = b"".join(map(vocabulary.surface.__getitem__, one or ())).decode("utf-8", "replace")
-            out.append(text[1:] if vocabulary.prefix and text.startswith(" ") else text)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            one = text[a:b].decode("utf-8", "replace")
+            out.append(one[1:] if vocabulary.prefix and one.startswith(" ") else one)
         return pa.array(out, pa.string())
 
     found = df.withColumn("_text", decoded(F.col(ids)))
