@@ -194,9 +194,9 @@ def article(root: Node) -> Node:
     if around:
         return around[-1]
     least = min((n.density for n in path if n.tag not in ("#root", "html")), default=0.0)
-    top = path
+    top, ancestors = path, set(map(id, path[1:]))
     for node in order:
-        if node.chars and node.density >= least and node.tag in BLOCK and node.total >= least and node.link_chars * 2 < node.chars:
+        if id(node) not in ancestors and node.chars and node.density >= least and node.tag in BLOCK and node.total >= least and node.link_chars * 2 < node.chars:
             own = set(map(id, _path(node)))
             top = [n for n in top if id(n) in own] or top
     return top[0]
