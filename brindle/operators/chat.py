@@ -175,10 +175,10 @@ def schema_text(df: DataFrame, keys: list[str], schema: str, depth: int = 128) -
     found = None
     for _ in range(depth):
         level.createOrReplaceTempView("_schema_level")
-        cols = ", ".join(keys)
+        cols = ", ".join(f"s.{k}" for k in keys)
         step = df.sparkSession.sql(
-            f"SELECT {cols}, concat(path, '/', coalesce(e.key, cast(e.pos AS string))) AS path, coalesce(e.key, key) AS key, "
-            "key AS above, e.value AS v FROM _schema_level, LATERAL variant_explode(v) AS e"
+            f"SELECT {cols}, concat(s.path, '/', coalesce(e.key, cast(e.pos AS string))) AS path, coalesce(e.key, s.key) AS key, "
+            "s.key AS above, e.value AS v FROM _schema_level s, LATERAL variant_explode(s.v) AS e"
         )
         value = F.try_variant_get("v", "$", "string")
         kind = F.schema_of_variant("v")

@@ -126,7 +126,7 @@ def annotate_url_hosts(df: DataFrame, text: str, start: str, end: str) -> DataFr
     host = F.coalesce(F.try_parse_url(value, F.lit("HOST")), F.nullif(F.regexp_extract(value, r"\A((?:[0-9]{1,3}\.){3}[0-9]{1,3}):[0-9]{1,5}\z", 1), F.lit("")))
     bare = F.regexp_replace(host, r"[\[\]]", "")
     ok = F.size(F.filter(FINDERS["IP_ADDRESS"](bare), lambda f: (f["start_utf8"] == 0) & (f["end_utf8"] == F.octet_length(bare)))) > 0
-    at = F.when(ok, F.col(start) + F.octet_length(F.substring_index(value, bare, 1)))
+    at = F.when(ok, F.col(start) + F.octet_length(F.left(value, F.call_function("locate", bare, value) - 1)))
     return df.withColumn("host_start", at).withColumn("host_end", at + F.octet_length(bare))
 
 
