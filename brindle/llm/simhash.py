@@ -8,10 +8,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import components, prepare, written
+from brindle.llm.common import components, prepare, span_hash, word_hashes, written
 from brindle.llm.groups import cells, near_pairs, stars, whole_groups
 
 
@@ -103,10 +103,138 @@ def simhash_groups(docs: DataFrame, words: int = 4, distance: int = 4, chunk: in
     return sig.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
-    """docs with one document of each group: that of the smallest doc_id. Of repeated rows of it one stays; rows of null
-    doc_id stay only if no other row shares their group, one for each fingerprint."""
-    groups = simhash_groups(docs, words, distance)
+def word_set_fingerprint(text: bytes | None) -> int:
+    """As fingerprint, over the set of words: it moves little when single words of a text change."""
+    words = set((text or b"").lower().split())
+    if not words:
+        return 0
+    bits = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], dtype=">u8").view(np.uint8).reshape(-1, 8)
+    ones = np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(words)).tobytes(), "big", signed=True)
+
+
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """Sorted hashes of the word shingles of a lower-cased text (fewer words: of the whole sequence; none: empty)."""
+    hashes, _, _ = word_hashes((text or b"").lower())
+    if not len(hashes):
+        return hashes
+    at = np.arange(max(1, len(hashes) - words + 1))
+    return np.unique(span_hash(hashes, at, np.minimum(at + words, len(hashes))))
+
+
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    both = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype=">i8")
+    return int(both[0]), int(both[1])
+
+
+def _marks(words: int):
+    @F.arrow_udf("struct<fp:long,h1:long,h2:long>")
+    def marks(texts: pa.Array) -> pa.Array:
+        rows = [(word_set_fingerprint(t), *_digest(shingle_set(t, words))) for t in texts.to_pylist()]
+        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["fp", "h1", "h2"])
+
+    return marks
+
+
+def _shingles(words: int):
+    @F.arrow_udf("struct<h1:long,h2:long,shingles:array<long>>")
+    def shingles(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(t, words) for t in texts.to_pylist()]
+        h = [_digest(x) for x in sets]
+        lists = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in h], pa.int64()), pa.array([y for _, y in h], pa.int64()), lists], names=["h1", "h2", "shingles"])
+
+    return shingles
+
+
+def midpoint_keys(fp: Column, blocks: int = 3) -> Column:
+    """array<struct<table, key>>: each block of the fingerprint as it is and with one bit turned.
+
+    Of 3 * blocks - 1 differing bits at most two lie in some block, so that two such fingerprints have a value there
+    that is one bit from both: they share a key.
+    """
+    cut = [round(64 * i / blocks) for i in range(blocks + 1)]
+    out = []
+    for k, (a, b) in enumerate(itertools.pairwise(cut)):
+        block = F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+        for turn in [0, *(1 << i for i in range(b - a))]:
+            out.append(F.struct(F.lit(k).alias("table"), block.bitwiseXOR(F.lit(turn).cast("long")).alias("key")))
+    return F.array(*out)
+
+
+def _similar(distance: int, similarity: float):
+    names = ["group", "cell_a", "cell_b"]
+
+    def similar(batches):
+        for table, group in whole_groups(batches, names, 2048):
+            rep, fp = table.column("rep").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+            a, b, part = (table.column(c).to_numpy() for c in ("cell_a", "cell_b", "part"))
+            i, j = near_pairs(group, a == b, part, lambda i, j, fp=fp: np.bitwise_count(fp[i] ^ fp[j]) <= distance)
+            if not len(i):
+                continue
+            lists = table.column("shingles").combine_chunks()
+            flat, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            root = list(range(len(rep)))
+
+            def find(k: int, root=root) -> int:
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                p, q = find(x), find(y)
+                if p == q:  # joined already
+                    continue
+                s, t = flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]]
+                low, high = sorted((len(s), len(t)))
+                if low < similarity * high:
+                    continue
+                both = low + high - len(np.unique(np.concatenate([s, t])))
+                if both >= similarity * (low + high - both):
+                    root[max(p, q)] = min(p, q)
+            ends = [(rep[k], rep[find(k)]) for k in range(len(rep)) if find(k) != k]
+            if ends:
+                x, y = zip(*ends, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    return similar
+
+
+def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, chunk: int = 512) -> DataFrame:
+    """(doc_id, component_id) of groups of documents whose word shingles have a Jaccard similarity of 0.8 or more.
+
+    Texts with equal shingles are one node. SimHash over the set of words brings candidates together: fingerprints
+    within 8 bits share a midpoint key of one of three blocks, and Hamming distances are verified. Within a group that
+    candidates form, pairs within 8 bits are compared by their shingles, exactly, in bounded cells. Null and empty
+    texts are copies of each other; rows of null doc_id follow the group of their text.
+    """
+    prepare(docs.sparkSession)
+    distance = 8
+    text = F.col("text").cast("binary")
+    sig = written(docs.select("doc_id", _marks(words)(text).alias("m")).select("doc_id", "m.*"), "marks")
+    texts = written(sig.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), "texts")
+    nodes = texts.where("rep is not null").groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n"))
+    nodes = written(nodes, "nodes")
+    keyed = nodes.select(F.explode(midpoint_keys(F.col("fp"))).alias("k"), "fp", "rep").select("k.table", "k.key", "fp", "rep")
+    close = components(cells(keyed, ["table", "key"], "rep", 2048).mapInArrow(_links(distance), "a long, b long"))
+    group = nodes.join(close.withColumnRenamed("node", "rep"), "rep", "left").where("component is not null or n > 1")
+    group = group.select("fp", F.coalesce("component", "rep").alias("group"))
+    members = written(texts.where("rep is not null").join(group, "fp").select("group", "fp", "rep", "h1", "h2"), "members")
+    wanted = members.withColumnRenamed("rep", "doc_id")
+    full = docs.select("doc_id", text.alias("text")).join(wanted.select("doc_id").distinct(), "doc_id")
+    full = full.select(F.col("doc_id").alias("rep"), _shingles(words)("text").alias("s")).select("rep", "s.*")
+    full = full.join(members, ["rep", "h1", "h2"]).dropDuplicates(["rep", "h1", "h2"]).select("group", "fp", "rep", "shingles")
+    found = components(cells(full, ["group"], "rep", chunk).mapInArrow(_similar(distance, similarity), "a long, b long"))
+    named = texts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    return sig.join(named, ["h1", "h2"]).select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group of near copies: that of the smallest doc_id. Of repeated rows of it one stays;
+    rows of null doc_id stay only if no other row shares their group, one for each text. An empty table gives an empty one."""
+    groups = near_copy_groups(docs, words, similarity)
     kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
 

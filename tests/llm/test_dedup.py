@@ -174,6 +174,53 @@ def test_one_document_of_a_group_stays(spark):
     assert simhash.drop_near_copies(docs_table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [4, 512])
+def test_near_copies_match_brute_force(spark, chunk):
+    rng = random.Random(9)
+    rows = [(i, t) for i, t in some_docs(4) if i is not None]
+    for i in range(60):
+        w = [rng.choice(WORDS) for _ in range(120)] if i % 12 == 0 else list(w)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        rows.append((300 + i, " ".join(w)))
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    links = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0:
+                root[find(a)] = find(b)
+                links += rows[a][1] != rows[b][1]
+    smallest = {}
+    for k, (i, _) in enumerate(rows):
+        smallest[find(k)] = min(i, smallest.get(find(k), i))
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_copy_groups(docs_table(spark, rows), chunk=chunk).collect())
+    assert links > 30 and got == sorted((i, smallest[find(k)]) for k, (i, _) in enumerate(rows))
+
+
+def test_midpoint_keys_catch_eight_bits(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), 8):
+            b ^= 1 << bit
+        rows.append((a - (1 << 63), b - (1 << 63)))
+    df = spark.createDataFrame(rows, "a long, b long")
+    both = F.arrays_overlap(simhash.midpoint_keys(F.col("a")), simhash.midpoint_keys(F.col("b")))
+    assert df.where(both).count() == 200
+
+
 def vectors(seed=0):
     rng = np.random.default_rng(seed)
     rows = []
