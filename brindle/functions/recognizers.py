@@ -84,7 +84,7 @@ def find_phone_ru(text: Column) -> Column:
         context = near(text, m["at"], F.length(m["m"]), 32, PHONE_WORDS)
         return F.when(plain, F.lit(FORMAT_ONLY)).when(context, F.lit(CONTEXTUAL))
 
-    return _found("PHONE_NUMBER", matches(text, PHONE), evidence)
+    return _found("PHONE_NUMBER", matches(text, PHONE, "[0-9]"), evidence)
 
 
 CARD = r"[0-9][0-9 \-]*+"
@@ -156,7 +156,7 @@ def find_iban(text: Column) -> Column:
         compact = F.upper(F.replace(m["m"], F.lit(" "), F.lit("")))
         return F.when(F.length(m["m"]) > 0, _if(ck.mod97(compact) == 1, VALIDATED))
 
-    return _found("IBAN", F.transform(matches(text, IBAN), exact), evidence)
+    return _found("IBAN", F.transform(matches(text, IBAN, "[A-Za-z]{2}[0-9]{2}"), exact), evidence)
 
 
 INN = r"(?<![0-9])[0-9]{12}(?![0-9])"
@@ -164,7 +164,7 @@ INN = r"(?<![0-9])[0-9]{12}(?![0-9])"
 
 def find_ru_inn(text: Column) -> Column:
     """Twelve digits, both check digits right."""
-    return _found("RU_INN", matches(text, INN), lambda m: _if(ck.inn_person(m["m"]), VALIDATED))
+    return _found("RU_INN", matches(text, INN, "[0-9]{12}"), lambda m: _if(ck.inn_person(m["m"]), VALIDATED))
 
 
 SNILS = (
@@ -181,7 +181,7 @@ def find_ru_snils(text: Column) -> Column:
         context = near(text, m["at"], F.length(m["m"]), 32, "снилс") & ~ck.one_digit_repeated(d)
         return F.when(F.substring(d, 1, 9) > "001001998", F.when(ck.snils(d), F.lit(VALIDATED)).when(context, F.lit(CONTEXTUAL)))
 
-    return _found("RU_SNILS", matches(text, SNILS), evidence)
+    return _found("RU_SNILS", matches(text, SNILS, "[0-9]{3}"), evidence)
 
 
 PASSPORT = r"(?<![0-9])(?:[0-9]{4} [0-9]{6}|[0-9]{2} [0-9]{2} [0-9]{6}|[0-9]{2}-[0-9]{2} [0-9]{6}|[0-9]{2} [0-9]{2} № [0-9]{6})(?![0-9])"
@@ -197,7 +197,7 @@ def find_ru_passport(text: Column) -> Column:
         both = near(text, m["at"], size, 64, "серия", _CYRILLIC) & near(text, m["at"], size, 64, "номер", _CYRILLIC)
         return _if(word | both, CONTEXTUAL)
 
-    return _found("RU_PASSPORT", matches(text, PASSPORT), evidence)
+    return _found("RU_PASSPORT", matches(text, PASSPORT, "[0-9]{6}"), evidence)
 
 
 OMS = r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}([ \-‐‑  ])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])"
@@ -213,7 +213,7 @@ def find_ru_oms(text: Column) -> Column:
         context = near(text, m["at"], F.length(m["m"]), 48, OMS_WORDS) & ~ck.one_digit_repeated(d)
         return F.when(ck.oms(d), F.lit(VALIDATED)).when(context, F.lit(CONTEXTUAL))
 
-    return _found("RU_OMS", matches(text, OMS), evidence)
+    return _found("RU_OMS", matches(text, OMS, "[0-9]{4}"), evidence)
 
 
 FINDERS = dict(zip(NAMES, (find_email, find_phone_ru, find_payment_card, find_ip, find_iban, find_ru_inn, find_ru_snils, find_ru_passport, find_ru_oms), strict=True))

@@ -18,14 +18,13 @@ def none_of(kind: str) -> Column:
     return F.array().cast(kind)
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, guard: str | None = None) -> Column:
     """array<struct<m, at, start_utf8, end_utf8>> of a pattern's matches: at is the 0-based code point, the others bytes.
 
-    The texts between matches and the matches are laid end to end in one fold, so nothing is searched twice. Texts
-    without a match skip the fold.
+    The texts between matches and the matches are laid end to end in one fold. Texts without a
+    match are searched once and skip the fold; with a guard, a cheap pattern that every match contains, most texts are
+    not searched at all.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("g"))
     kind = "array<struct<m:string,at:int,start_utf8:bigint,end_utf8:bigint>>"
 
     def step(acc: Column, x: Column) -> Column:
@@ -38,7 +37,14 @@ def matches(text: Column, pattern: str) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("byte"), none_of(kind).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(none_of(kind))
+
+    def laid(found: Column) -> Column:
+        parts = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("g"))
+        return F.when(F.size(found) > 0, F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(none_of(kind))
+
+    # an array of one binds the matches, which would be searched again at each mention
+    found = F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), laid)[0]
+    return F.when(text.rlike(guard), found).otherwise(none_of(kind)) if guard else found
 
 
 def _windows(text: Column, at: Column, size: Column, n: int) -> tuple[Column, Column]:

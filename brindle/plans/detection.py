@@ -153,14 +153,15 @@ def s16_iban_values(spark, sf_dir):
 
 
 def _all(spark, sf_dir):
-    parts = [_planted(spark, sf_dir, k) for k in NAMES]
+    ids = load(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("n"))
+    parts = [c.generate_planted(ids, k) for k in NAMES]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
     return out
 
 
-@query("SELECT t AS type, count(*) AS n FROM orders, (VALUES ('EMAIL_ADDRESS'), ('PHONE_NUMBER'), ('PAYMENT_CARD'), ('IP_ADDRESS'), ('IBAN'), ('RU_INN'), ('RU_SNILS'), ('RU_PASSPORT'), ('RU_OMS')) v(t) GROUP BY t")
+@query("SELECT t AS type, count(*) AS n FROM customer, (VALUES ('EMAIL_ADDRESS'), ('PHONE_NUMBER'), ('PAYMENT_CARD'), ('IP_ADDRESS'), ('IBAN'), ('RU_INN'), ('RU_SNILS'), ('RU_PASSPORT'), ('RU_OMS')) v(t) GROUP BY t")
 def d10_detect_all(spark, sf_dir):
     """All recognizers on planted texts find the planted span, whatever else they find in it."""
     found = d.detect_pii(_all(spark, sf_dir).withColumnRenamed("type", "gold"))
@@ -168,6 +169,13 @@ def d10_detect_all(spark, sf_dir):
     return found.where(hit).groupBy(F.col("gold").alias("type")).agg(F.count("*").alias("n"))
 
 
+@query()
+def d10_documents(spark, sf_dir):
+    """Findings of all types in documents, by type and language (single types have SQL of their own)."""
+    found = d.detect_pii(load(spark, sf_dir, "documents", "lang", "text"))
+    return d.findings_of(found, ["lang"]).groupBy("type", "lang").agg(F.count("*").alias("n"))
+
+
 @query("SELECT o_orderkey AS n, 'PAYMENT_CARD' AS first_type FROM orders")
 def d11_first_finding(spark, sf_dir):
     """The first finding is that of the first type, not the leftmost."""
