@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.functions.tables import saved, shared_path
+from brindle.functions.tables import shared_path
 from brindle.operators import chat as ch
 from brindle.plans.catalog import load, query
 from brindle.plans.detection import deltas
@@ -63,18 +63,13 @@ def s5_verified_files(spark, sf_dir):
     """Files written from documents against pins of their own lines; the pin of the English one is wrong, one file is gone."""
     d = load(spark, sf_dir, "documents", "lang").groupBy("lang").agg(F.count("*").alias("n"))
     path = shared_path(spark, "pins")
-    d.select("lang", F.concat_ws(":", "lang", "n").alias("value")).write.partitionBy("lang").text(path)
-    body = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "lang", F.concat("value", F.lit("\n")).alias("body"))
-    wrong = F.when(F.col("lang") == "en", "").otherwise(F.col("body"))
-    pins = body.select(F.col("lang"), "file", F.octet_length("body").cast("bigint").alias("size"), F.sha2(wrong, 256).alias("sha256"))
-    pins = saved(pins, "pin_table")
-    out = None
-    for lang in [r.lang for r in pins.select("lang").distinct().limit(16).collect()]:  # a folder each, as datasets come
-        gone = spark.range(1).select(F.lit("gone").alias("name"), F.lit(1).cast("bigint").alias("size"), F.lit("").alias("sha256"))
-        own = pins.where(F.col("lang") == lang).select(F.col("file").alias("name"), "size", "sha256").union(gone)
-        one = co.verify_files(spark, f"{path}/lang={lang}/*.txt", own)
-        out = one if out is None else out.union(one)
-    return out.select("verdict").distinct()
+    d.repartitionByRange(64, "lang").sortWithinPartitions("lang").select(F.concat_ws(":", "lang", "n").alias("value")).write.text(path)
+    lines = spark.read.text(path).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.array_sort(F.collect_list("value")).alias("v"))
+    body = F.concat(F.array_join("v", "\n"), F.lit("\n"))
+    wrong = F.when(F.exists("v", lambda x: x.startswith("en:")), F.lit("")).otherwise(body)
+    pins = lines.select("name", F.octet_length(body).cast("bigint").alias("size"), F.sha2(wrong, 256).alias("sha256"))
+    gone = spark.range(1).select(F.lit("gone").alias("name"), F.lit(1).cast("bigint").alias("size"), F.lit("").alias("sha256"))
+    return co.verify_files(spark, f"{path}/*.txt", pins.union(gone)).select("verdict").distinct()
 
 
 @query("SELECT event_type AS event, count(*) AS n, sum(user_id)::BIGINT AS users FROM events WHERE event_id % 9 <> 0 GROUP BY 1")
