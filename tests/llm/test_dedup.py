@@ -207,6 +207,32 @@ def test_near_copies_match_brute_force(spark, chunk):
     assert links > 30 and got == sorted((i, smallest[find(k)]) for k, (i, _) in enumerate(rows))
 
 
+def test_appended_and_cut_texts_are_near_copies(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(0, 400, 2):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([100, 400]))]
+        more = [f"w{rng.randrange(10**6)}" for _ in range(len(w) * 23 // 100)]
+        other = [w + more, more + w, w[: len(w) * 82 // 100], w[len(w) * 18 // 100 :]][i // 2 % 4]
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (w, other))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.84
+        rows += [(i, " ".join(w)), (i + 1, " ".join(other))]
+        want |= {i: i, i + 1: i}
+    got = {r.doc_id: r.component_id for r in simhash.near_copy_groups(docs_table(spark, rows)).collect()}
+    assert got == want
+
+
+def test_band_keys_meet_as_often_as_reckoned():
+    rng = np.random.default_rng(4)
+    missed = 0
+    for _ in range(2000):
+        x = rng.integers(0, 2**63, 120).astype(np.uint64)  # sets of 100 and 100 with 80 common: 0.667
+        missed += not (simhash.band_keys(x[:100]) == simhash.band_keys(x[20:])).any()
+    expect = 2000 * (1 - (80 / 120) ** simhash.ROWS) ** simhash.BANDS
+    assert abs(missed - expect) < 5 * expect**0.5
+    assert len(simhash.band_keys(x[:0])) == 0
+
+
 def test_midpoint_keys_catch_eight_bits(spark):
     rng = random.Random(6)
     rows = []
