@@ -167,13 +167,22 @@ def _same_band(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, rep = batch.column("key").to_numpy(), batch.column("rep").to_numpy()
+        k, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
         new = np.concatenate([[k[0] != key], k[1:] != k[:-1]])
         at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        head = np.where(at < 0, -1 if first is None else first, rep[at])
+        head = np.where(at < 0, -1 if first is None else first, node[at])
         key, first = k[-1], head[-1]
-        other = head != rep
-        yield pa.RecordBatch.from_arrays([pa.array(rep[other]), pa.array(head[other])], names=["a", "b"])
+        other = head != node
+        yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(head[other])], names=["a", "b"])
+
+
+def _digests(words: int):
+    @F.arrow_udf("struct<h1:long,h2:long>")
+    def digests(texts: pa.Array) -> pa.Array:
+        h = [_digest(shingle_set(t, words)) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in h], pa.int64()), pa.array([y for _, y in h], pa.int64())], names=["h1", "h2"])
+
+    return digests
 
 
 def _shingles(words: int):
@@ -207,7 +216,7 @@ def _similar(similarity: float):
 
     def similar(batches):
         for table, group in whole_groups(batches, names, 2048):
-            rep, size = table.column("rep").to_numpy(), table.column("size").to_numpy()
+            node, size = table.column("node").to_numpy(), table.column("size").to_numpy()
             a, b, part = (table.column(c).to_numpy() for c in ("cell_a", "cell_b", "part"))
             test = lambda i, j, n=size: np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
             i, j = near_pairs(group, a == b, part, test)
@@ -215,7 +224,7 @@ def _similar(similarity: float):
                 continue
             lists = table.column("shingles").combine_chunks()
             flat, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            root = list(range(len(rep)))
+            root = list(range(len(node)))
 
             def find(k: int, root=root) -> int:
                 while root[k] != k:
@@ -232,7 +241,7 @@ def _similar(similarity: float):
                 both = low + high - len(np.unique(np.concatenate([s, t])))
                 if both >= similarity * (low + high - both):
                     root[max(p, q)] = min(p, q)
-            ends = [(rep[k], rep[find(k)]) for k in range(len(rep)) if find(k) != k]
+            ends = [(node[k], node[find(k)]) for k in range(len(node)) if find(k) != k]
             if ends:
                 x, y = zip(*ends, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
@@ -240,45 +249,56 @@ def _similar(similarity: float):
     return similar
 
 
-def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, chunk: int = 512) -> DataFrame:
-    """(doc_id, component_id) of groups of documents whose word shingles have a Jaccard similarity of 0.8 or more.
-
-    Texts with equal shingles are one node. Candidates are nodes whose SimHash over the set of words is within 8 bits
-    (they share a midpoint key of one of three blocks; finds changed words) or that share a band of MinHash over the
-    shingles (finds added and cut text as well). Within a group that candidates form, all pairs of fitting sizes are
-    compared by their shingles, exactly, in bounded cells; a pair of 0.8 stays apart with a probability below 5e-6.
-    Null and empty texts are copies of each other; rows of null doc_id follow the group of their text.
-    """
+def _near_copy_texts(docs: DataFrame, words: int, similarity: float, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h1, h2) of each row and (h1, h2, rep, group) of each set of shingles; rep is its smallest doc_id."""
     prepare(docs.sparkSession)
     distance = 8
     text = F.col("text").cast("binary")
     sig = written(docs.select("doc_id", _marks(words)(text).alias("m")).select("doc_id", "m.*"), "marks")
     texts = sig.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands"))
-    texts = written(texts, "texts")
-    nodes = texts.where("rep is not null").select("rep", "fp", "bands")
-    same = written(nodes.groupBy("fp").agg(F.min("rep").alias("first"), F.count("*").alias("n")), "same")
+    texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    same = written(texts.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "same")
     keyed = same.select(F.explode(midpoint_keys(F.col("fp"))).alias("k"), "fp", F.col("first").alias("rep")).select("k.table", "k.key", "fp", "rep")
     close = cells(keyed, ["table", "key"], "rep", 2048).mapInArrow(_links(distance), "a long, b long")
-    equal = nodes.join(same.where("n > 1"), "fp").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    banded = nodes.select("rep", F.explode("bands").alias("key")).repartition("key").sortWithinPartitions("key", "rep")
+    equal = texts.join(same.where("n > 1"), "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    banded = texts.select("node", F.explode("bands").alias("key")).repartition("key").sortWithinPartitions("key", "node")
     banded = banded.mapInArrow(_same_band, "a long, b long")
-    group = components(close.union(equal).union(banded)).select(F.col("node").alias("rep"), F.col("component").alias("group"))
-    members = written(texts.join(group, "rep").select("group", "rep", "h1", "h2"), "members")
-    wanted = members.withColumnRenamed("rep", "doc_id")
-    full = docs.select("doc_id", text.alias("text")).join(wanted.select("doc_id").distinct(), "doc_id")
-    full = full.select(F.col("doc_id").alias("rep"), _shingles(words)("text").alias("s")).select("rep", "s.*")
-    full = full.join(members, ["rep", "h1", "h2"]).dropDuplicates(["rep", "h1", "h2"]).select("group", "rep", F.size("shingles").alias("size"), "shingles")
-    found = components(cells(full, ["group"], "rep", chunk).mapInArrow(_similar(similarity), "a long, b long"))
-    named = texts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    return sig.join(named, ["h1", "h2"]).select("doc_id", "component_id")
+    group = components(close.union(equal).union(banded)).withColumnRenamed("component", "group")
+    members = written(texts.join(group, "node").select("group", "node", "rep", "h1", "h2"), "members")
+    wanted = members.select("rep").distinct()
+    full = docs.select("doc_id", text.alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    full = full.select(_shingles(words)("text").alias("s")).select("s.*").join(members.drop("rep"), ["h1", "h2"])
+    full = full.dropDuplicates(["node"]).select("group", "node", F.size("shingles").alias("size"), "shingles")
+    found = components(cells(full, ["group"], "node", chunk).mapInArrow(_similar(similarity), "a long, b long"))
+    return sig, texts.join(found, "node", "left").select("h1", "h2", "rep", F.coalesce("component", "node").alias("group"))
+
+
+def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, chunk: int = 512) -> DataFrame:
+    """(doc_id, component_id) of groups of documents whose word shingles have a Jaccard similarity of 0.8 or more.
+
+    Texts with equal shingles are one node. Candidates are nodes whose SimHash over the set of words is within 8 bits
+    (they share a midpoint key of one of three blocks; finds changed words) or that share a band of MinHash over the
+    shingles (finds added and cut text as well). Within a group that candidates form, all pairs of fitting sizes are
+    compared by their shingles, exactly, in bounded cells; a pair of 0.8 stays apart with a probability below 5e-6.
+    Null and empty texts are copies of each other. Rows of null doc_id are compared as all others; component_id is the
+    smallest doc_id of the group, null if no row of it has one.
+    """
+    sig, texts = _near_copy_texts(docs, words, similarity, chunk)
+    named = texts.join(texts.groupBy("group").agg(F.min("rep").alias("component_id")), "group")
+    return sig.join(named.select("h1", "h2", "component_id"), ["h1", "h2"]).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each group of near copies: that of the smallest doc_id. Of repeated rows of it one stays;
-    rows of null doc_id stay only if no other row shares their group, one for each text. An empty table gives an empty one."""
-    groups = near_copy_groups(docs, words, similarity)
-    kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """docs with one document of each group of near copies: that of the smallest doc_id, of several texts with that id
+    the one of the smallest digest. Of repeated rows of it one stays; a row of null doc_id stays only if no other row of
+    its group has an id, one for each group. An empty table gives an empty one."""
+    _, texts = _near_copy_texts(docs, words, similarity, 512)
+    first = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "h1", "h2")).alias("first")
+    kept = texts.groupBy("group").agg(first).select(F.col("first.rep").alias("_rep"), F.col("first.h1").alias("_h1"), F.col("first.h2").alias("_h2"))
+    mark = _digests(words)(F.col("text").cast("binary"))
+    rows = docs.select(F.struct("*").alias("_row"), mark.alias("_m")).select("_row", F.col("_m.h1").alias("_h1"), F.col("_m.h2").alias("_h2"))
+    own = (rows["_h1"] == kept["_h1"]) & (rows["_h2"] == kept["_h2"]) & rows["_row.doc_id"].eqNullSafe(kept["_rep"])
+    return rows.join(kept, own, "left_semi").dropDuplicates(["_h1", "_h2"]).select("_row.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -174,6 +174,16 @@ def test_one_document_of_a_group_stays(spark):
     assert simhash.drop_near_copies(docs_table(spark, [])).count() == 0
 
 
+def test_rows_without_id_and_ids_with_two_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(None, a), (None, a), (None, a + " more"), (None, b), (5, c), (None, c), (None, c + " more"), (6, d), (6, b + " other words"), (6, a[::-1])]
+    kept = simhash.drop_near_copies(docs_table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == sorted([(5, c), (6, d), (6, b + " other words"), (6, a[::-1])])
+    assert [r.text in (a, a + " more") for r in kept if r.doc_id is None] == [True]
+    groups = {(r.doc_id, r.component_id) for r in simhash.near_copy_groups(docs_table(spark, rows)).collect()}
+    assert groups == {(None, None), (None, 6), (5, 5), (None, 5), (6, 6)}
+
+
 @pytest.mark.parametrize("chunk", [4, 512])
 def test_near_copies_match_brute_force(spark, chunk):
     rng = random.Random(9)
