@@ -33,18 +33,17 @@ def reconcile_pairs(started: DataFrame, completed: DataFrame, keys: list[str]) -
 
 
 def scan_leaks(lines: DataFrame, forbidden: DataFrame, text: str = "line", limit: int = 10_000) -> DataFrame:
-    """Rows of lines that hold a forbidden value, with the value's id (never the value).
+    """Rows of lines that contain a forbidden value, with the value's id (never the value).
 
-    Short lists meet each line as one array; a list above the limit meets the words of the lines by an equi-join, so
-    its values must then be single words.
+    Values meet each line in arrays of about `limit`, dealt by a hash; one array if the list is short. Whatever the
+    number of values, a hit is contains(line, value).
     """
-    if forbidden.limit(limit + 1).count() <= limit:
-        values = forbidden.agg(F.collect_list(F.struct("value_id", "value")).alias("_values"))
-        hit = F.filter("_values", lambda v: F.contains(F.col(text), v["value"]))
-        out = lines.crossJoin(F.broadcast(values)).withColumn("_hit", F.explode(hit))
-        return out.select(*lines.columns, F.col("_hit.value_id").alias("value_id"))
-    words = lines.withColumn("value", F.explode(F.array_distinct(F.split(F.col(text), r"[^\p{L}\p{Nd}_]+"))))
-    return words.join(forbidden, "value").drop("value")
+    n = max(1, -(-forbidden.count() // limit))
+    dealt = forbidden.groupBy(F.pmod(F.xxhash64("value_id", "value"), F.lit(n)).alias("_block"))
+    values = dealt.agg(F.collect_list(F.struct("value_id", "value")).alias("_values")).select("_values")
+    hit = F.filter("_values", lambda v: F.contains(F.col(text), v["value"]))
+    met = lines.crossJoin(F.broadcast(values) if n == 1 else values)
+    return met.withColumn("_hit", F.explode(hit)).select(*lines.columns, F.col("_hit.value_id").alias("value_id"))
 
 
 def typed_outcomes(expected: DataFrame, events: DataFrame, key: str, allowed: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import chat, policy, quality
+from brindle.operators import audit, chat, policy, quality
 from brindle.operators import context as cx
 
 
@@ -123,3 +123,12 @@ def test_stream_errors(spark):
     out = chat.validate_streams(chat.scan_sse(spark.createDataFrame(rows, "k int, body string"), ["k"]), ["k"])
     got = {r.k: r.error_code for r in out.collect()}
     assert got == {1: None, 2: "MISSING_TERMINAL", 3: "EVENT_AFTER_TERMINAL", 4: "DUPLICATE_TERMINAL", 5: "ERROR_EVENT", 6: "MALFORMED_EVENT", 7: None}
+
+
+def test_long_lists_of_forbidden_values_are_searched_inside_lines(spark):
+    values = [(1, "password="), (2, "AKIA"), (3, "| "), (4, "a-b/c"), *((k, f"none{k}") for k in range(5, 40))]
+    lines = [(1, "x password=1"), (2, "AKIA123 | y"), (3, "xa-b/cx"), (4, "clean"), (5, None)]
+    ldf, vdf = spark.createDataFrame(lines, "n int, line string"), spark.createDataFrame(values, "value_id int, value string")
+    want = sorted((n, k) for n, t in lines for k, v in values if t and v in t)
+    for limit in (7, 10_000):
+        assert sorted((r.n, r.value_id) for r in audit.scan_leaks(ldf, vdf, limit=limit).collect()) == want
