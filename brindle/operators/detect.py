@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.recognizers import FINDERS, NAMES, TYPES
 from brindle.functions.spans import FINDING, none_of
+from brindle.functions.tables import saved
 
 #: Largest text of one call, in UTF-8 bytes; larger ones go through chunk_documents.
 MAX_BYTES = 1_048_576
@@ -192,6 +193,17 @@ def detect_windowed(df: DataFrame, keys: list[str], text: str = "text", types: I
     )
 
 
+def detect_any_size(df: DataFrame, text: str = "text", types: Iterable[str] = NAMES, limit: int = MAX_BYTES, entity: int = 4096) -> DataFrame:
+    """As detect_pii, without PAYLOAD_TOO_LARGE: texts above the limit go through windows of that size, in canonical order."""
+    types = tuple(types)
+    large = F.coalesce((F.octet_length(F.col(text)) > limit) & F.is_valid_utf8(F.col(text)), F.lit(False))
+    rows = saved(df.where(large).withColumn("_id", F.monotonically_increasing_id()), "large")
+    found = detect_windowed(rows, ["_id"], text, types, limit, entity)
+    ranked = F.array_sort(F.transform("findings", lambda f: F.struct(type_order(f["type"]).alias("k"), f.alias("f"))))
+    found = found.select("_id", "error_code", F.transform(ranked, lambda x: x["f"]).cast(FINDING).alias("findings"))
+    return detect_pii(df.where(~large), text, types, limit=limit).unionByName(rows.join(found, "_id").drop("_id"))
+
+
 def reconcile_windows(found: DataFrame, keys: list[str], window_key: str = "window_error") -> DataFrame:
     """Per-window findings with owner columns to one result a document: an error of any window is the document's."""
     error = F.min(window_key)

@@ -75,6 +75,25 @@ def test_windows_find_what_whole_texts_do(spark):
         assert got == whole
 
 
+def test_texts_above_the_limit_are_searched(spark):
+    text = "я" * 80 + " 10.1.2.3 " + "é" * 90 + " a@b.com " + "x" * 70 + " 4111 1111 1111 1111 "
+    df = spark.createDataFrame([(1, text), (1, text), (2, "b@c.com"), (None, ""), (3, None)], "id int, text string")
+    key = lambda r: (r.id is None, r.id or 0)
+    want = sorted(d.detect_pii(df).collect(), key=key)
+    got = sorted(d.detect_any_size(df, limit=128, entity=24).collect(), key=key)
+    assert got == want and len(want[0].findings) == 4  # the card is a policy number too
+    assert d.detect_pii(df, limit=128).where("findings is null").count() == 2
+
+
+def test_document_queries_count_texts_above_one_mib(spark, tmp_path):
+    from brindle import plans
+
+    rows = [(1, "en", "word " * 220_000 + " a@b.com "), (2, "en", "c@d.com")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.type, r.lang): r.n for r in plans.queries()["d10_documents"](spark, str(tmp_path)).collect()}
+    assert got == {(E, "en"): 2}
+
+
 def test_window_arguments():
     assert d.check_windowing(1048576, 4096) is None
     assert d.check_windowing(10, 5) == d.check_windowing(0, 1) == d.check_windowing(10, 2, " ") == "INVALID_CAPABILITY"
