@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,70 +21,115 @@ WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}+={0,2}"
 #: Least bits per character of the best window, by character class: (name, pattern of the whole candidate, bits).
 CLASSES = (("digits", r"^[0-9]+$", None), ("hex", r"^[0-9a-fA-F]+$", 3.0), ("base64", r"", 3.75))
+#: Repeats of groups are possessive: Java then loops instead of recursing, so no token is too long.
 #: What is not a secret however mixed it looks: UUIDs, words, joined words and paths, identifiers, runs of the
 #: alphabet, digests that name an algorithm, and the example keys of public manuals.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[^0-9]+$",
-    r"^[A-Za-z]+(?:[/_-]+[A-Za-z]+)*[/_-]?[0-9]{0,4}$",
+    r"^[A-Za-z]++(?:[/_-]++[A-Za-z]++)*+[/_-]?[0-9]{0,4}$",
     r"(?i)abcdefghij|0123456789|9876543210|qwertyuiop",
     r"(?i)^(?:sha|md)[0-9]+[-_/]",
     r"(?i)example",
 )
 
 SPAN = "struct<start:int,rank:int,end:int>"
+#: Items that one inner fold takes: appending to an array copies it, so results are gathered in blocks.
+BLOCK = 256
+#: The ASCII characters of candidates lie between these two. The entropy fold carries the counts of a window as a string
+#: with one place for each of them, whose character is NONE moved up by the count.
+FIRST, LAST, NONE = ord("+"), ord("z"), ord("0")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often and however deep in lambdas the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scan(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """All spans of step(state, item) -> (next state, array of spans), the state carried from item to item.
+
+    n items cost n * BLOCK / 2 + (n / BLOCK) ** 2 / 2 copied references: linear for any count a text can hold.
+    """
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        after, spans = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], spans).alias("out"))
+
+    def folded(xs: Column) -> Column:
+        def block(acc: Column, k: Column) -> Column:
+            begin = F.struct(acc["state"].alias("state"), none.alias("out"))
+            end = lambda got: F.struct(got["state"].alias("state"), F.concat(acc["out"], F.array(got["out"])).alias("out"))
+            return F.aggregate(F.slice(xs, k * BLOCK + 1, F.lit(BLOCK)), begin, one, end)
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+        begin = F.struct(state.alias("state"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+        return F.aggregate(blocks, begin, block, lambda acc: F.flatten(acc["out"]))
+
+    return _let(items, lambda xs: F.when(F.size(xs) > 0, folded(xs)).otherwise(none))
 
 
 def _fold(text: Column, pattern: str, rank: int, keep=None, group: int | None = None) -> Column:
     """Spans of the matches of a pattern: the texts between matches and the matches, laid end to end in code points."""
     p = F.lit(pattern)
-    m = F.regexp_extract_all(text, p, F.lit(0))
-    parts = F.arrays_zip(
-        m.alias("m"),
-        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)).alias("g"),
-        (F.regexp_extract_all(text, p, F.lit(group)) if group else m).alias("v"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def parts(m: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m))
+        return F.arrays_zip(m.alias("m"), gaps.alias("g"), (F.regexp_extract_all(text, p, F.lit(group)) if group else m).alias("v"))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["g"])
         end = start + F.length(x["m"])
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        spans = F.concat(acc["spans"], one)
-        return F.struct(end.alias("at"), (F.when(keep(x["v"]), spans).otherwise(acc["spans"]) if keep else spans).alias("spans"))
+        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
+        return end, F.when(keep(x["v"]), span).otherwise(none) if keep else span
+
+    found = _scan(_let(F.regexp_extract_all(text, p, F.lit(0)), parts), F.lit(0), step)
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
-    empty = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    found = F.aggregate(parts, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
 
+def _count(counts: Column, c: Column) -> Column:
+    """The count at place c."""
+    return F.ascii(F.substring(counts, c, F.lit(1))) - NONE
 
-def _weight(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+
+def _added(counts: Column, c: Column, n: Column) -> Column:
+    """counts with n at place c."""
+    return F.overlay(counts, F.char(n + NONE), c, F.lit(1))
 
 
 def best_entropy(token: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy, in bits per character, of a window of that many characters in a token.
 
-    The sum of n log2 n over the window's counts n is carried along the token: a step adds what the entering
-    character's count changes and takes off what the leaving one's changes.
+    The counts n of the window's characters (ASCII, from + to z) and the sum of n log2 n over them are carried along
+    the token: a step adds what the entering character changes and takes off what the leaving one does. Tokens shorter
+    than the window have 0.
     """
+    weight = [n * math.log2(n) if n else 0.0 for n in range(window + 2)]
+    gains = F.array(*[F.lit(y - x) for x, y in itertools.pairwise(weight)])  # of a character that is there 0, 1, ... times
+    gain = lambda n: F.element_at(gains, (n + 1).cast("int"))
+
+    def enter(acc: Column, c: Column) -> Column:
+        n = _count(acc["counts"], c)
+        return F.struct((acc["sum"] + gain(n)).alias("sum"), _added(acc["counts"], c, n + 1).alias("counts"))
 
-    def count(inside: Column, c: Column) -> Column:
-        return F.length(inside) - F.length(F.replace(inside, c, F.lit("")))
+    def slid(codes: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            new, old = F.element_at(codes, i), F.element_at(codes, i - window)
+            n, m = _count(acc["counts"], new), _count(acc["counts"], old)
+            total = acc["sum"] + gain(n) - gain(m - 1)
+            counts = _added(_added(acc["counts"], new, n + 1), old, m - 1)
+            after = F.struct(total.alias("sum"), counts.alias("counts"), F.least(acc["least"], total).alias("least"))
+            return F.when(new == old, acc).otherwise(after)
 
-    def step(acc: Column, i: Column) -> Column:
-        first = F.greatest(F.lit(1), i - window)
-        inside = F.substring(token, first, i - first)
-        enters, leaves = F.substring(token, i, F.lit(1)), F.substring(token, i - window, F.lit(1))
-        k = count(inside, enters)
-        total = acc["sum"] + _weight(k + 1) - _weight(k)
-        m = count(inside, leaves) + (enters == leaves).cast("int")
-        total = F.when(i > window, total - _weight(m) + _weight(m - 1)).otherwise(total)
-        here = F.when(i >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
-        return F.struct(total.alias("sum"), F.greatest(acc["best"], here).alias("best"))
+        none = F.struct(F.lit(0.0).alias("sum"), F.lit(chr(NONE) * (LAST - FIRST + 1)).alias("counts"))
+        first = F.aggregate(F.slice(codes, 1, window), none, enter, lambda a: F.struct(a["sum"].alias("sum"), a["counts"].alias("counts"), a["sum"].alias("least")))
+        rest = F.when(F.size(codes) > window, F.sequence(F.lit(window + 1), F.size(codes))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(rest, first, step, lambda acc: F.lit(math.log2(window)) - acc["least"] / window)
 
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token)), start, step, lambda acc: acc["best"])
+    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c) - (FIRST - 1))
+    return F.when(F.length(token) < window, F.lit(0.0)).otherwise(_let(codes, slid))
 
 
 def _secretive(token: Column) -> Column:
@@ -98,6 +145,17 @@ def _secretive(token: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(enough)
 
 
+def _uncovered(base: Column, more: Column) -> Column:
+    """base and those of more that no span of base covers, in order: the furthest end of base so far is carried."""
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def step(end: Column, s: Column) -> tuple[Column, Column]:
+        known = s["rank"] < KINDS.index("entropy")
+        return F.when(known, F.greatest(end, s["end"])).otherwise(end), F.when(known | (s["end"] > end), F.array(s)).otherwise(none)
+
+    return F.when(F.size(more) == 0, base).otherwise(_scan(F.array_sort(F.concat(base, more)), F.lit(0), step))
+
+
 def _join(spans: Column) -> Column:
     kinds = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"], s["end"])), ",")
@@ -119,11 +177,10 @@ def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     )))
     out = out.withColumn("_more", _fold(t, CANDIDATE, 3, _secretive))
     base = F.col("_base")
-    fresh = F.filter("_more", lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
     count = lambda k: F.size(F.filter(base, lambda s: s["rank"] == k)).cast("long")
     return out.select(
         *names, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        _join(base).alias("base_spans"), _join(F.array_sort(F.concat(base, fresh))).alias("spans"),
+        _join(base).alias("base_spans"), _join(_uncovered(base, F.col("_more"))).alias("spans"),
     )
 
 

@@ -100,20 +100,56 @@ def test_secrets_match_plain_version(spark):
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
-def test_entropy_of_windows(spark):
-    rng = random.Random(2)
-    texts = ["".join(rng.choice("abcdef0123456789XYZ") for _ in range(n)) for n in (5, 20, 21, 60)] + ["a" * 40]
+def plain_entropy(s, w=20):
+    best = 0.0
+    for k in range(len(s) - w + 1):
+        c = collections.Counter(s[k : k + w])
+        best = max(best, -sum(v / w * np.log2(v / w) for v in c.values()))
+    return best
 
-    def plain(s, w=20):
-        best = 0.0
-        for k in range(len(s) - w + 1):
-            c = collections.Counter(s[k : k + w])
-            best = max(best, -sum(v / w * np.log2(v / w) for v in c.values()))
-        return best
 
+def test_entropy_of_windows(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdef0123456789XYZ+/z") for _ in range(n)) for n in (0, 5, 19, 20, 21, 60, 3000)] + ["a" * 40, "ab" * 500]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.best_entropy(F.col("t")).alias("h"))
     for r in df.collect():
-        assert abs(r.h - plain(r.t)) < 1e-9
+        assert abs(r.h - plain_entropy(r.t)) < 1e-9
+
+
+def plain_spans(t):
+    """Base spans and those candidates of high entropy that no base span covers."""
+    t = t or ""
+    order = list(secrets.KINDS)
+    base = [(int(x), order.index(k), int(y)) for k, x, y in (s.split(":") for s in plain_secrets(t).split(",") if s)]
+    out = list(base)
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t):
+        if any(re.search(a, m[0]) for a in secrets.ALLOWED) or any(x <= m.start() and y >= m.end() for x, _, y in base):
+            continue
+        if re.fullmatch("[0-9]+", m[0]):
+            continue
+        if plain_entropy(m[0]) >= (3.0 if re.fullmatch("[0-9a-fA-F]+", m[0]) else 3.75):
+            out.append((m.start(), 3, m.end()))
+    return ",".join(f"{order[k]}:{x}:{y}" for x, k, y in sorted(out))
+
+
+def test_spans_match_brute_force(spark):
+    rng = random.Random(3)
+    token = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    mixed = "abcdefXYZ0123456789+/_-"
+    texts = SECRETS + [" ".join(token(rng.choice([mixed, "0123456789abcdefAB", "ab", "abc/-", "0123456789"]), rng.randrange(10, 60)) for _ in range(40)) for _ in range(30)]
+    texts += ["token=" + token(mixed, 40) + " é " + token(mixed, 5000), " ".join(token(mixed, 24) for _ in range(700)), "key=" + "secret=abcdef1 " * 600]
+    out = {r.i: r.spans for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "i long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert out[i] == plain_spans(t), t[:100]
+    assert max(out[i].count("entropy") for i in out) > secrets.BLOCK
+
+
+def test_long_tokens_take_linear_time_and_no_stack(spark):
+    rng = random.Random(4)
+    base64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(300_000))
+    texts = ["a/" * 200_000 + "zz1", "a/" * 20_000 + "zz1", base64, "x-" * 100_000 + "1234", "api_key=" + "a_" * 100_000, "deadbeef" * 50_000]
+    out = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "i long, text string")).orderBy("i").collect()
+    assert [r.spans for r in out] == ["", "", "entropy:0:300000", "", "assign:0:200008", "hex:0:400000"]
 
 
 def test_entropy_adds_and_allows(spark):
