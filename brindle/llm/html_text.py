@@ -36,11 +36,12 @@ CLOSES = {
 }
 SCOPE = frozenset("article aside body blockquote details div fieldset figure footer header main nav section td th table form".split())
 
-#: Elements that are never article text, and words of class, id or role that mark such parts.
-DROPPED = frozenset(
-    "script style noscript template nav footer aside form iframe svg canvas object audio video button select textarea "
-    "dialog head title menu datalist noembed noframes".split()
+#: Elements whose content is never text of the page, and elements that are never article text.
+UNSEEN = frozenset(
+    "script style noscript template iframe svg canvas object audio video button select textarea head title datalist noembed noframes".split()
 )
+ASIDE = frozenset("nav footer aside dialog menu".split())
+#: Words of class, id or role that mark such parts, and words that may stand beside them in one name.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promos promotion sidebar "
     "aside menu menus nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert "
@@ -48,115 +49,184 @@ MARKS = frozenset(
     "replies discussion share sharing social related recommended recommendations widget widgets toolbar pagination pager "
     "masthead topbar skip contentinfo complementary search form".split()
 )
+BESIDE = frozenset(
+    "list item items box block wrap wrapper container section area bar panel slot unit site global header body inner main "
+    "primary secondary top bottom thread form links posts".split()
+)
 ARTICLE = frozenset({"article", "main"})
 WHOLE = frozenset({"html", "body", "article", "main"})
+#: Elements that hold running text or its headings.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figcaption".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>",
     re.S,
 )
-NAMED = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden")
-WORD = re.compile(r"[a-z]+")
+#: A tag that ends at the first >, whatever its quotes.
+SHORT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TELLING = re.compile(r"(?i)class|id|role|hidden|style")
+UNSHOWN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
+NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    """An element. soft: 1 if its tag or a hiding attribute leaves it out, 2 if its name does so unless it holds the page's text."""
 
-    def __init__(self, tag: str, parent):
-        self.tag, self.parent, self.parts = tag, parent, []
+    __slots__ = ("tag", "parent", "parts", "soft", "within", "core", "paragraphs", "articles", "chars", "tags", "link_chars", "link_tags", "prose", "density", "total", "start", "end")
 
+    def __init__(self, tag: str, parent, soft: int = 0, within: int = 0):
+        self.tag, self.parent, self.parts, self.soft, self.within = tag, parent, [], soft, within
+
+
+def _names_aside(name: str) -> bool:
+    """Whether one class, id or role is made of marks, and of words that may stand beside them, only."""
+    words = [w.lower() for w in NAME_PARTS.findall(name)]
+    return any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words)
 
-def _marked(tag: str, attributes: str) -> bool:
-    if not attributes or tag in WHOLE:
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    return any(w in MARKS for m in NAMED.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+
+def _soft(tag: str, attributes: str, inside: bool) -> int:
+    if tag in ASIDE or (tag == "header" and not inside):
+        return 1
+    named = tag == "form"
+    if attributes and tag not in WHOLE and TELLING.search(attributes):
+        for m in ATTRIBUTE.finditer(attributes):
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and UNSHOWN.search(value)):
+                return 1
+            named = named or (key in ("class", "id", "role") and any(map(_names_aside, value.split())))
+    return 2 if named else 0
 
 
 def parse(page: str) -> Node:
-    """The DOM of a page without its dropped parts: parts of a node are nodes and texts, in page order."""
-    root = Node("#root", None)
-    at, gone, pos = root, 0, 0  # gone: how many open elements stand at or below a dropped one
-    open_tags: list[str] = []
+    """The DOM of a page without unseen content: parts of a node are nodes and texts, in page order; time is linear.
+
+    Once quotes in a tag do not balance up to the end of the page, tags of the rest end at their first >.
+    """
+    root = at = Node("#root", None)
+    pos, last, balanced = 0, page.rfind(">"), True
+    open_nodes: list[Node] = []
+    places: dict[str, list[int]] = {}  # of each tag, where its open elements stand in open_nodes
+
+    def pop() -> None:
+        nonlocal at
+        node = open_nodes.pop()
+        places[node.tag].pop()
+        at = node.parent
 
     def close(tag: str, stop: frozenset | set) -> None:
-        nonlocal at, gone
-        for k in range(len(open_tags) - 1, -1, -1):
-            if open_tags[k] == tag:
-                for _ in range(len(open_tags) - k):
-                    open_tags.pop()
-                    if gone:
-                        gone -= 1
-                    else:
-                        at = at.parent
-                return
-            if open_tags[k] in stop:
-                return
+        """Close the last open element of a tag and all in it, unless an element of stop lies between."""
+        own = places.get(tag)
+        if own and all(own[-1] >= places[t][-1] for t in stop if places.get(t)):
+            for _ in range(len(open_nodes) - own[-1]):
+                pop()
 
     while pos < len(page):
         lt = page.find("<", pos)
-        m = TOKEN.match(page, lt) if lt >= 0 else None
+        m = None
+        if 0 <= lt <= last or page.startswith("<!", lt):
+            m = TOKEN.match(page, lt) if balanced or page.startswith("<!", lt) else SHORT.match(page, lt)
+            if m is None and balanced:
+                m = SHORT.match(page, lt)
+                balanced = m is None
         if m is None:
             end = len(page) if lt < 0 else lt + 1
-            if not gone:
-                at.parts.append(html.unescape(page[pos:end]))
+            at.parts.append(html.unescape(page[pos:end]))
             pos = end
             continue
-        if lt > pos and not gone:
+        if lt > pos:
             at.parts.append(html.unescape(page[pos:lt]))
         pos = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        if m[1] or m[4]:
+        if m[1]:
             if tag not in VOID:
                 close(tag, SCOPE if tag not in SCOPE else frozenset())
             continue
-        attributes = m[3] or m[6] or ""
+        attributes = m[3] or ""
         if tag in BLOCK and tag not in ("html", "body", "head"):
             close("p", SCOPE)
         if tag in CLOSES:
             for t in CLOSES[tag][0]:
                 close(t, CLOSES[tag][1])
         if tag in VOID:
-            if not gone:
-                at.parts.append(Node(tag, at))
+            at.parts.append(Node(tag, at, 0, at.within))
             continue
-        end = None
         if tag in RAW:
             end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, pos)
             body, pos = (page[pos : end.start()], end.end()) if end else (page[pos:], len(page))
-            if not gone and tag not in DROPPED and not _marked(tag, attributes):
+            if tag not in UNSEEN:
                 at.parts.append(html.unescape(body))
             continue
         if attributes.endswith("/") and tag in ("svg", "path"):
             continue
-        open_tags.append(tag)
-        inside = any(t in ARTICLE for t in open_tags[:-1])
-        heads = tag == "header" and not inside
-        if gone or tag in DROPPED or heads or _marked(tag, attributes):
-            gone += 1
-        else:
-            child = Node(tag, at)
-            at.parts.append(child)
-            at = child
+        child = Node(tag, at, 1 if tag in UNSEEN else _soft(tag, attributes, at.within > 0), at.within + (tag in ARTICLE))
+        at.parts.append(child)
+        places.setdefault(tag, []).append(len(open_nodes))
+        open_nodes.append(child)
+        at = child
     return root
 
 
-def measure(root: Node) -> list[Node]:
-    """Set chars, tags, link_chars, link_tags and density of every node and the sum of its children's densities; nodes in page order."""
+def _in_order(root: Node) -> list[Node]:
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack += [p for p in reversed(node.parts) if isinstance(p, Node)]
+    return order
+
+
+def _shown(text: str) -> int:
+    """Characters of a text other than white space."""
+    return len("".join(text.split()))
+
+
+def prune(root: Node) -> None:
+    """Cut off menus, footers, adverts and the like.
+
+    A part known by its name only stays if it is what the page is about, and no article or main element stands
+    elsewhere: it holds such an element and most of the text outside links, or nearly all of it and all paragraphs.
+    """
+    order = _in_order(root)
+    if not any(n.soft for n in order):
+        return
+    for n in reversed(order):
+        kids = [p for p in n.parts if isinstance(p, Node)]
+        plain = 0 if n.tag == "a" else sum(_shown(p) for p in n.parts if isinstance(p, str))
+        n.core = plain + sum(k.core for k in kids if not k.soft)
+        n.paragraphs = (n.tag == "p" and n.core > 0) + sum(k.paragraphs for k in kids if not k.soft)
+        n.articles = (n.tag in ARTICLE) + sum(k.articles for k in kids if not k.soft)
+    rest, paragraphs, articles = root.core, root.paragraphs, root.articles
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        kept = []
+        for p in n.parts:
+            if isinstance(p, Node) and p.soft:
+                alone = articles <= p.within - (p.tag in ARTICLE)
+                own = p.articles > 0 and p.core > rest
+                if p.soft == 1 or not alone or not (own or (p.core >= 200 and rest < 100 and not paragraphs)):
+                    continue
+                rest, paragraphs, articles = rest + p.core, paragraphs + p.paragraphs, articles + p.articles
+            kept.append(p)
+        n.parts = kept
+        stack += [p for p in reversed(kept) if isinstance(p, Node)]
+
+
+def measure(root: Node) -> list[Node]:
+    """Set chars, tags, link_chars, link_tags and density of every node and the sum of its children's densities; nodes in page order."""
+    order = _in_order(root)
+    for k, node in enumerate(order):
+        node.start = k
     for node in reversed(order):
         kids = [p for p in node.parts if isinstance(p, Node)]
-        node.chars = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str)) + sum(k.chars for k in kids)
+        node.end = kids[-1].end if kids else node.start
+        node.chars = sum(_shown(p) for p in node.parts if isinstance(p, str)) + sum(k.chars for k in kids)
         node.tags = len(kids) + sum(k.tags for k in kids)
+        node.prose = node.tag in PROSE or any(k.prose for k in kids)
         link = node.tag == "a"
         node.link_chars = node.chars if link else sum(k.link_chars for k in kids)
         node.link_tags = int(link) + sum(k.link_tags for k in kids)
@@ -172,47 +242,46 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def _path(node: Node | None) -> list[Node]:
-    out = []
-    while node is not None:
-        out.append(node)
-        node = node.parent
-    return out
-
-
-def article(root: Node) -> Node:
-    """The subtree of the largest density sum, widened by the body-path threshold.
+def select(order: list[Node]) -> tuple[Node, Node, float]:
+    """(subtree of the article, subtree of the largest density sum, threshold) of measured nodes in page order.
 
-    The threshold is the least density between that subtree and the body. Other subtrees that reach it hold article
-    text too, and the smallest subtree around them all is taken; an article or main element around the largest sum
-    bounds it.
+    The threshold is the least density on the path from the largest sum to the body. Subtrees that reach it are
+    article text too; the smallest subtree around them and the largest sum is taken, not beyond the outermost article
+    element around the sum, else the outermost main element. There, headings and paragraphs count as well.
     """
-    order = measure(root)
     best = max(order, key=lambda n: (n.total, n.density, -n.tags))
-    path = _path(best)
-    around = [n for n in path if n.tag in ARTICLE]
-    if around:
-        return around[-1]
+    path, node = [], best
+    while node is not None:
+        path.append(node)
+        node = node.parent
     least = min((n.density for n in path if n.tag not in ("#root", "html")), default=0.0)
-    top, ancestors = path, set(map(id, path[1:]))
-    for node in order:
-        if id(node) not in ancestors and node.chars and node.density >= least and node.tag in BLOCK and node.total >= least and node.link_chars * 2 < node.chars:
-            own = set(map(id, _path(node)))
-            top = [n for n in top if id(n) in own] or top
-    return top[0]
+    bound = ([n for n in path if n.tag == "article"] or [n for n in path if n.tag == "main"] or path)[-1]
+    low, high = best.start, best.end
+    for n in order[bound.start : bound.end + 1]:
+        dense = n.density >= least and n.total >= least and n.tag in BLOCK and n.link_chars * 2 < n.chars
+        prose = n.tag in PROSE and bound.tag in ARTICLE
+        if n.chars and (dense or prose) and not n.start <= best.start <= n.end:
+            low, high = min(low, n.start), max(high, n.end)
+    return next(n for n in path if n.start <= low and n.end >= high), best, least
 
 
-def _lists_links(node: Node, least: float) -> bool:
-    """Whether a part of the article is a menu: a list of links, less dense than all that leads to the article."""
-    return node.tag in ("ul", "ol", "dl") and node.link_tags > 1 and node.link_chars * 10 >= node.chars * 9 and node.density < least
+def _thin(n: Node, top: Node, best: Node, least: float) -> bool:
+    """Whether a part of the article is no text of it by its density.
+
+    That is a list of links, or a container outside the largest sum without paragraphs or headings, less dense than
+    all that leads to the largest sum.
+    """
+    if n is top or n.density >= least or n.start <= best.start <= n.end:
+        return False
+    if n.tag in ("ul", "ol", "dl") and n.link_tags > 1 and n.link_chars * 10 >= n.chars * 9:
+        return True
+    return n.tag in ("div", "section") and not n.prose and not best.start <= n.start <= best.end
 
 
-def blocks(node: Node) -> list[str]:
+def blocks(top: Node, best: Node, least: float) -> list[str]:
     """Texts of the blocks below a node, white space turned to single spaces."""
-    path = [n.density for n in _path(node) if n.tag not in ("#root", "html")]
-    least = min(path, default=0.0)
     out: list[list[str]] = [[]]
-    stack: list = [node]
+    stack: list = [top]
     while stack:
         x = stack.pop()
         if x is None:
@@ -221,7 +290,7 @@ def blocks(node: Node) -> list[str]:
             out[-1].append(x)
         elif x.tag == "br":
             out[-1].append(" ")
-        elif x is node or not _lists_links(x, least):
+        elif not _thin(x, top, best, least):
             edge = x.tag in BLOCK
             stack += [None] * edge + x.parts[::-1] + [None] * edge
     got = (" ".join("".join(b).split()) for b in out)
@@ -233,7 +302,8 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    return "\n".join(blocks(article(root)))
+    prune(root)
+    return "\n".join(blocks(*select(measure(root))))
 
 
 def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:

@@ -1,8 +1,10 @@
 """Quality rules, secrets, HTML, mixing and tokens against plain versions."""
 
 import collections
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -179,6 +181,77 @@ def test_article_without_semantic_elements():
     assert len(got) == 4 and all(g.startswith("some words") for g in got)
 
 
+PARAS = "".join(f"<p>{'some words of the text that matter ' * 8}{k}</p>" for k in range(4))
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "post has-comments", "layout nav-left", "page no-sidebar", "entry search-result", "post-body alert-free", "search", "comments", "postForm"])
+def test_a_name_on_the_whole_article_does_not_drop_it(name):
+    for page in (f'<nav><a href=1>x</a></nav><div class="{name}"><h1>T</h1>{PARAS}</div><footer>f</footer>', f'<div id="{name}"><article><h1>T</h1>{PARAS}</article></div>', f'<main><div class="{name}"><article><h1>T</h1>{PARAS}</article></div></main><div class=ad>Buy</div>'):
+        got = html_text.extract(f"<body>{page}</body>").split("\n")
+        assert got[0] == "T" and len(got) == 5
+
+
+@pytest.mark.parametrize("name", ["ad", "cookie-notice", "sidebar", "comment-list", "siteFooter", "main-nav", "x advert", "related-posts"])
+def test_marked_parts_go_whatever_their_size(name):
+    page = f'<article><h1>T</h1><p>A short article.</p><div class="{name}"><p>{"many words of another kind " * 300}</p></div></article>'
+    assert html_text.extract(page) == "T\nA short article."
+
+
+def test_density_decides_inside_main():
+    page = f"<main><h1>T</h1><div>{PARAS}</div><div>Buy now today</div><div><a href=1>one</a> <a href=2>two</a></div></main>"
+    assert "Buy now" not in html_text.extract(page) and html_text.extract(page).count("\n") == 4
+
+
+def plain_density(node):
+    """(chars, tags, link_chars, link_tags) of a node by plain recursion."""
+    kids = [p for p in node.parts if isinstance(p, html_text.Node)]
+    sums = [plain_density(k) for k in kids]
+    chars = sum(len(re.sub(r"\s", "", p)) for p in node.parts if isinstance(p, str)) + sum(s[0] for s in sums)
+    link = node.tag == "a"
+    return chars, len(kids) + sum(s[1] for s in sums), chars if link else sum(s[2] for s in sums), link + sum(s[3] for s in sums)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_densities_and_choice_match_brute_force(seed):
+    rng = random.Random(seed)
+
+    def tree(depth):
+        tag = rng.choice(["div", "p", "section", "a", "ul", "span", "b"])
+        inner = [rng.choice(["", "a few words ", "x" * rng.randrange(200)]) for _ in range(2)]
+        return f"<{tag}>{inner[0]}{''.join(tree(depth - 1) for _ in range(rng.randrange(4))) if depth else ''}{inner[1]}</{tag}>"
+
+    root = html_text.parse("<body>" + "".join(tree(5) for _ in range(4)) + "</body>")
+    html_text.prune(root)
+    order = html_text.measure(root)
+    whole = plain_density(root)
+    by_hand = {}
+    for n in order:
+        c, t, lc, lt = plain_density(n)
+        t1, lc1, lt1 = max(t, 1), max(lc, 1), max(lt, 1)
+        base = math.log(c / max(c - lc, 1) * lc + whole[2] / max(whole[0], 1) * c + math.e)
+        by_hand[id(n)] = c / t1 * math.log(max(c / lc1 * t1 / lt1, 1)) / max(math.log(base), 0.1) if c else 0.0
+        assert abs(n.density - by_hand[id(n)]) < 1e-9
+    sums = {id(n): sum(by_hand[id(k)] for k in n.parts if isinstance(k, html_text.Node)) if n.chars else 0.0 for n in order}
+    top, best, least = html_text.select(order)
+    assert sums[id(best)] >= max(sums.values()) - 1e-9
+    path, n = [], best
+    while n is not None:
+        path.append(n)
+        n = n.parent
+    assert top in path and abs(least - min(by_hand[id(x)] for x in path if x.tag not in ("#root", "html"))) < 1e-9
+    inside = lambda n, m: n is m or (n.parent is not None and inside(n.parent, m))
+    for n in order:
+        if n.tag in html_text.BLOCK and n.density >= least and n.total >= least and n.chars and 2 * n.link_chars < n.chars:
+            assert inside(n, top) or inside(best, n)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000, "<ul>" * 100_000, "<ul><li>x" * 50_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<a \"'>" * 50_000, "<table><tr><td>" * 30_000, "<a x='" * 50_000 + ">"])
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - began < 8
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "plain text only", "<p>un<b>closed", "<!-- never ends", "<div>" * 3000 + "deep" + "</div>" * 10, "<a href='x>y'>q</a>", "<script>", "&#0;&bogus;"])
 def test_odd_pages(page):
     assert isinstance(html_text.extract(page), str)
