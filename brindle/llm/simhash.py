@@ -113,13 +113,17 @@ def word_set_fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(words)).tobytes(), "big", signed=True)
 
 
-def shingle_set(text: bytes | None, words: int) -> np.ndarray:
-    """Sorted hashes of the word shingles of a lower-cased text (fewer words: of the whole sequence; none: empty)."""
-    hashes, _, _ = word_hashes((text or b"").lower())
+def shingles_of(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of the word shingles of a text in order (fewer words: of the whole sequence; none: empty)."""
     if not len(hashes):
         return hashes
     at = np.arange(max(1, len(hashes) - words + 1))
-    return np.unique(span_hash(hashes, at, np.minimum(at + words, len(hashes))))
+    return span_hash(hashes, at, np.minimum(at + words, len(hashes)))
+
+
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """Sorted hashes of the word shingles of a lower-cased text."""
+    return np.unique(shingles_of(word_hashes((text or b"").lower())[0], words))
 
 
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -127,9 +131,9 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-#: Bands and minima a band: two shingle sets of Jaccard similarity j share no band with probability (1 - j ** 7) ** 52,
-#: 5e-6 at 0.8 and 1e-8 at 0.85, however the texts differ.
-BANDS, ROWS = 52, 7
+#: Bands and minima a band, over the pairs of consecutive words: two texts whose pairs have a Jaccard similarity of j share
+#: no band with probability (1 - j ** 7) ** 60: 7e-7 at 0.8, 0.006 at 0.7, however the texts differ.
+PAIR, BANDS, ROWS = 2, 60, 7
 _TURNS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -151,10 +155,10 @@ def _marks(words: int):
     def marks(texts: pa.Array) -> pa.Array:
         fps, digests, bands = [], [], []
         for t in texts.to_pylist():
-            s = shingle_set(t, words)
+            hashes = word_hashes((t or b"").lower())[0]
             fps.append(word_set_fingerprint(t))
-            digests.append(_digest(s))
-            bands.append(band_keys(s).view(np.int64))
+            digests.append(_digest(np.unique(shingles_of(hashes, words))))
+            bands.append(band_keys(np.unique(shingles_of(hashes, PAIR))).view(np.int64))
         cols = [pa.array(c, pa.int64()) for c in (fps, [x for x, _ in digests], [y for _, y in digests])]
         return pa.StructArray.from_arrays([*cols, pa.array(bands, pa.list_(pa.int64()))], names=["fp", "h1", "h2", "bands"])
 
@@ -185,15 +189,16 @@ def _digests(words: int):
     return digests
 
 
-def _shingles(words: int):
-    @F.arrow_udf("struct<h1:long,h2:long,shingles:array<long>>")
-    def shingles(texts: pa.Array) -> pa.Array:
-        sets = [shingle_set(t, words) for t in texts.to_pylist()]
-        h = [_digest(x) for x in sets]
-        lists = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([pa.array([x for x, _ in h], pa.int64()), pa.array([y for _, y in h], pa.int64()), lists], names=["h1", "h2", "shingles"])
+def _sequences(words: int):
+    @F.arrow_udf("struct<h1:long,h2:long,n:int,shingles:array<long>>")
+    def sequences(texts: pa.Array) -> pa.Array:
+        hashes = [word_hashes((t or b"").lower())[0] for t in texts.to_pylist()]
+        rows = [shingles_of(h, words) for h in hashes]
+        digests = [_digest(np.unique(x)) for x in rows]
+        cols = [pa.array([x for x, _ in digests], pa.int64()), pa.array([y for _, y in digests], pa.int64()), pa.array(list(map(len, hashes)), pa.int32())]
+        return pa.StructArray.from_arrays([*cols, pa.array([x.view(np.int64) for x in rows], pa.list_(pa.int64()))], names=["h1", "h2", "n", "shingles"])
 
-    return shingles
+    return sequences
 
 
 def midpoint_keys(fp: Column, blocks: int = 3) -> Column:
@@ -211,37 +216,79 @@ def midpoint_keys(fp: Column, blocks: int = 3) -> Column:
     return F.array(*out)
 
 
-def _similar(similarity: float):
+def _met(hit: np.ndarray, row: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
+    """For each row, how many of its words lie in a shingle that is hit; row: the row of each shingle, n: words of rows."""
+    at = np.flatnonzero(hit)
+    r = row[at]
+    step = np.full(len(at), words)
+    if len(at):
+        step[:-1] = np.where(r[1:] == r[:-1], np.minimum(np.diff(at), words), words)
+    return np.minimum(np.bincount(r, step, len(n)), n)
+
+
+def similar_labels(shingles: list[np.ndarray], n: np.ndarray, part: np.ndarray, within: bool, similarity: float, words: int) -> np.ndarray:
+    """For rows of one cell, the smallest row that links reach: rows given by their shingles in order and their words.
+
+    Two rows are linked if the Jaccard similarity of their shingle sets, or for texts of similar length the share of
+    either's words that lie in a shingle of the other, reaches `similarity`. within: rows of equal part are compared too.
+    Each row is compared, in vector steps, with those after it that it is not joined to yet.
+    """
+    m = len(shingles)
+    row = np.repeat(np.arange(m), [len(x) for x in shingles])
+    values, code = np.unique(np.concatenate(shingles), return_inverse=True)
+    ends = np.cumsum([len(x) for x in shingles])
+    codes = np.split(code, ends[:-1])
+    sets = [np.unique(c) for c in codes]
+    size = np.array([len(x) for x in sets])
+    label, seen, own = np.arange(m), np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=bool)
+    for x in range(m - 1):
+        ok = label[x + 1 :] != label[x]
+        if not within:
+            ok &= part[x + 1 :] != part[x]
+        near = np.minimum(n[x + 1 :], n[x]) >= similarity * np.maximum(n[x + 1 :], n[x])
+        ok &= near | (np.minimum(size[x + 1 :], size[x]) >= similarity * np.maximum(size[x + 1 :], size[x]))
+        if not ok.any():
+            continue
+        seen[codes[x]] = True
+        first = x + 1 + int(ok.argmax())
+        after = slice(ends[first - 1], None)
+        hit = seen[code[after]]
+        r = row[after] - first
+        common = np.bincount(r[hit], minlength=m - first)
+        covered = _met(hit, r, n[first:], words) >= similarity * n[first:]
+        share = common * (1 + similarity) >= similarity * (size[first:] + size[x])
+        for y in first + np.flatnonzero(ok[first - x - 1 :] & (common > 0) & (covered | share)):
+            if label[y] == label[x]:
+                continue
+            both = np.count_nonzero(seen[sets[y]])
+            good = both >= similarity * (size[x] + size[y] - both)
+            if not good and covered[y - first] and near[y - x - 1]:
+                own[codes[y]] = True
+                good = _met(own[codes[x]], np.zeros(len(codes[x]), dtype=int), n[x : x + 1], words)[0] >= similarity * n[x]
+                own[codes[y]] = False
+            if good:
+                low, high = sorted((label[x], label[y]))
+                label[label == high] = low
+        seen[codes[x]] = False
+    return label
+
+
+def _similar(similarity: float, words: int):
     names = ["group", "cell_a", "cell_b"]
 
     def similar(batches):
         for table, group in whole_groups(batches, names, 2048):
-            node, size = table.column("node").to_numpy(), table.column("size").to_numpy()
+            node, n = table.column("node").to_numpy(), table.column("n").to_numpy().astype(np.int64)
             a, b, part = (table.column(c).to_numpy() for c in ("cell_a", "cell_b", "part"))
-            test = lambda i, j, n=size: np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
-            i, j = near_pairs(group, a == b, part, test)
-            if not len(i):
-                continue
             lists = table.column("shingles").combine_chunks()
             flat, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            root = list(range(len(node)))
-
-            def find(k: int, root=root) -> int:
-                while root[k] != k:
-                    root[k] = root[root[k]]
-                    k = root[k]
-                return k
-
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                p, q = find(x), find(y)
-                if p == q:  # joined already
-                    continue
-                s, t = flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]]
-                low, high = sorted((len(s), len(t)))
-                both = low + high - len(np.unique(np.concatenate([s, t])))
-                if both >= similarity * (low + high - both):
-                    root[max(p, q)] = min(p, q)
-            ends = [(node[k], node[find(k)]) for k in range(len(node)) if find(k) != k]
+            edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+            ends = []
+            for lo, hi in itertools.pairwise(edges.tolist()):
+                if hi - lo > 1:
+                    rows = [flat[at[k] : at[k + 1]] for k in range(lo, hi)]
+                    label = similar_labels(rows, n[lo:hi], part[lo:hi], a[lo] == b[lo], similarity, words)
+                    ends += [(node[lo + k], node[lo + x]) for k, x in enumerate(label) if k != x]
             if ends:
                 x, y = zip(*ends, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
@@ -249,6 +296,36 @@ def _similar(similarity: float):
     return similar
 
 
+def _fans(rows: DataFrame, chunk: int) -> DataFrame:
+    """rows of groups dealt to parts of about `chunk` rows by a hash; the first node of a group is in all of its parts."""
+    counts = rows.groupBy("group").agg(F.count("*").alias("_n"), F.min("node").alias("_head")).where("_n > 1")
+    met = rows.join(counts, "group").withColumn("_n", F.ceil(F.col("_n") / F.lit(chunk)).cast("long"))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("_n")))
+    met = met.withColumn("part", F.explode(F.when(F.col("node") == F.col("_head"), F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).otherwise(own)))
+    met = met.withColumn("cell_a", F.col("part")).withColumn("cell_b", F.col("part")).drop("_n", "_head")
+    return met.repartition("group", "cell_a").sortWithinPartitions("group", "cell_a")
+
+
+def _rest(rows: DataFrame, found: DataFrame, chunk: int) -> DataFrame:
+    """Cells of groups of over `chunk` rows in which fans left several components: all pairs but those inside the largest.
+
+    The largest component is joined already, so only the others meet it and each other; it is spread over many cells.
+    """
+    named = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = named.groupBy("group", "component").agg(F.count("*").alias("_m"))
+    most = sizes.groupBy("group").agg(F.sum("_m").alias("_n"), F.max(F.struct("_m", "component")).alias("_most"), F.count("*").alias("_k"))
+    most = most.where((F.col("_n") > chunk) & (F.col("_k") > 1))
+    parts = lambda n: F.ceil(n / F.lit(chunk)).cast("long")
+    met = named.join(most, "group").withColumn("_in", F.col("component") == F.col("_most.component"))
+    met = met.withColumn("_rest", parts(F.col("_n") - F.col("_most._m"))).withColumn("_all", F.col("_rest") + parts(F.col("_most._m")))
+    own = F.when(F.col("_in"), F.col("_rest") + F.pmod(F.xxhash64("node"), F.col("_all") - F.col("_rest"))).otherwise(F.pmod(F.xxhash64("node"), "_rest"))
+    met = met.withColumn("part", own).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("_in"), F.col("_rest")).otherwise(F.col("_all")) - 1)))
+    met = met.withColumn("cell_a", F.least("part", "_o")).withColumn("cell_b", F.greatest("part", "_o"))
+    met = met.select(*rows.columns, "part", "cell_a", "cell_b")
+    order = ["group", "cell_a", "cell_b"]
+    return met.repartition(*order).sortWithinPartitions(*order)
+
+
 def _near_copy_texts(docs: DataFrame, words: int, similarity: float, chunk: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h1, h2) of each row and (h1, h2, rep, group) of each set of shingles; rep is its smallest doc_id."""
     prepare(docs.sparkSession)
@@ -267,21 +344,29 @@ def _near_copy_texts(docs: DataFrame, words: int, similarity: float, chunk: int)
     members = written(texts.join(group, "node").select("group", "node", "rep", "h1", "h2"), "members")
     wanted = members.select("rep").distinct()
     full = docs.select("doc_id", text.alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    full = full.select(_shingles(words)("text").alias("s")).select("s.*").join(members.drop("rep"), ["h1", "h2"])
-    full = full.dropDuplicates(["node"]).select("group", "node", F.size("shingles").alias("size"), "shingles")
-    found = components(cells(full, ["group"], "node", chunk).mapInArrow(_similar(similarity), "a long, b long"))
+    full = full.select(_sequences(words)("text").alias("s")).select("s.*").join(members.drop("rep"), ["h1", "h2"])
+    full = written(full.dropDuplicates(["node"]).select("group", "node", "n", "shingles"), "sequences")
+    links = written(_fans(full, chunk).mapInArrow(_similar(similarity, words), "a long, b long"), "links")
+    found = components(links)
+    more = written(_rest(full, found, chunk).mapInArrow(_similar(similarity, words), "a long, b long"), "links")
+    if not more.isEmpty():
+        found = components(links.union(more))
     return sig, texts.join(found, "node", "left").select("h1", "h2", "rep", F.coalesce("component", "node").alias("group"))
 
 
 def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, chunk: int = 512) -> DataFrame:
-    """(doc_id, component_id) of groups of documents whose word shingles have a Jaccard similarity of 0.8 or more.
+    """(doc_id, component_id) of groups of documents that are 0.8 or more alike in word shingles.
+
+    Two texts are linked if the Jaccard similarity of their shingle sets reaches `similarity`, or, at lengths whose ratio
+    reaches it, if that share of the words of each lies in shingles that the other holds too. A changed word costs the
+    first measure five shingles and the second one word, so copies with changed words throughout are found by the second.
 
     Texts with equal shingles are one node. Candidates are nodes whose SimHash over the set of words is within 8 bits
-    (they share a midpoint key of one of three blocks; finds changed words) or that share a band of MinHash over the
-    shingles (finds added and cut text as well). Within a group that candidates form, all pairs of fitting sizes are
-    compared by their shingles, exactly, in bounded cells; a pair of 0.8 stays apart with a probability below 5e-6.
-    Null and empty texts are copies of each other. Rows of null doc_id are compared as all others; component_id is the
-    smallest doc_id of the group, null if no row of it has one.
+    (they share a midpoint key of one of three blocks) or that share a band of MinHash over their pairs of words.
+    Within a group that candidates form, texts are compared exactly: first in fans (parts of bounded size with the
+    group's first text in each), then, in groups of many parts that did not become one, all that is not joined yet in
+    bounded cells. Null and empty texts are copies of each other. Rows of null doc_id are compared as all others;
+    component_id is the smallest doc_id of the group, null if no row of it has one.
     """
     sig, texts = _near_copy_texts(docs, words, similarity, chunk)
     named = texts.join(texts.groupBy("group").agg(F.min("rep").alias("component_id")), "group")
