@@ -93,22 +93,35 @@ def classify_failure(cause):
 
 
 def identity_cache_report(log: DataFrame, ttl: str = "5 minutes") -> DataFrame:
-    """log (subject, ts, ok) with cache: HIT if the last successful lookup that was written is younger than the TTL,
-    MISS otherwise; failures are not cached. A miss that succeeds writes; hits do not prolong."""
-    seconds = F.expr(f"INTERVAL {ttl}")
-    # Writes cut the time line to spans of one TTL: a write is the first success not covered by the write before.
-    rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", "ok")))
-    start = F.struct(F.lit(None).cast("timestamp").alias("at"), F.array().cast("array<struct<event_id:bigint,hit:boolean>>").alias("out"))
-
-    def step(acc, x):
-        hit = F.coalesce(x["ts"] < acc["at"] + seconds, F.lit(False))
-        at = F.when(~hit & x["ok"], x["ts"]).otherwise(acc["at"])
-        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(F.struct(x["event_id"].alias("event_id"), hit.alias("hit")))).alias("out"))
-
-    # Days keep the groups small: a subject's day is one array, and the cache is empty at midnight.
-    day = log.withColumn("_day", F.to_date("ts"))
-    one = day.groupBy("subject", "_day").agg(F.aggregate(rows, start, step, lambda a: a["out"]).alias("r"))
-    return one.select("subject", F.inline("r")).withColumn("cache", F.when(F.col("hit"), "HIT").otherwise("MISS")).drop("hit")
+    """log (subject, ts, event_id, ok) with cache: HIT if the last successful lookup that was written is younger than
+    the TTL, MISS otherwise; failures are not cached. A miss that succeeds writes; hits do not prolong.
+
+    A gap of a TTL or more empties the cache for certain, so it cuts a subject's time line into spells that are dealt on
+    their own. A spell is a fold over its rows in order that carries the last write only; no rows are held.
+    """
+    spark = log.sparkSession
+    micros = spark.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {ttl}) AS t").first().t
+    own = W.partitionBy("subject").orderBy("ts", "event_id")
+    at = F.unix_micros("ts")
+    rows = log.select("subject", at.alias("at"), "event_id", "ok", (at - F.lag(at).over(own) >= micros).cast("int").alias("_new"), "ts")
+    rows = rows.withColumn("spell", F.sum(F.coalesce("_new", F.lit(0))).over(own)).select("subject", "spell", "at", "event_id", "ok")
+    order = ["subject", "spell", "at", "event_id"]
+
+    def fold(batches):
+        spell, write = None, None
+        for pdf in batches:
+            hits = []
+            for row in zip(pdf["subject"], pdf["spell"], pdf["at"], pdf["ok"], strict=True):
+                if row[:2] != spell:
+                    spell, write = row[:2], None
+                hit = write is not None and row[2] < write + micros
+                if not hit and row[3]:
+                    write = row[2]
+                hits.append("HIT" if hit else "MISS")
+            yield pdf[["subject", "event_id"]].assign(cache=hits)
+
+    kinds = f"subject {log.schema['subject'].dataType.simpleString()}, event_id {log.schema['event_id'].dataType.simpleString()}, cache string"
+    return rows.repartition("subject", "spell").sortWithinPartitions(*order).mapInPandas(fold, kinds)
 
 
 def concurrency_profile(exchanges: DataFrame, keys: list[str], owners: int = 128, size: int = 64 << 20) -> DataFrame:

@@ -4,6 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+#: Hits and misses of a cache of five hours for each user: each write is the first success at least that long after the one before.
+CACHE_SQL = """WITH RECURSIVE ok AS (SELECT user_id, ts, event_id FROM events WHERE event_type <> 'error'),
+w AS (SELECT user_id, min(struct_pack(t := ts, e := event_id)) AS x FROM ok GROUP BY 1
+ UNION ALL SELECT w.user_id, min(struct_pack(t := ok.ts, e := ok.event_id)) FROM w JOIN ok ON ok.user_id = w.user_id AND ok.ts >= w.x.t + INTERVAL 5 HOUR GROUP BY w.user_id, w.x),
+h AS (SELECT e.user_id, e.event_id, coalesce(bool_or(w.x.t + INTERVAL 5 HOUR > e.ts AND (w.x.t, w.x.e) < (e.ts, e.event_id)), false) AS hit FROM events e LEFT JOIN w ON w.user_id = e.user_id GROUP BY 1, 2)
+SELECT user_id AS subject, CASE WHEN hit THEN 'HIT' ELSE 'MISS' END AS cache, count(*) AS n FROM h GROUP BY 1, 2"""
+
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 

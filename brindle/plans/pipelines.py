@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.tables import shared_path
 from brindle.operators import chat as ch
-from brindle.plans.catalog import load, query
+from brindle.plans.catalog import CACHE_SQL, load, query
 from brindle.plans.detection import deltas
 from brindle.sources import corpora as co
 from brindle.streaming import streams as st
@@ -144,12 +144,15 @@ def s11_iban_registry(spark, sf_dir):
 # ------------------------------------------------------------------ streams
 
 
-def _event_stream(spark, sf_dir):
-    """Events written as eight files by time, and read as a stream."""
-    e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+def _events(spark, sf_dir):
+    return load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _event_stream(spark, sf_dir, closing=None):
+    """Events written in four steps by time, and read as a stream of four batches and more."""
     path = shared_path(spark, "events")
-    e.repartitionByRange(8, "ts").sortWithinPartitions("ts").write.parquet(path)
-    return st.stream_table(spark, path)
+    st.write_in_order(_events(spark, sf_dir), path, closing=closing, marks={"event_id": -1})
+    return st.stream_table(spark, path, 2)
 
 
 @query("SELECT conv_id || ':' || turn AS stream_id, 'COMPLETE' AS status, text FROM conversations WHERE text <> ''")
@@ -158,30 +161,32 @@ def st1_live_reassembly(spark, sf_dir):
     ends = d.groupBy("stream_id").agg((F.max("seq") + 1).alias("seq")).select("stream_id", "seq", F.lit("").alias("delta"), F.lit(True).alias("done"))
     all_ = d.union(ends).withColumn("failed", F.lit(False)).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
     path = shared_path(spark, "deltas")
-    all_.write.parquet(path)
-    return st.run_available(st.reassemble_live(st.stream_table(spark, path))).select("stream_id", "status", "text")
+    st.write_in_order(all_, path)
+    return st.run_available(st.reassemble_live(st.stream_table(spark, path, 2), "100 days")).select("stream_id", "status", "text")
 
 
-@query("SELECT event_id AS span_id, true AS ended FROM events WHERE event_id % 4 <> 0")
+@query("SELECT event_id AS span_id, event_id % 4 <> 0 AS ended FROM events")
 def st2_pair_stream(spark, sf_dir):
-    """Pairs of starts and of ends one minute later; starts without an end wait for the watermark."""
-    s = _event_stream(spark, sf_dir).select(F.col("event_id").alias("span_id"), "ts")
-    c = _event_stream(spark, sf_dir).where("event_id % 4 <> 0").select(F.col("event_id").alias("span_id"), (F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("ts"))
-    out = st.run_available(st.pair_stream(s, c))
-    return out.where("completed_ts is not null").select("span_id", F.lit(True).alias("ended"))
+    """Starts with their ends one minute later; those without an end come out once the watermark has passed them."""
+    e = _event_stream(spark, sf_dir, "2 DAYS")
+    s = e.select(F.col("event_id").alias("span_id"), "ts")
+    c = e.where("event_id % 4 <> 0").select(F.col("event_id").alias("span_id"), (F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("ts"))
+    return st.run_available(st.pair_stream(s, c)).where("span_id >= 0").select("span_id", F.col("completed_ts").isNotNull().alias("ended"))
 
 
-@query()
+@query("SELECT event_id AS span_id, 'ERROR' AS status, 'POLICY_DEADLINE_EXCEEDED' AS error_code FROM events WHERE event_id % 4 < 2")
 def st3_deadlines(spark, sf_dir):
-    """Starts whose end did not come within the deadline, as far as the watermark has come (so no SQL)."""
-    s = _event_stream(spark, sf_dir).select(F.col("event_id").alias("span_id"), "ts")
-    c = _event_stream(spark, sf_dir).where("event_id % 4 <> 0").select(F.col("event_id").alias("span_id"), "ts")
+    """Starts whose end did not come within an hour: of every fourth there is none, that of the next comes after two hours."""
+    e = _event_stream(spark, sf_dir, "2 DAYS")
+    s = e.select(F.col("event_id").alias("span_id"), "ts")
+    after = F.when(F.col("event_id") % 4 == 1, F.col("ts") + F.expr("INTERVAL 2 HOURS")).otherwise(F.col("ts"))
+    c = e.where("event_id % 4 <> 0").select(F.col("event_id").alias("span_id"), after.alias("ts"))
     return st.run_available(st.deadlines(s, c, "1 hour"))
 
 
-@query()
+@query(CACHE_SQL)
 def st4_cached_identities(spark, sf_dir):
-    """Streaming form of the identity cache; tests compare it with the batch form."""
+    """Streaming form of the identity cache; l11_identity_cache is the batch form, with the same SQL."""
     e = _event_stream(spark, sf_dir).select(F.col("user_id").alias("subject"), "event_id", "ts", (F.col("event_type") != "error").alias("ok"))
     return st.run_available(st.cached_identities(e, 18_000)).groupBy("subject", "cache").agg(F.count("*").alias("n"))
 
@@ -208,17 +213,19 @@ def st7_mask_stream(spark, sf_dir):
     ids = load(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("n"))
     p = co.generate_planted(ids, "PAYMENT_CARD").withColumn("source", (F.col("n") % 2).cast("string"))
     path = shared_path(spark, "texts")
-    p.write.parquet(path)
+    p.repartition(4).write.parquet(path)
     pol = spark.createDataFrame([("0", "BLOCK"), ("1", "ALLOW")], "source string, on_detected string")
-    return st.run_available(st.mask_stream(st.stream_table(spark, path), ["PAYMENT_CARD"], pol)).select("n", "masked", "decision")
+    return st.run_available(st.mask_stream(st.stream_table(spark, path, 2), ["PAYMENT_CARD"], pol)).select("n", "masked", "decision")
 
 
 @query("SELECT count(*) AS n, sum(event_id)::BIGINT AS ids FROM events")
 def st8_ingest_once(spark, sf_dir):
-    e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    """Events of which every third comes again, most in a later batch."""
+    e = _events(spark, sf_dir)
     path = shared_path(spark, "twice")
-    e.union(e.where("event_id % 3 = 0")).repartition(4).write.parquet(path)
-    out = st.run_available(st.ingest_once(st.stream_table(spark, path), ["event_id"], "400 days"))
+    for part in (e, e.where("event_id % 3 = 0")):
+        part.repartition(2).write.mode("append").parquet(path)
+    out = st.run_available(st.ingest_once(st.stream_table(spark, path, 1), ["event_id"], "400 days"))
     return out.agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
@@ -226,5 +233,5 @@ def st8_ingest_once(spark, sf_dir):
 def st9_loss(spark, sf_dir):
     s = _event_stream(spark, sf_dir).where("event_id % 10 <> 0")
     out = st.run_batches(st.delivered_stream(s, "1 day", "365 days")).groupBy("window_start").agg(F.max_by("n", "batch_id").alias("n"))
-    e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day").getField("start").alias("window_start")).agg(F.count("*").alias("n_expected"))
+    e = _events(spark, sf_dir).groupBy(F.window("ts", "1 day").getField("start").alias("window_start")).agg(F.count("*").alias("n_expected"))
     return st.lost_events(e, out).select(F.date_format("window_start", "yyyy-MM-dd").alias("d"), "n_expected", "n", "lost")

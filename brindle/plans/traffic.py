@@ -8,7 +8,7 @@ from brindle.operators import audit as au
 from brindle.operators import chat as ch
 from brindle.operators import context as cx
 from brindle.operators import policy as po
-from brindle.plans.catalog import load, query
+from brindle.plans.catalog import CACHE_SQL, load, query
 from brindle.plans.detection import deltas
 
 # ------------------------------------------------------------------ conversations as requests, responses and streams
@@ -331,9 +331,9 @@ def l8_exchange_metrics(spark, sf_dir):
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("h"), "status_class", "n", F.round("total_ms", 6).alias("total_ms"), F.col("histogram")[5].alias("n_100"))
 
 
-@query()
+@query(CACHE_SQL)
 def l11_identity_cache(spark, sf_dir):
-    """Hits and misses of a cache of five minutes for each user, failures not cached (a fold over time; no SQL)."""
+    """Hits and misses of a cache of five hours for each user, failures not cached."""
     log = _events(spark, sf_dir).select(F.col("user_id").alias("subject"), "ts", "event_id", (F.col("event_type") != "error").alias("ok"))
     return au.identity_cache_report(log, "5 hours").groupBy("subject", "cache").agg(F.count("*").alias("n"))
 

@@ -37,12 +37,37 @@ def run_batches(df: DataFrame, mode: str = "update") -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
 
 
+def write_in_order(df: DataFrame, path: str, steps: int = 4, files: int = 2, closing: str | None = None, marks: dict | None = None) -> None:
+    """Write df (with ts) to path in steps by ranges of time, each of `files` files, so that a stream that takes `files`
+    files a batch sees the steps one after another; closing adds a row that much later, with the values of marks (a join key
+    must not be null there: rows that cannot join are filtered out before they move the watermark)."""
+    spark = df.sparkSession
+    ends = df.select(F.unix_micros("ts").alias("t")).agg(F.percentile_approx("t", [k / steps for k in range(1, steps + 1)], 1000).alias("q"), F.max("t").alias("most")).first()
+    low = None
+    for k in range(steps):
+        t = F.unix_micros("ts")
+        high = ends.most if k == steps - 1 else ends.q[k]
+        part = df.where((t <= high) if low is None else (t > low) & (t <= high)) if high is not None else df
+        part.repartition(files).write.mode("append").parquet(path)
+        low = high
+    if closing:
+        last = spark.range(1).select(F.expr(f"timestamp_micros({ends.most or 0}) + INTERVAL {closing}").alias("ts"))
+        values = [F.col("ts") if f.name == "ts" else F.lit((marks or {}).get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]
+        last.select(*values).repartition(1).write.mode("append").parquet(path)
+
+
 def stream_table(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """A stream of the Parquet files of a path, its schema taken from the files."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
+def in_order(pdfs, by: list[str]):
+    """Rows of a key in one batch, in order: a key's rows may come in several Arrow chunks, whose order is that of the shuffle."""
+    chunks = list(pdfs)
+    return pd.concat(chunks).sort_values(by).itertuples() if chunks else iter(())
+
+
 def reassemble_live(deltas: DataFrame, idle: str = "10 minutes") -> DataFrame:
     """(stream_id, status, text, n) of each stream (stream_id, seq, delta, done, failed, ts): COMPLETE at its end, FAILED at an
     error event, which discards the text, or after the idle time without an end."""
@@ -88,24 +113,29 @@ def pair_stream(started: DataFrame, completed: DataFrame, limit: str = "1 hour")
 
 
 def deadlines(started: DataFrame, completed: DataFrame, limit: str = "50 milliseconds") -> DataFrame:
-    """Error rows of policies that did not end within the deadline."""
+    """Error rows of policies that did not end within the deadline, each once the watermark has passed it.
+
+    A bounded input ends with a late pair in both streams (write_in_order adds it), which moves the watermark past all.
+    """
     p = pair_stream(started, completed, limit)
     return p.where("completed_ts is null").select("span_id", F.lit("ERROR").alias("status"), F.lit("POLICY_DEADLINE_EXCEEDED").alias("error_code"))
 
 
 def cached_identities(lookups: DataFrame, ttl_seconds: int = 300) -> DataFrame:
-    """(subject, event_id, cache): HIT within the TTL of the last written success, else MISS; failures are not cached."""
+    """(subject, event_id, cache): HIT within the TTL of the last written success, else MISS; failures are not cached.
+
+    Batches must come in the order of time; rows of one batch are put in order here.
+    """
 
     def step(key, pdfs, state: GroupState):
         at = state.get[0] if state.exists else None
         out = []
-        for pdf in pdfs:
-            for r in pdf.sort_values(["ts", "event_id"]).itertuples():
-                now = r.ts.value // 1000
-                hit = at is not None and now < at + ttl_seconds * 1_000_000
-                if not hit and r.ok:
-                    at = now
-                out.append((key[0], r.event_id, "HIT" if hit else "MISS"))
+        for r in in_order(pdfs, ["ts", "event_id"]):
+            now = r.ts.value // 1000
+            hit = at is not None and now < at + ttl_seconds * 1_000_000
+            if not hit and r.ok:
+                at = now
+            out.append((key[0], r.event_id, "HIT" if hit else "MISS"))
         if at is not None:
             state.update((at,))
         yield pd.DataFrame(out, columns=["subject", "event_id", "cache"])
@@ -114,16 +144,16 @@ def cached_identities(lookups: DataFrame, ttl_seconds: int = 300) -> DataFrame:
 
 
 def probe_signal_stream(probes: DataFrame, run: int = 3) -> DataFrame:
-    """(probe, probe_id) when `run` failures in a row are reached; a 200 resets. Rows must come in the order of time."""
+    """(probe, probe_id) when `run` failures in a row are reached; a 200 resets. Batches must come in the order of time;
+    rows of one batch are put in order here."""
 
     def step(key, pdfs, state: GroupState):
         n = state.get[0] if state.exists else 0
         out = []
-        for pdf in pdfs:
-            for r in pdf.sort_values(["ts", "probe_id"]).itertuples():
-                n = 0 if r.status == 200 else n + 1
-                if n == run:
-                    out.append((key[0], r.probe_id))
+        for r in in_order(pdfs, ["ts", "probe_id"]):
+            n = 0 if r.status == 200 else n + 1
+            if n == run:
+                out.append((key[0], r.probe_id))
         state.update((n,))
         yield pd.DataFrame(out, columns=["probe", "probe_id"])
 
