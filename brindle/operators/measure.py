@@ -96,10 +96,12 @@ def paired_regression(current: DataFrame, baseline: DataFrame, case: list[str],
     return out.withColumn("passed", ok)
 
 
-def same_environment(a: DataFrame, b: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """(same): whether the property maps of two one-row tables are equal but for the keys ignored."""
-    keep = lambda c: F.array_sort(F.map_entries(F.map_filter(c, lambda k, v: ~k.isin(*ignore)))) if ignore else F.array_sort(F.map_entries(c))
-    return a.select(keep(F.col("env")).alias("a")).crossJoin(b.select(keep(F.col("env")).alias("b"))).select(F.col("a").eqNullSafe(F.col("b")).alias("same"))
+def same_environment(a: DataFrame, b: DataFrame, ignore: tuple[str, ...], key: str) -> DataFrame:
+    """(key, same): whether the property maps (key, env) of two runs are equal but for the keys ignored; a run that is
+    missing on one side differs."""
+    known = F.map_entries(F.map_filter("env", lambda k, v: ~k.isin(*ignore))) if ignore else F.map_entries("env")
+    x, y = (d.select(key, F.array_sort(known).alias(n)) for d, n in ((a, "_a"), (b, "_b")))
+    return x.join(y, key, "full_outer").select(key, F.col("_a").eqNullSafe(F.col("_b")).alias("same"))
 
 
 def test_totals(cases: DataFrame) -> DataFrame:
@@ -120,10 +122,10 @@ def throughput_verdict(runs: DataFrame, most: float = 0.70) -> DataFrame:
 
 
 def matrix_problems(observed: DataFrame, dims: list[DataFrame]) -> DataFrame:
-    """(dims, problem): cells of the cross product of small dimensions that were not observed (MISSING) or twice (DUPLICATE)."""
+    """(dims, problem): cells of the product of dimensions (that is what the matrix is; its rows are the result's bound) that were not observed (MISSING) or twice (DUPLICATE)."""
     cells = dims[0]
     for d in dims[1:]:
-        cells = cells.crossJoin(F.broadcast(d))
+        cells = cells.crossJoin(d)
     keys = cells.columns
     missing = cells.join(observed, keys, "left_anti").withColumn("problem", F.lit("MISSING"))
     twice = observed.groupBy(*keys).count().where("count > 1").select(*keys, F.lit("DUPLICATE").alias("problem"))

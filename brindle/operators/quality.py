@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -35,49 +37,51 @@ def overlap_pairs(gold: DataFrame, pred: DataFrame, keys: list[str], bin_size: i
     return j
 
 
-def _augment(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Largest matching of one component by augmenting paths; spans in order of start, end and id."""
-    left = {k: sorted(set(map(tuple, d[["p_start", "p_end", "p_id"]].values))) for k, d in pdf.groupby(["g_start", "g_end", "g_id"])}
-    of: dict = {}
-
-    def seek(g, seen) -> bool:
-        for p in left[g]:
-            if p not in seen:
-                seen.add(p)
-                if p not in of or seek(of[p], seen):
-                    of[p] = g
-                    return True
-        return False
+def _sweep(batches):
+    """Matches of spans that come sorted by case, type and start, each key's in one piece.
 
-    for g in sorted(left):
-        seek(g, set())
-    first = pdf.iloc[0]
-    return pd.DataFrame({"case_id": [first.case_id] * len(of), "type": [first.type] * len(of), "g_id": [g[2] for g in of.values()], "p_id": [p[2] for p in of]})
+    Of the spans that wait for a partner the one that ends first takes, when its end is passed, the waiting span of the
+    other side that ends first: both reach over that end, and what else the taken span could meet, later ones meet too,
+    so the matching is a largest one. Only waiting spans are held.
+    """
+    key, waiting = None, ([], [])
+
+    def settle(until=None):
+        while waiting[0] or waiting[1]:
+            side = 0 if not waiting[1] or (waiting[0] and waiting[0][0] <= waiting[1][0]) else 1
+            if until is not None and waiting[side][0][0] > until:
+                return
+            x = heapq.heappop(waiting[side])
+            if waiting[1 - side]:
+                y = heapq.heappop(waiting[1 - side])
+                yield (*key, x[2], y[2]) if side == 0 else (*key, y[2], x[2])
+
+    for pdf in batches:
+        out = []
+        for case, kind, start, end, side, span in zip(*(pdf[c].tolist() for c in ("case_id", "type", "start", "end", "side", "span_id")), strict=True):
+            if (case, kind) != key:
+                out += settle()
+                key = (case, kind)
+            else:
+                out += settle(start)
+            heapq.heappush(waiting[side], (end, start, span))
+        yield pd.DataFrame(out, columns=["case_id", "type", "g_id", "p_id"])
+    yield pd.DataFrame(list(settle()), columns=["case_id", "type", "g_id", "p_id"])
 
 
 def match_spans(gold: DataFrame, pred: DataFrame, case: str = "case_id") -> DataFrame:
     """(case, type, g_id, p_id): a largest one-to-one matching of overlapping spans of one type.
 
-    Spans that overlap through others form an island of the line. Islands with one gold or one predicted span are
-    settled in SQL (the first partner by start, end, id); only the rest, a few spans each, go to pandas.
+    One shuffle by case and type and one ordered pass; empty spans and rows of null case or type match nothing.
     """
-    both = gold.select(F.col(case).alias("case_id"), "type", "start", "end", "span_id", F.lit("g").alias("side")).union(
-        pred.select(F.col(case).alias("case_id"), "type", "start", "end", "span_id", F.lit("p").alias("side"))
+    both = gold.select(F.col(case).alias("case_id"), "type", "start", "end", "span_id", F.lit(0).alias("side")).union(
+        pred.select(F.col(case).alias("case_id"), "type", "start", "end", "span_id", F.lit(1).alias("side"))
     )
-    w = W.partitionBy("case_id", "type").orderBy("start", "end", "side", "span_id")
-    high = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    both = both.withColumn("_new", F.coalesce(F.col("start") >= high, F.lit(True)).cast("int"))
-    both = both.withColumn("island", F.sum("_new").over(w))
-    keys = ["case_id", "type", "island"]
-    pairs = overlap_pairs(both.where("side = 'g'"), both.where("side = 'p'"), keys)
-    sizes = pairs.groupBy(*keys).agg(F.count_distinct("g_id").alias("_g"), F.count_distinct("p_id").alias("_p"))
-    pairs = pairs.join(sizes, keys)
-    simple = pairs.where("_g = 1 or _p = 1").groupBy(*keys).agg(
-        F.min(F.struct("g_start", "g_end", "g_id", "p_start", "p_end", "p_id")).alias("m")
-    ).select("case_id", "type", "m.g_id", "m.p_id")
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in simple.schema)
-    hard = pairs.where("_g > 1 and _p > 1").groupBy(*keys).applyInPandas(_augment, kind)
-    return simple.union(hard).withColumnRenamed("case_id", case)
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema}
+    schema = f"case_id {kinds['case_id']}, type {kinds['type']}, g_id {kinds['span_id']}, p_id {kinds['span_id']}"
+    both = both.where("start < end and case_id is not null and type is not null").repartition("case_id", "type")
+    found = both.sortWithinPartitions("case_id", "type", "start", "end", "side", "span_id").mapInPandas(_sweep, schema)
+    return found.withColumnRenamed("case_id", case)
 
 
 def relaxed_counts(gold: DataFrame, pred: DataFrame, case: str = "case_id") -> DataFrame:

@@ -35,7 +35,20 @@ def test_relaxed_matching_is_largest(spark):
         p += [(case, "T", s, e, k) for k, (s, e) in enumerate(b)]
     s = "case_id long, type string, start long, end long, span_id long"
     out = quality.match_spans(spark.createDataFrame(g, s), spark.createDataFrame(p, s))
-    assert out.count() == want and out.select("case_id", "g_id").distinct().count() == want
+    rows = out.collect()
+    assert len(rows) == want and len({(r.case_id, r.g_id) for r in rows}) == len({(r.case_id, r.p_id) for r in rows}) == want
+    at = {(side, c, k): (a, b) for side, t in ((0, g), (1, p)) for c, _, a, b, k in t}
+    for r in rows:
+        (a, b), (c, d) = at[0, r.case_id, r.g_id], at[1, r.case_id, r.p_id]
+        assert a < d and c < b
+
+
+def test_a_long_chain_of_spans_is_matched_whole(spark):
+    s = "case_id long, type string, start long, end long, span_id long"
+    g = spark.createDataFrame([(1, "T", 4 * k, 4 * k + 3, k) for k in range(5000)] + [(1, "T", 0, 0, -1), (None, "T", 0, 9, 1)], s)
+    p = spark.createDataFrame([(1, "T", 4 * k + 2, 4 * k + 5, k) for k in range(5000)] + [(None, "T", 0, 9, 1)], s)
+    assert quality.match_spans(g, p).count() == 5000
+    assert quality.match_spans(g.limit(0), p).count() == 0
 
 
 def test_product_rules(spark):
