@@ -20,7 +20,7 @@ _OWN_SCRATCH: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable in Python workers and keep Arrow batches small enough for long texts."""
+    """Make this package importable in Python workers."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     known = os.pathsep.join([env.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")])
@@ -28,13 +28,22 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     if root not in sys.path:
         sys.path.insert(0, root)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Lower the session's Arrow batches to `rows`, so that a batch of very long texts fits a worker. It holds for what the
+    session runs later too, so queries and the pipeline ask for it, operators do not."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a folder of our own where it is unset."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Where that is unset, a local session gets a
+    folder of its own, as in tests; on a cluster it is an error, as executors would write to their own disks."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         app = spark.sparkContext.applicationId
         root = _OWN_SCRATCH.setdefault(app, tempfile.mkdtemp(prefix="spark-scratch-"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

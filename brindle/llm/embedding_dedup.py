@@ -87,7 +87,7 @@ def _links(k: int, tables: int, seed: int, cosine: float, least: int):
 
     def linked(batches):
         for table, group in whole_groups(batches, names, 4096):
-            rep, size = table.column("rep").to_numpy(), table.column("n").to_numpy()
+            node, size = table.column("node").to_numpy(), table.column("n").to_numpy()
             at_table, dims = table.column("table").to_numpy(), table.column("dim").to_numpy()
             a, b, part = (table.column(c).to_numpy() for c in ("cell_a", "cell_b", "part"))
             for dim in np.unique(dims):
@@ -116,7 +116,7 @@ def _links(k: int, tables: int, seed: int, cosine: float, least: int):
                 i, j = near_pairs(group[own], (a == b)[own], part[own], test, 50_000)
                 if not len(i):
                     continue
-                r, n = rep[own], size[own]
+                r, n = node[own], size[own]
                 links = np.zeros(len(own), dtype=np.int64)
                 np.add.at(links, i, n[j])
                 np.add.at(links, j, n[i])
@@ -126,7 +126,7 @@ def _links(k: int, tables: int, seed: int, cosine: float, least: int):
                 ids = r[some]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids), pa.array([to.get(v, v) for v in ids.tolist()], pa.int64()), pa.array(links[some])],
-                    names=["rep", "root", "links"],
+                    names=["node", "root", "links"],
                 )
 
     return linked
@@ -144,33 +144,36 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.93, seed: int = 11, c
     """
     spark = vectors.sparkSession
     prepare(spark)
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    v = vectors.select("vec_id", F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = F.coalesce(
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~odd & F.exists("embedding", lambda x: x != 0), F.lit(False)
     )
     # -0.0 and 0.0 are one number
-    v = v.withColumn("fit", fit).withColumn("embedding", F.when(F.col("fit"), F.transform("embedding", lambda x: x + 0.0)))
+    v = v.withColumn("fit", fit).withColumn("embedding", F.when(F.col("fit"), F.transform("embedding", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))))
     marked = v.select("vec_id", "fit", "label", "embedding", F.when(F.col("fit"), F.xxhash64("embedding")).alias("h"))
     marked = marked.withColumn("h2", F.when(F.col("fit"), F.xxhash64(F.lit(1), F.col("embedding"))))
     nodes = marked.where("fit").groupBy("label", "h", "h2").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding")
     )
-    nodes = written(nodes, "vectors")
+    # Nodes have ids of their own: rows of one vec_id may be several vectors.
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     most = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     k, tables, least = plan_search(most, cosine)
     keyed = nodes.select(
-        "label", "rep", "n", "embedding", F.size("embedding").alias("dim"), F.posexplode(_keys(k, tables, seed)("embedding")).alias("table", "key")
+        "label", "node", F.size("embedding").alias("dim"), F.posexplode(_keys(k, tables, seed)("embedding")).alias("table", "key")
     )
-    slim = cells(keyed.select("table", "label", "dim", "key", "rep"), ["table", "label", "dim", "key"], "rep", chunk)
+    slim = cells(keyed.select("table", "label", "dim", "key", "node"), ["table", "label", "dim", "key"], "node", chunk)
     order = ["table", "label", "dim", "key", "cell_a", "cell_b"]
-    full = slim.join(nodes.select("rep", "n", "embedding"), "rep").repartition(*order).sortWithinPartitions(*order)
-    found = written(full.mapInArrow(_links(k, tables, seed, cosine, least), "rep long, root long, links long"), "links")
-    comps = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = nodes.select("label", "h", "h2", "rep", "n").join(links, "rep", "left").join(comps, "rep", "left").select(
-        "label", "h", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
-    )
+    full = slim.join(nodes.select("node", "n", "embedding"), "node").repartition(*order).sortWithinPartitions(*order)
+    found = written(full.mapInArrow(_links(k, tables, seed, cosine, least), "node long, root long, links long"), "links")
+    comps = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    named = written(nodes.select("label", "h", "h2", "rep", "n", "node").join(links, "node", "left").join(comps, "node", "left").select(
+        "label", "h", "h2", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")
+    ), "named")
+    named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").drop("component", "rep")
     same = marked.select("vec_id", "fit", "label", "h", "h2")
     met = same.where("fit").join(named, ["label", "h", "h2"]).select("vec_id", "n_links", "component_id")
     rest = same.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

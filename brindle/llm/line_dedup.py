@@ -111,7 +111,19 @@ class LineRuns:
         return self._union(self.tables())
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3, buckets: int = 32) -> DataFrame:
+    def close(self) -> None:
+        """Take the runs out of the catalog; their files lie in the shared folder until that is cleared."""
+        for level in self.levels:
+            for name in level:
+                self.spark.sql(f"DROP TABLE {name}")
+        self.levels = []
+
+
+#: Documents that a batch takes, and line hashes that a bucket of a run holds, before there are more of them.
+BATCH_DOCS, BUCKET_LINES = 1 << 30, 1 << 24
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = None, fanout: int = 3, buckets: int | None = None) -> DataFrame:
     """docs with text cut to the lines that stay, plus n_lines and n_dropped.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. A key of min_chars code points
@@ -120,13 +132,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     one document. Input columns named n_lines or n_dropped are replaced; other columns pass through. An empty table
     gives an empty table. Keys are compared by 128-bit hashes.
 
-    Batches are ranges of doc_id by quantiles, so the oldest holder of a key is always in the oldest run.
+    Batches are ranges of doc_id by quantiles, so the oldest holder of a key is always in the oldest run. There are four,
+    more where documents pass BATCH_DOCS each; runs have 32 buckets, more where line hashes pass BUCKET_LINES each.
     """
     spark = docs.sparkSession
     prepare(spark)
     docs = without(docs, "n_lines", "n_dropped")
     raw = F.col("text").cast("binary")
     ids = docs.select("doc_id").where("doc_id is not null")
+    batches = batches or max(4, -(-ids.count() // BATCH_DOCS))
     cuts = sorted(set(ids.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     part = F.lit(0)
     for c in cuts:
@@ -135,7 +149,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     path = scratch(spark, "lines")
     lines.write.partitionBy("batch").parquet(path)
     keyed = spark.read.schema("doc_id long, hi long, lo long, batch int").parquet(path)
-    runs = LineRuns(spark, buckets, fanout)
+    runs = LineRuns(spark, buckets or max(32, -(-keyed.count() // BUCKET_LINES)), fanout)
     for b in range(len(cuts) + 1):
         runs.absorb(keyed.where(F.col("batch") == b))
     # The owner side has a row for each hash; of a hot line's rows on the other side AQE splits the partition.
@@ -146,6 +160,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("hi", "lo")).alias("_drops"))
     )
+    drops = written(drops, "drops")
+    runs.close()
     out = docs.join(drops, "doc_id", "left").withColumn("_kept", _keep(min_chars)(raw, F.col("_drops")))
     names = [F.col("_kept.text").alias(c) if c == "text" else F.col(c) for c in docs.columns]
     return out.select(*names, "_kept.n_lines", "_kept.n_dropped")

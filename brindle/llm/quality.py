@@ -156,8 +156,8 @@ def _as_arrow(got: list, **more: np.ndarray) -> pa.Array:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Trees:
-    """Trees fitted on at most `sample` labelled documents: the first by a hash of their ids. Only their ratios come
-    to the driver. Without labels of both kinds the verdict is the same for all documents: good."""
+    """Trees fitted on at most `sample` labelled documents: the first by a hash of their ids; of several texts or labels of
+    an id the smallest counts. Only their ratios come to the driver. Without labels of both kinds the verdict is the same for all documents: good."""
     prepare(docs.sparkSession)
 
     @F.arrow_udf(f"struct<{STATS}>")
@@ -165,9 +165,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Trees
         return _as_arrow([statistics(t) for t in texts.to_pylist()])
 
     rows = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    rows = rows.orderBy(F.md5(F.col("doc_id").cast("string")), "quality").limit(sample)
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     met = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(rows), "doc_id")
-    got = met.select(text_statistics("text")["ratios"].alias("r"), "quality").limit(2 * sample).collect()
+    met = met.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    got = met.select(text_statistics("text")["ratios"].alias("r"), "quality").collect()
     got.sort(key=lambda r: (r.quality, r.r))
     y = np.array([r.quality for r in got], dtype=float)
     if not len(y) or y.min() == y.max():

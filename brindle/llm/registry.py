@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
 #: query name -> (module, SQL constant or None)
@@ -19,8 +20,22 @@ MODULES = {
 }
 
 
+def _query(name: str, module: str):
+    """The query, in a session whose Arrow batches suit very long texts."""
+    from brindle.llm.common import small_batches
+
+    run = getattr(importlib.import_module(f"brindle.llm.{module}"), name)
+
+    @functools.wraps(run)
+    def query(spark, sf_dir: str):
+        small_batches(spark)
+        return run(spark, sf_dir)
+
+    return query
+
+
 def queries() -> dict:
-    return {n: getattr(importlib.import_module(f"brindle.llm.{m}"), n) for n, (m, _) in MODULES.items()}
+    return {n: _query(n, m) for n, (m, _) in MODULES.items()}
 
 
 def oracle_sql() -> dict:

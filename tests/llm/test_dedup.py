@@ -358,6 +358,30 @@ def test_embeddings_match_brute_force(spark, chunk):
     assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_vec_id_are_vectors_of_their_own(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda v: [x + 0.05 for x in v]
+    rows = [(1, a, 1), (1, b, 1), (1, c, 2), (2, near(a), 1), (3, near(b), 1), (4, near(c), 2), (5, [-0.0, 0.0, 2.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.embedding_groups(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 1, 1), (4, 2, 1), (5, 2, 1)]
+
+
+def test_no_false_links_and_nearly_all_true_ones(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((60, 64))
+    rows = [(int(i), (base[i % 60] + rng.standard_normal(64) * rng.uniform(0.1, 0.6)).astype(np.float32).tolist(), int(i % 3)) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    rows = [(r.vec_id, np.array(r.embedding, dtype=np.float64), r.label) for r in df.orderBy("vec_id").collect()]
+    x = np.array([v / np.linalg.norm(v) for _, v, _ in rows])
+    label = np.array([k for _, _, k in rows])
+    link = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(link, False)
+    want = link.sum(axis=1)
+    got = np.array([r.n_links for r in embedding_dedup.embedding_groups(df).orderBy("vec_id").collect()])
+    assert (got <= want).all() and want.sum() > 1000 and got.sum() >= 0.995 * want.sum()
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     df = spark.createDataFrame(edges, "a long, b long")
