@@ -11,9 +11,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below a folder of our own where that is unset, as in tests."""
+    """A new path below spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own, as in tests;
+    on a cluster it is an error, as executors would write to their own disks."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-shared-"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm.common import small_batches, written
 from brindle.llm.line_dedup import dedup_lines
 from brindle.llm.mixing import mix_sources
 from brindle.llm.quality import fit_quality, rate_documents
@@ -14,6 +15,7 @@ from brindle.llm.tokens import decode, encode
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base limits and the trees fitted on the labels; the columns unchanged."""
+    small_batches(spark)
     trees = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rated = rate_documents(docs.select(F.struct("*").alias("_row"), "text"), trees)
     return rated.where("kept").select("_row.*")
@@ -21,6 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an older document holds; n_chars follows the text. A document may lose all lines."""
+    small_batches(spark)
     out = dedup_lines(docs.select(F.struct("*").alias("_row"), "doc_id", "text"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"_row.{c}") for c in docs.columns])
@@ -28,6 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near copies."""
+    small_batches(spark)
     return drop_near_copies(docs)
 
 
@@ -38,6 +42,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ids, n_tokens and round_trip: whether decoding the ids gives the text again."""
+    small_batches(spark)
     out = decode(encode(docs), to="_decoded")
     return out.withColumn("round_trip", F.col("_decoded") == F.coalesce("text", F.lit(""))).drop("_decoded")
 
@@ -56,8 +61,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each result written to the shared folder and read again."""
-    from brindle.llm.common import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
