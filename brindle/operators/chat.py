@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brindle.functions.tables import saved
+
 #: Roles that instruct, and the part types that cannot be inspected as text (fixed values).
 INSTRUCTION_ROLES = ("system", "developer")
 GAP_PARTS = {"image_url": "IMAGE", "input_audio": "AUDIO", "file": "FILE"}
@@ -14,14 +16,17 @@ MAX_FRAGMENTS = 16_384
 
 #: The fields of a message that are read; others are ignored. Contents may be a text or an array of parts.
 MESSAGE = (
-    "struct<role:string,name:string,content:variant,refusal:string,reasoning_content:string,reasoning:struct<content:string,summary:string>,"
+    "struct<role:string,name:string,content:variant,refusal:string,reasoning_content:string,reasoning:struct<content:string,summary:string,text:string,encrypted_content:string>,"
     "tool_calls:array<struct<id:string,function:struct<name:string,arguments:string>>>,function_call:struct<name:string,arguments:string>,"
-    "audio:struct<id:string,transcript:string>>"
+    "audio:struct<id:string,transcript:string,data:string>>"
 )
-TOOL = "array<struct<type:string,function:struct<name:string,description:string,parameters:variant>>>"
+FUNCTION = "struct<name:string,description:string,parameters:variant>"
+CUSTOM = "struct<name:string,description:string,format:struct<type:string,grammar:struct<syntax:string,definition:string>>>"
+TOOL = f"array<struct<type:string,function:{FUNCTION},custom:{CUSTOM}>>"
+NAMED = "array<struct<type:string,function:struct<name:string>,custom:struct<name:string>>>"
 REQUEST = (
-    f"struct<model:string,messages:array<{MESSAGE}>,tools:{TOOL},functions:array<struct<name:string,description:string>>,"
-    "tool_choice:variant,prediction:struct<type:string,content:variant>,"
+    f"struct<model:string,messages:array<{MESSAGE}>,tools:{TOOL},functions:array<{FUNCTION}>,allowed_tools:struct<tools:{NAMED}>,"
+    "tool_choice:variant,function_call:variant,prediction:struct<type:string,content:variant>,"
     "response_format:struct<type:string,json_schema:struct<name:string,description:string,schema:variant>>,"
     "web_search_options:struct<user_location:struct<approximate:struct<city:string,country:string,region:string,timezone:string>>>>"
 )
@@ -86,7 +91,8 @@ def _message(m: Column, at: Column) -> Column:
         put(0, kind, "FREE_TEXT", "/content", plain), from_parts, put(2, "REFUSAL", "FREE_TEXT", "/refusal", m["refusal"]),
         put(3, "NAME", "STRUCTURAL", "/name", m["name"]), put(4, "REASONING", "FREE_TEXT", "/reasoning_content", m["reasoning_content"]),
         put(5, "REASONING", "FREE_TEXT", "/reasoning/content", m["reasoning"]["content"]),
-        put(5, "REASONING", "FREE_TEXT", "/reasoning/summary", m["reasoning"]["summary"]), calls,
+        put(5, "REASONING", "FREE_TEXT", "/reasoning/summary", m["reasoning"]["summary"]),
+        put(5, "REASONING", "FREE_TEXT", "/reasoning/text", m["reasoning"]["text"]), calls,
         put(7, "TOOL_NAME", "STRUCTURAL", "/function_call/name", m["function_call"]["name"]),
         put(7, "TOOL_ARGUMENTS", "STRUCTURAL", "/function_call/arguments", m["function_call"]["arguments"]),
         put(8, "MESSAGE_TEXT", "FREE_TEXT", "/audio/transcript", m["audio"]["transcript"]),
@@ -102,35 +108,84 @@ def _numbered(df: DataFrame, keys: list[str], fragments: Column) -> DataFrame:
 def fragments_from_requests(scanned: DataFrame, keys: list[str]) -> DataFrame:
     """Fragments of accepted requests: (keys, ordinal, kind, field_class, role, locator, text).
 
-    Order: messages by index, their fields in a fixed order, then tools, functions, choice, prediction, response format
-    and web-search location. (Objects of a VARIANT are sorted by key, so the order of fields in the source is not kept.)
+    Order: messages by index, their fields in a fixed order, then tools, functions, choices, allowed tools, prediction,
+    response format and web-search location. (Objects of a VARIANT are sorted by key, so the order of fields in the
+    source is not kept.) Texts inside JSON schemas come from schema_fragments; request_fragments has both.
     """
     d = scanned.where("reject is null")
     doc = F.col("doc")
     none = F.lit(None).cast("string")
     messages = F.flatten(F.transform(doc["messages"], lambda m, k: _message(m, F.concat(F.lit("/messages/"), k.cast("string")))))
     at = lambda base, k, path: F.concat(F.lit(base), k.cast("string"), F.lit(path))
+    name = lambda rank, locator, text: _one(rank, "TOOL_NAME", "STRUCTURAL", none, locator, text)
+    about = lambda rank, locator, text: _one(rank, "TOOL_DESCRIPTION", "FREE_TEXT", none, locator, text)
     tools = F.flatten(F.transform(F.coalesce(doc["tools"], F.array().cast(TOOL)), lambda t, k: F.concat(
-        _one(10, "TOOL_NAME", "STRUCTURAL", none, at("/tools/", k, "/function/name"), t["function"]["name"]),
-        _one(10, "TOOL_DESCRIPTION", "FREE_TEXT", none, at("/tools/", k, "/function/description"), t["function"]["description"]),
+        name(10, at("/tools/", k, "/function/name"), t["function"]["name"]), about(10, at("/tools/", k, "/function/description"), t["function"]["description"]),
+        name(10, at("/tools/", k, "/custom/name"), t["custom"]["name"]), about(10, at("/tools/", k, "/custom/description"), t["custom"]["description"]),
+        _one(10, "SCHEMA_TEXT", "STRUCTURAL", none, at("/tools/", k, "/custom/format/grammar/definition"), t["custom"]["format"]["grammar"]["definition"]),
+    )))
+    functions = F.flatten(F.transform(F.coalesce(doc["functions"], F.array().cast(f"array<{FUNCTION}>")), lambda t, k: F.concat(
+        name(11, at("/functions/", k, "/name"), t["name"]), about(11, at("/functions/", k, "/description"), t["description"]),
     )))
-    functions = F.flatten(F.transform(F.coalesce(doc["functions"], F.array().cast("array<struct<name:string,description:string>>")), lambda t, k: F.concat(
-        _one(11, "TOOL_NAME", "STRUCTURAL", none, at("/functions/", k, "/name"), t["name"]),
-        _one(11, "TOOL_DESCRIPTION", "FREE_TEXT", none, at("/functions/", k, "/description"), t["description"]),
+    choice = lambda path: F.try_variant_get(doc["tool_choice"], f"$.{path}.name", "string")
+    called = F.try_variant_get(doc["function_call"], "$.name", "string")
+    allowed = F.flatten(F.transform(F.coalesce(doc["allowed_tools"]["tools"], F.array().cast(NAMED)), lambda t, k: F.concat(
+        name(13, at("/allowed_tools/tools/", k, "/function/name"), t["function"]["name"]), name(13, at("/allowed_tools/tools/", k, "/custom/name"), t["custom"]["name"]),
     )))
-    choice = F.coalesce(F.try_variant_get(doc["tool_choice"], "$.function.name", "string"), F.try_variant_get(doc["tool_choice"], "$.custom.name", "string"))
+    predicted = F.try_variant_get(doc["prediction"]["content"], "$", PARTS)
+    whole = F.when(predicted.isNull(), F.try_variant_get(doc["prediction"]["content"], "$", "string"))
+    pieces = F.flatten(F.transform(F.coalesce(predicted, F.array().cast(PARTS)), lambda t, k: _one(
+        14, "PREDICTION", "FREE_TEXT", none, at("/prediction/content/", k, "/text"), F.when(t["type"] == "text", t["text"]))))
     form = doc["response_format"]["json_schema"]
     place = doc["web_search_options"]["user_location"]["approximate"]
     rest = F.concat(
-        _one(12, "TOOL_NAME", "STRUCTURAL", none, F.lit("/tool_choice/function/name"), choice),
-        _one(13, "PREDICTION", "FREE_TEXT", none, F.lit("/prediction/content"), F.try_variant_get(doc["prediction"]["content"], "$", "string")),
-        _one(14, "SCHEMA_NAME", "STRUCTURAL", none, F.lit("/response_format/json_schema/name"), form["name"]),
-        _one(14, "SCHEMA_TEXT", "FREE_TEXT", none, F.lit("/response_format/json_schema/description"), form["description"]),
-        *[_one(15, "LOCATION", "STRUCTURAL", none, F.lit(f"/web_search_options/user_location/approximate/{n}"), place[n]) for n in ("city", "country", "region", "timezone")],
+        name(12, F.lit("/tool_choice/function/name"), choice("function")), name(12, F.lit("/tool_choice/custom/name"), choice("custom")),
+        name(12, F.lit("/function_call/name"), called), allowed, _one(14, "PREDICTION", "FREE_TEXT", none, F.lit("/prediction/content"), whole), pieces,
+        _one(15, "SCHEMA_NAME", "STRUCTURAL", none, F.lit("/response_format/json_schema/name"), form["name"]),
+        _one(15, "SCHEMA_TEXT", "FREE_TEXT", none, F.lit("/response_format/json_schema/description"), form["description"]),
+        *[_one(16, "LOCATION", "STRUCTURAL", none, F.lit(f"/web_search_options/user_location/approximate/{n}"), place[n]) for n in ("city", "country", "region", "timezone")],
     )
     return _numbered(d, keys, F.concat(messages, tools.cast(FRAGMENTS), functions.cast(FRAGMENTS), rest.cast(FRAGMENTS)))
 
 
+def request_schemas(scanned: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, base, schema) of the JSON schemas of accepted requests: parameters of tools and functions, response format."""
+    doc = F.col("doc")
+    one = lambda base, schema: F.struct(base.alias("base"), schema.alias("schema"))
+    at = lambda base, k, path: F.concat(F.lit(base), k.cast("string"), F.lit(path))
+    found = F.concat(
+        F.transform(F.coalesce(doc["tools"], F.array().cast(TOOL)), lambda t, k: one(at("/tools/", k, "/function/parameters"), t["function"]["parameters"])),
+        F.transform(F.coalesce(doc["functions"], F.array().cast(f"array<{FUNCTION}>")), lambda t, k: one(at("/functions/", k, "/parameters"), t["parameters"])),
+        F.array(one(F.lit("/response_format/json_schema/schema"), doc["response_format"]["json_schema"]["schema"])),
+    )
+    return scanned.where("reject is null").select(*keys, F.inline(found)).where("schema is not null")
+
+
+def schema_fragments(scanned: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, field_class, role, locator, text) of the texts inside the schemas of requests."""
+    texts = schema_text(request_schemas(scanned, keys), [*keys, "base"], "schema")
+    kind = F.when(F.col("kind") == "PROPERTY_NAME", "SCHEMA_NAME").otherwise("SCHEMA_TEXT")
+    return texts.where("text <> ''").select(
+        *keys, kind.alias("kind"), F.lit("STRUCTURAL").alias("field_class"), F.lit(None).cast("string").alias("role"), F.concat("base", "path").alias("locator"), "text"
+    )
+
+
+def request_fragments(scanned: DataFrame, keys: list[str]) -> DataFrame:
+    """All fragments of accepted requests: those of fragments_from_requests, then those of their schemas by locator."""
+    rest = schema_fragments(scanned, keys).withColumn("ordinal", F.lit(MAX_FRAGMENTS * 4))
+    both = fragments_from_requests(scanned, keys).unionByName(rest)
+    w = W.partitionBy(*keys).orderBy("ordinal", "locator", "kind", "text")
+    return both.withColumn("ordinal", F.row_number().over(w) - 1)
+
+
+def schema_references(scanned: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests with a $ref that is not local to its schema: (keys, reject)."""
+    found = request_schemas(scanned, keys).where(F.to_json("schema").contains('"$ref"'))
+    refs = schema_text(found, [*keys, "base"], "schema", ("$ref",), ())
+    bad = refs.where((F.col("kind") == "SCHEMA_TEXT") & ~F.col("text").rlike(r"\A#(?:/|\z)"))
+    return bad.select(*keys).distinct().withColumn("reject", F.lit("UNSUPPORTED_SCHEMA"))
+
+
 def fragments_from_responses(scanned: DataFrame, keys: list[str]) -> DataFrame:
     """Fragments of accepted responses, choice by choice."""
     d = scanned.where("reject is null")
@@ -139,13 +194,29 @@ def fragments_from_responses(scanned: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def inspection_gaps(scanned: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, gap_kind, locator) of parts that hold images, audio or files."""
+    """(keys, gap_kind, locator) of what a request holds besides text: image, audio and file parts, audio of earlier
+    answers given by id (OPAQUE_AUDIO_REFERENCE) and encrypted reasoning (OPAQUE_REASONING)."""
     d = scanned.where("reject is null").select(*keys, F.posexplode("doc.messages").alias("m", "message"))
     parts = d.select(*keys, "m", F.posexplode(F.try_variant_get("message.content", "$", "array<struct<type:string>>")).alias("p", "part"))
     pairs = [F.lit(x) for k, v in GAP_PARTS.items() for x in (k, v)]
     kind = F.try_element_at(F.create_map(*pairs), F.col("part.type"))
     out = parts.select(*keys, kind.alias("gap_kind"), F.format_string("/messages/%d/content/%d", "m", "p").alias("locator"))
-    return out.where("gap_kind is not null")
+    return out.where("gap_kind is not null").union(_message_gaps(d, keys, "/messages/%d", {"audio.id": ("OPAQUE_AUDIO_REFERENCE", "/audio")}))
+
+
+def _message_gaps(messages: DataFrame, keys: list[str], base: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Gaps of fields of messages (keys, m, message), encrypted reasoning included."""
+    gaps = [
+        F.when(F.col(f"message.{f}").isNotNull(), F.struct(F.lit(kind).alias("gap_kind"), F.format_string(base + path, "m").alias("locator")))
+        for f, (kind, path) in {**fields, "reasoning.encrypted_content": ("OPAQUE_REASONING", "/reasoning/encrypted_content")}.items()
+    ]
+    return messages.select(*keys, F.inline(F.array_compact(F.array(*gaps))))
+
+
+def response_gaps(scanned: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, gap_kind, locator) of what a response holds besides text: audio and encrypted reasoning."""
+    d = scanned.where("reject is null").select(*keys, F.posexplode("doc.choices.message").alias("m", "message"))
+    return _message_gaps(d, keys, "/choices/%d/message", {"audio.data": ("AUDIO", "/audio")})
 
 
 def coverage(messages: DataFrame, fragments: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
@@ -168,22 +239,22 @@ SCHEMA_TEXT = ("title", "description", "const", "default", "pattern", "$comment"
 SCHEMA_LISTS = ("enum", "examples")
 
 
-def schema_text(df: DataFrame, keys: list[str], schema: str, depth: int = 128) -> DataFrame:
+def schema_text(df: DataFrame, keys: list[str], schema: str, words: tuple = SCHEMA_TEXT, lists: tuple = SCHEMA_LISTS, depth: int = 128) -> DataFrame:
     """(keys, path, kind, text) of the texts inside a JSON schema (VARIANT): titles, descriptions, constants, listed
-    values and names of properties. One level a round, until a level has no container."""
+    values and names of properties. One level a round, written to the shared folder, until a level has no container."""
+    spark = df.sparkSession
     level = df.select(*keys, F.lit("").alias("path"), F.lit("").alias("key"), F.lit("").alias("above"), F.col(schema).alias("v"))
     found = None
     for _ in range(depth):
-        level.createOrReplaceTempView("_schema_level")
-        cols = ", ".join(f"s.{k}" for k in keys)
-        step = df.sparkSession.sql(
-            f"SELECT {cols}, concat(s.path, '/', coalesce(e.key, cast(e.pos AS string))) AS path, coalesce(e.key, s.key) AS key, "
-            "s.key AS above, e.value AS v FROM _schema_level s, LATERAL variant_explode(s.v) AS e"
-        )
+        inside = level.withColumnsRenamed({"path": "_path", "key": "_key"}).drop("above")
+        step = inside.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "value"))
+        name = F.coalesce("name", F.col("pos").cast("string"))
+        step = step.select(*keys, F.concat("_path", F.lit("/"), name).alias("path"), F.coalesce("name", "_key").alias("key"), F.col("_key").alias("above"), F.col("value").alias("v"))
+        step = saved(step, "schema")
         value = F.try_variant_get("v", "$", "string")
         kind = F.schema_of_variant("v")
         name = step.where("above = 'properties'").select(*keys, "path", F.lit("PROPERTY_NAME").alias("kind"), F.col("key").alias("text"))
-        texts = step.where((kind == "STRING") & F.col("key").isin(*SCHEMA_TEXT, *SCHEMA_LISTS) & (F.col("above") != "properties"))
+        texts = step.where((kind == "STRING") & F.col("key").isin(*words, *lists) & (F.col("above") != "properties"))
         rows = texts.select(*keys, "path", F.lit("SCHEMA_TEXT").alias("kind"), value.alias("text")).union(name)
         found = rows if found is None else found.union(rows)
         level = step.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brindle.functions.tables import saved
@@ -154,23 +155,61 @@ def outcome_contract(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(dim), "outcome", "left")
 
 
+def policy_findings(findings: Column) -> Column:
+    """Findings of the detector as findings of the policy engine: type, span, confidence, and a map of metadata."""
+    pairs = lambda f: F.create_map(
+        F.lit("evidenceStrength"), f["evidence"], F.lit("recognizerId"), f["recognizer_id"], F.lit("recognizerVersion"), f["recognizer_version"]
+    )
+    return F.transform(findings, lambda f: F.struct(
+        f["type"].alias("type"), f["start_utf8"].alias("start"), f["end_utf8"].alias("end"), f["confidence"].alias("confidence"), pairs(f).alias("metadata")
+    ))
+
+
+def explain_fragments(results: DataFrame, reactions: DataFrame) -> DataFrame:
+    """(fragment_id, context_id, policies, detectors): what explains a decision. Of a blocked fragment only the policies
+    that block are kept, and the results of their detectors, as detector:status; else all."""
+    w = W.partitionBy("fragment_id", "context_id")
+    kept = reactions.withColumn("_block", F.max(F.col("disposition") == "BLOCK").over(w)).where(~F.col("_block") | (F.col("disposition") == "BLOCK"))
+    used = results.join(kept.select("fragment_id", "context_id", "policy_id"), ["fragment_id", "context_id", "policy_id"], "left_semi")
+    return used.groupBy("fragment_id", "context_id").agg(
+        F.array_sort(F.collect_set("policy_id")).alias("policies"), F.array_sort(F.collect_set(F.concat_ws(":", "detector_id", "status"))).alias("detectors")
+    )
+
+
+def inspected_payloads(messages: DataFrame, fragments: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ordinal, text) that are evaluated for each message: its fragments, or one empty text (ordinal null) for a
+    message of gaps only, which counts as no fragment."""
+    return messages.select(*keys).join(fragments.select(*keys, "ordinal", "text"), keys, "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def _rendered(counts: DataFrame, keys: list[str], name: str, to: str) -> DataFrame:
+    """(keys, to): counts by name as name:count, sorted and joined by commas."""
+    return counts.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", name, "count"))), ",").alias(to))
+
+
 def audit_messages(fragments: DataFrame, messages: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, audit_outcome, n_fragments, n_findings, by_type, policies): the safe summary of each message.
+    """(keys, audit_outcome, n_fragments, n_findings, by_type, by_evidence, policies, error_code): the safe summary of each message.
 
-    fragments: (keys, findings, policies, failed); messages: (keys, has_gap). A message of gaps only counts 0 fragments.
+    fragments: (keys, findings, policies, failed), and errors (array of detector_id, error_code) where known; messages:
+    (keys, has_gap). A message of gaps only counts 0 fragments. error_code is that of the first detector by id with one,
+    DETECTOR_EXECUTION_ERROR for a failure without.
     """
-    f = fragments.select(*keys, "findings", "failed", "policies")
-    types = f.select(*keys, F.explode("findings.type").alias("type")).groupBy(*keys, "type").count()
-    rendered = types.groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "type", "count"))), ",").alias("by_type"), F.sum("count").alias("n_findings")
-    )
+    f = fragments if "errors" in fragments.columns else fragments.withColumn("errors", F.array().cast("array<struct<detector_id:string,error_code:string>>"))
+    evidence = "evidence" in f.schema["findings"].dataType.elementType.names
+    each = f.select(*keys, F.explode("findings").alias("x"))
+    types = each.groupBy(*keys, F.col("x.type").alias("type")).count()
+    kinds = each.groupBy(*keys, (F.col("x.evidence") if evidence else F.lit(None).cast("string")).alias("evidence")).count().where("evidence is not null")
+    total = types.groupBy(*keys).agg(F.sum("count").alias("n_findings"))
     refs = f.select(*keys, F.explode("policies").alias("p")).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("policies"))
-    counts = f.groupBy(*keys).agg(F.count("*").alias("n_fragments"), F.bool_or("failed").alias("failed"))
-    out = messages.join(counts, keys, "left").join(rendered, keys, "left").join(refs, keys, "left")
+    first = f.select(*keys, F.explode("errors").alias("e")).where("e.error_code is not null").groupBy(*keys).agg(F.min(F.struct("e.detector_id", "e.error_code")).alias("_first"))
+    out = messages.join(f.groupBy(*keys).agg(F.count("*").alias("n_fragments"), F.bool_or("failed").alias("failed")), keys, "left")
+    for part in (total, _rendered(types, keys, "type", "by_type"), _rendered(kinds, keys, "evidence", "by_evidence"), refs, first):
+        out = out.join(part, keys, "left")
     outcome = F.when(F.col("failed"), "ERROR").when(F.col("n_findings") > 0, "DETECTED").when(F.col("has_gap"), "INSPECTION_GAP").otherwise("CLEAN")
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return out.select(
-        *keys, outcome.alias("audit_outcome"), F.coalesce("n_fragments", F.lit(0)).alias("n_fragments"),
-        F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.coalesce("by_type", F.lit("")).alias("by_type"), F.coalesce("policies", F.lit("")).alias("policies"),
+        *keys, outcome.alias("audit_outcome"), F.coalesce("n_fragments", F.lit(0)).alias("n_fragments"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
+        text("by_type"), text("by_evidence"), text("policies"), F.when(F.col("failed"), F.coalesce("_first.error_code", F.lit("DETECTOR_EXECUTION_ERROR"))).alias("error_code"),
     )
 
 

@@ -261,3 +261,12 @@ def comparable(a: DataFrame, b: DataFrame) -> DataFrame:
     """(key, a, b) of the parameters (key, value) in which two runs differ; none for runs that can be compared."""
     j = a.select("key", F.col("value").alias("a")).join(b.select("key", F.col("value").alias("b")), "key", "full_outer")
     return j.where(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def rank_corpora(counts: DataFrame, corpus: str = "corpus") -> DataFrame:
+    """(corpus, tp, fp, fn, precision, recall, f1, rank): each corpus scored on its own, the best f1 first, equal ones with
+    one rank. Corpora are never added up: there is no joint denominator."""
+    sums = counts.groupBy(corpus).agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"), F.sum("n_gold").alias("n_gold"))
+    tp, p, g = F.col("tp"), F.col("n_pred"), F.col("n_gold")
+    out = sums.select(corpus, "tp", (p - tp).alias("fp"), (g - tp).alias("fn"), *ratios(tp, p, g))
+    return out.withColumn("rank", F.rank().over(W.orderBy(F.desc("f1"))))  # one row a corpus

@@ -202,6 +202,13 @@ def e23_comparable(spark, sf_dir):
     return qu.comparable(a, b)
 
 
+@query(f"""WITH {_ROWS}, c AS (SELECT stage || family AS corpus, sum(tp) AS tp, sum(n_pred) AS p, sum(n_gold) AS g FROM r GROUP BY 1)
+SELECT corpus, tp::BIGINT AS tp, (p - tp)::BIGINT AS fp, (g - tp)::BIGINT AS fn, tp / p AS precision, tp / g AS recall, 2 * tp / (p + g) AS f1, rank() OVER (ORDER BY 2 * tp / (p + g) DESC)::INT AS rank FROM c""")
+def e24_corpora(spark, sf_dir):
+    """Corpora (status and flag of lines) scored apart and ranked."""
+    return qu.rank_corpora(_rows(spark, sf_dir).withColumn("corpus", F.concat("stage", "family")))
+
+
 # ------------------------------------------------------------------ measurements over events
 
 

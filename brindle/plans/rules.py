@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brindle.operators import chat as ch
 from brindle.operators import context as cx
 from brindle.operators import detect as d
+from brindle.operators import masking as ma
 from brindle.operators import policy as po
 from brindle.operators import quality as qu
 from brindle.plans.catalog import load, query
@@ -154,3 +155,100 @@ def s8_response_rejects(spark, sf_dir):
     body = F.when(F.col("conv_id") % 2 == 0, '{"model":"m"}').otherwise('{"choices":[],"choices":[]}')
     c = load(spark, sf_dir, "conversations", "conv_id").distinct().withColumn("body", body)
     return ch.scan_responses(c).select("conv_id", "reject")
+
+
+def _full_requests(spark, sf_dir):
+    """A request for each part with all kinds of fields outside of messages, and its schemas."""
+    p = load(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    text = lambda c: F.to_json(F.struct(F.col(c).alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("x")))) - 6)
+    body = F.concat(
+        F.lit('{"messages":[{"role":"user","content":"hi"}],"tools":[{"type":"function","function":{"name":"f","parameters":{"type":"object","properties":{'), text("p_brand"),
+        F.lit(':{"type":"string","enum":['), text("p_type"), F.lit("]}}}}},"), F.lit('{"type":"custom","custom":{"name":"c","format":{"type":"grammar","grammar":{"syntax":"regex","definition":'), F.concat(F.lit("\""), "p_size", F.lit("\"")),
+        F.lit('}}}}],"allowed_tools":{"mode":"auto","tools":[{"type":"function","function":{"name":'), text("p_name"), F.lit('}}]},"prediction":{"type":"content","content":[{"type":"text","text":'), text("p_name"),
+        F.lit('}]},"function_call":{"name":"g"},"response_format":{"type":"json_schema","json_schema":{"name":"s","schema":{"title":'), text("p_name"),
+        F.when(F.col("p_partkey") % 3 == 0, F.lit(',"items":{"$ref":"https://example.com/s"}')).otherwise(F.lit(',"items":{"$ref":"#/definitions/a"}')), F.lit("}}}}"),
+    )
+    return ch.scan_requests(p.select("p_partkey", body.alias("body")))
+
+
+@query("""SELECT p_partkey, kind, text FROM part, LATERAL (VALUES ('MESSAGE_TEXT', 'hi'), ('TOOL_NAME', 'f'), ('TOOL_NAME', 'c'), ('SCHEMA_TEXT', p_size::VARCHAR), ('TOOL_NAME', p_name), ('PREDICTION', p_name),
+ ('TOOL_NAME', 'g'), ('SCHEMA_NAME', 's'), ('SCHEMA_NAME', p_brand), ('SCHEMA_TEXT', p_type), ('SCHEMA_TEXT', p_name)) v(kind, text)""")
+def n2_n3_request_fields(spark, sf_dir):
+    """Allowed tools, custom tools with grammars, predictions in parts, and the texts of schemas, as fragments of requests."""
+    return ch.request_fragments(_full_requests(spark, sf_dir), ["p_partkey"]).select("p_partkey", "kind", "text")
+
+
+@query("SELECT p_partkey, 'UNSUPPORTED_SCHEMA' AS reject FROM part WHERE p_partkey % 3 = 0")
+def n3_references(spark, sf_dir):
+    """Requests whose schemas refer to other documents."""
+    return ch.schema_references(_full_requests(spark, sf_dir), ["p_partkey"])
+
+
+@query("""SELECT conv_id, '/messages/' || ((turn_at - 1) * 1)::VARCHAR || CASE role WHEN 'assistant' THEN '/audio' ELSE '/reasoning/encrypted_content' END AS locator,
+ CASE role WHEN 'assistant' THEN 'OPAQUE_AUDIO_REFERENCE' ELSE 'OPAQUE_REASONING' END AS gap_kind
+ FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_at FROM conversations) WHERE role IN ('assistant', 'system')""")
+def n5_opaque_gaps(spark, sf_dir):
+    """Audio of earlier answers by id, and encrypted reasoning."""
+    t = load(spark, sf_dir, "conversations")
+    audio = F.when(F.col("role") == "assistant", F.struct(F.lit("a-1").alias("id")))
+    hidden = F.when(F.col("role") == "system", F.struct(F.lit("xyz").alias("encrypted_content")))
+    one = t.withColumn("m", F.to_json(F.struct("role", F.col("text").alias("content"), audio.alias("audio"), hidden.alias("reasoning"))))
+    body = F.concat(F.lit('{"messages":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "m"))), lambda x: x["m"]), ","), F.lit("]}"))
+    return ch.inspection_gaps(ch.scan_requests(one.groupBy("conv_id").agg(body.alias("body"))), ["conv_id"])
+
+
+@query("""SELECT conv_id, turn, '/choices/0/message/' || k AS locator, CASE k WHEN 'audio' THEN 'AUDIO' ELSE 'OPAQUE_REASONING' END AS gap_kind
+ FROM conversations, (VALUES ('audio'), ('reasoning/encrypted_content')) v(k) WHERE role = 'assistant' AND (k = 'audio' OR turn % 2 = 1)""")
+def n7_response_gaps(spark, sf_dir):
+    t = load(spark, sf_dir, "conversations").where("role = 'assistant'")
+    audio = F.struct(F.lit("QUJD").alias("data"), F.col("text").alias("transcript"))
+    hidden = F.when(F.col("turn") % 2 == 1, F.struct(F.lit("xyz").alias("encrypted_content")))
+    body = F.concat(F.lit('{"choices":[{"index":0,"message":'), F.to_json(F.struct("role", audio.alias("audio"), hidden.alias("reasoning"))), F.lit("}]}"))
+    return ch.response_gaps(ch.scan_responses(t.withColumn("body", body)), ["conv_id", "turn"])
+
+
+@query("""WITH f AS (SELECT l_orderkey AS id, l_returnflag AS t, CASE WHEN l_linenumber % 2 = 0 THEN 'VALIDATED' ELSE 'FORMAT_ONLY' END AS e, l_linenumber FROM lineitem WHERE l_linenumber <> 3),
+b AS (SELECT id, t, count(*) AS n FROM f GROUP BY 1, 2), v AS (SELECT id, e, count(*) AS n FROM f GROUP BY 1, 2), m AS (SELECT DISTINCT l_orderkey AS id FROM lineitem),
+x AS (SELECT l_orderkey AS id, min(l_linenumber) FILTER (l_linenumber = 5) AS bad, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT m.id, CASE WHEN bad IS NOT NULL THEN 'ERROR' WHEN s.n > 0 THEN 'DETECTED' WHEN m.id % 2 = 0 THEN 'INSPECTION_GAP' ELSE 'CLEAN' END AS audit_outcome, x.n AS n_fragments, coalesce(s.n, 0)::BIGINT AS n_findings,
+ coalesce(b.r, '') AS by_type, coalesce(v.r, '') AS by_evidence, 'p-a@1,p-b@2' AS policies, CASE WHEN bad IS NOT NULL THEN CASE WHEN m.id % 3 = 0 THEN 'DETECTOR_EXECUTION_ERROR' ELSE 'A_FAILED' END END AS error_code
+FROM m JOIN x USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM f GROUP BY 1) s USING (id) LEFT JOIN (SELECT id, string_agg(t || ':' || n, ',' ORDER BY t || ':' || n) AS r FROM b GROUP BY 1) b USING (id)
+LEFT JOIN (SELECT id, string_agg(e || ':' || n, ',' ORDER BY e || ':' || n) AS r FROM v GROUP BY 1) v USING (id)""")
+def a3_a6_audit(spark, sf_dir):
+    """Orders as messages, their lines as fragments: one finding each but for every third line; the fifth line fails."""
+    li = load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
+    n = F.col("l_linenumber")
+    one = F.array(F.struct(F.col("l_returnflag").alias("type"), F.when(n % 2 == 0, "VALIDATED").otherwise("FORMAT_ONLY").alias("evidence")))
+    kind = "array<struct<type:string,evidence:string>>"
+    fails = F.array(F.struct(F.lit("z").alias("detector_id"), F.lit("Z_FAILED").alias("error_code")), F.struct(F.lit("a").alias("detector_id"), F.lit("A_FAILED").alias("error_code")))
+    none = F.array().cast("array<struct<detector_id:string,error_code:string>>")
+    frag = li.select(
+        F.col("l_orderkey").alias("id"), F.when(n == 3, F.array().cast(kind)).otherwise(one.cast(kind)).alias("findings"), F.array(F.lit("p-b@2"), F.lit("p-a@1")).alias("policies"),
+        (n == 5).alias("failed"), F.when((n == 5) & (F.col("l_orderkey") % 3 > 0), fails).otherwise(none).alias("errors"),
+    )
+    msg = li.select(F.col("l_orderkey").alias("id")).distinct().withColumn("has_gap", F.col("id") % 2 == 0)
+    return po.audit_messages(frag, msg, ["id"])
+
+
+@query("SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN NULL ELSE turn END AS ordinal, CASE WHEN conv_id % 4 = 0 THEN '' ELSE text END AS text FROM conversations WHERE conv_id % 4 > 0 OR turn = (SELECT min(turn) FROM conversations c WHERE c.conv_id = conversations.conv_id)")
+def a7_gap_payloads(spark, sf_dir):
+    """What is evaluated for each conversation; every fourth one has gaps only."""
+    t = load(spark, sf_dir, "conversations")
+    frag = t.where("conv_id % 4 > 0").select("conv_id", F.col("turn").alias("ordinal"), "text")
+    return po.inspected_payloads(t.select("conv_id").distinct(), frag, ["conv_id"])
+
+
+@query("SELECT o_orderkey AS n, 'PAYMENT_CARD' AS type, 'VALIDATED' AS evidence, 'fast.payment_card.luhn' AS recognizer FROM orders")
+def j11_finding_metadata(spark, sf_dir):
+    ids = load(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("n"))
+    f = d.detect_pii(co.generate_planted(ids, "PAYMENT_CARD"), types=["PAYMENT_CARD"]).select("n", F.inline(po.policy_findings(F.col("findings"))))
+    return f.select("n", "type", F.col("metadata")["evidenceStrength"].alias("evidence"), F.col("metadata")["recognizerId"].alias("recognizer"))
+
+
+@query("""SELECT doc_id, lang, '[EMAIL_MASKED]' AS masked, source FROM documents""")
+def m8_rebuilt_json(spark, sf_dir):
+    """Masked values written back into JSON documents and read again."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "lang", "source").withColumn("text", F.concat(F.lit("a"), "doc_id", F.lit("@example.com")))
+    docs = ma.mask_documents(d.detect_pii(docs, types=["EMAIL_ADDRESS"]))
+    out = ma.rebuild_json(docs, {"content": "masked", "lang": "lang", "source": "source"}).select("doc_id", F.from_json("body", "content string, lang string, source string").alias("x"))
+    return out.select("doc_id", F.col("x.lang").alias("lang"), F.col("x.content").alias("masked"), F.col("x.source").alias("source"))

@@ -172,6 +172,19 @@ def j9_j10_fragment_decisions(spark, sf_dir):
     return po.decide_fragments(_reactions(spark, sf_dir)).select("fragment_id", "disposition", "masks", F.array_join("blocking", ",").alias("blocking"))
 
 
+@query(_REACT_SQL + """, b AS (SELECT fragment_id, bool_or(disposition = 'BLOCK') AS block FROM reac GROUP BY 1),
+k AS (SELECT reac.* FROM reac JOIN b USING (fragment_id) WHERE NOT block OR disposition = 'BLOCK')
+SELECT fragment_id, string_agg(DISTINCT k.policy_id, ',' ORDER BY k.policy_id) AS policies,
+ string_agg(DISTINCT s.detector_id || ':' || CASE WHEN fragment_id % 60 > s.deadline THEN 'ERROR' WHEN fragment_id % 7 = 0 THEN 'DETECTED' ELSE 'CLEAN' END, ',' ORDER BY s.detector_id || ':' || CASE WHEN fragment_id % 60 > s.deadline THEN 'ERROR' WHEN fragment_id % 7 = 0 THEN 'DETECTED' ELSE 'CLEAN' END) AS detectors
+FROM k JOIN spec s USING (policy_id) GROUP BY 1""")
+def j10_explanations(spark, sf_dir):
+    """Policies and detector results that explain each decision."""
+    applied = po.apply_overrides(po.match_policies(contexts(spark, sf_dir), policies(spark)))
+    results = po.apply_deadlines(po.share_results(applied, _results(spark, sf_dir)))
+    out = po.explain_fragments(results, po.react(results))
+    return out.select("fragment_id", F.array_join("policies", ",").alias("policies"), F.array_join("detectors", ",").alias("detectors"))
+
+
 @query(_REACT_SQL + """, frag AS (SELECT fragment_id, context_id, bool_or(disposition = 'BLOCK') AS block, NOT bool_or(disposition = 'BLOCK') AND bool_or(masks) AS masks, bool_or(state = 'ERROR') AS failed FROM reac GROUP BY 1, 2),
 msg AS (SELECT context_id, CASE WHEN bool_or(failed) THEN 'ERROR' WHEN bool_or(block) OR bool_or(masks AND fragment_id % 2 = 0) THEN 'BLOCK' WHEN bool_or(masks) THEN 'MASK' ELSE 'ALLOW' END AS outcome FROM frag GROUP BY 1)
 SELECT context_id, outcome, CASE outcome WHEN 'ERROR' THEN 503 WHEN 'BLOCK' THEN 403 ELSE 200 END AS http_status FROM msg""")
