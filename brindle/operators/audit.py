@@ -124,14 +124,24 @@ def identity_cache_report(log: DataFrame, ttl: str = "5 minutes") -> DataFrame:
     return rows.repartition("subject", "spell").sortWithinPartitions(*order).mapInPandas(fold, kinds)
 
 
-def concurrency_profile(exchanges: DataFrame, keys: list[str], owners: int = 128, size: int = 64 << 20) -> DataFrame:
+def concurrency_profile(exchanges: DataFrame, keys: list[str], owners: int = 128, size: int = 64 << 20, span: str = "1 hour") -> DataFrame:
     """(keys, ts, active, retained, over): running number of open exchanges and of their bytes at each change, ends
-    before starts; over where a limit is passed."""
+    before starts; over where a limit is passed.
+
+    Changes are summed by spans of time first and the sums added up over a key's spans; inside a span the running sum
+    starts from there. So a key's changes are dealt to as many groups as it has spans.
+    """
     start = exchanges.select(*keys, F.col("start_ts").alias("ts"), F.lit(1).alias("_d"), F.col("bytes").alias("_b"))
     end = exchanges.select(*keys, F.col("end_ts").alias("ts"), F.lit(-1).alias("_d"), (-F.col("bytes")).alias("_b"))
     at = start.union(end).groupBy(*keys, "ts").agg(F.sum("_d").alias("_d"), F.sum("_b").alias("_b"))
-    w = W.partitionBy(*keys).orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-    out = at.withColumn("active", F.sum("_d").over(w)).withColumn("retained", F.sum("_b").over(w)).drop("_d", "_b")
+    at = at.withColumn("_span", F.window("ts", span).getField("start"))
+    before = W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    sums = at.groupBy(*keys, "_span").agg(F.sum("_d").alias("_d"), F.sum("_b").alias("_b"))
+    base = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in (("_d", "_d0"), ("_b", "_b0"))]
+    at = at.join(sums.select(*keys, "_span", *base), [*keys, "_span"])
+    w = W.partitionBy(*keys, "_span").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    out = at.withColumn("active", F.col("_d0") + F.sum("_d").over(w)).withColumn("retained", F.col("_b0") + F.sum("_b").over(w))
+    out = out.drop("_d", "_b", "_d0", "_b0", "_span")
     return out.withColumn("over", (F.col("active") > owners) | (F.col("retained") > size))
 
 

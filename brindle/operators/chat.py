@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -331,18 +332,26 @@ def validate_streams(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.count("*").alias("n_events"), code.alias("error_code"))
 
 
+@F.arrow_udf("array<int>")
+def _aligned(texts: pa.Array, tokens: pa.Array) -> pa.Array:
+    """Places (from 1, code points) of tokens sought one after another, null where one is not found. (Seeking from a place
+    on walks the text from its start in SQL, which is quadratic.)"""
+    out = []
+    for text, words in zip(texts.to_pylist(), tokens.to_pylist(), strict=True):
+        at, found = 0, []
+        for w in words or ():
+            k = -1 if w is None or text is None else text.find(w, at)
+            found.append(k + 1 if k >= 0 else None)
+            at = k + len(w) if k >= 0 else at
+        out.append(found)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
 def bio_to_spans(df: DataFrame, keys: list[str], text: str = "text", tokens: str = "tokens", tags: str = "tags") -> DataFrame:
     """Entity spans of BIO-tagged tokens: (keys, type, start_utf8, end_utf8), start null for an entity whose token is
     not found after the one before. Tokens are sought from left to right."""
     t = F.col(text)
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, token: Column) -> Column:
-        found = F.call_function("locate", token, t, acc["at"])
-        after = F.when(found > 0, found + F.length(token)).otherwise(acc["at"])
-        return F.struct(after.alias("at"), F.concat(acc["out"], F.array(F.when(found > 0, found))).alias("out"))
-
-    places = F.aggregate(F.col(tokens), start, step, lambda a: a["out"])
+    places = _aligned(t, F.col(tokens))
     rows = df.withColumn("_p", places).select(*keys, text, F.posexplode(F.arrays_zip(F.col(tokens).alias("w"), F.col(tags).alias("tag"), F.col("_p").alias("p"))).alias("k", "x"))
     begins = (~F.col("x.tag").startswith("I-")).cast("int")
     rows = rows.withColumn("island", F.sum(begins).over(W.partitionBy(*keys).orderBy("k"))).where("x.tag <> 'O'")

@@ -159,6 +159,17 @@ def pseudonym(column: Column, key: bytes) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, column.cast("binary")), 256))), 256)
 
 
+def pseudonymise(df: DataFrame, column: str, key: bytes, to: str) -> DataFrame:
+    """df with HMAC-SHA256 of a column in hex. The pads made of the key come from a table of one row, so neither plans nor
+    event logs show them (pseudonym, for a key that may be seen, writes them into the plan)."""
+    key = hashlib.sha256(key).digest() if len(key) > 64 else key
+    pad = key.ljust(64, b"\0")
+    row = [tuple(bytearray(b ^ x for b in pad) for x in (0x36, 0x5C))]
+    pads = df.sparkSession.createDataFrame(row, "_inner binary, _outer binary")
+    inner = F.unhex(F.sha2(F.concat("_inner", F.col(column).cast("binary")), 256))
+    return df.join(F.broadcast(pads)).withColumn(to, F.sha2(F.concat("_outer", inner), 256)).drop("_inner", "_outer")
+
+
 def derive_correlation(df: DataFrame, session: str = "session_id", trace: str = "trace_id", path: str = "path") -> DataFrame:
     """df with session_id (kept if 1 to 256 visible ASCII characters, else new), session_generated, trace_replaced and
     path without its query."""

@@ -9,18 +9,44 @@ from pyspark.sql import functions as F
 MIB = 1 << 20
 
 
-def _nearest(p: float, column: str, exact: bool):
-    if exact:
-        return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
-    return F.percentile_approx(column, p, 10_000)
+def ranked_percentiles(samples: DataFrame, by: list[str], value: str, points: tuple[float, ...], ranges: int = 64) -> DataFrame:
+    """(by, p<100 * point> ...): exact percentiles by nearest rank, nulls left out, without holding a group's values.
+
+    Equal values are counted first. The counts are summed by ranges of values (cut at approximate quantiles of all), the
+    sums added up over a group's ranges, and inside a range the running count starts from there; so a group is dealt to
+    `ranges` parts, however many samples it has.
+    """
+    known = samples.where(F.col(value).isNotNull())
+    cuts = sorted(set(known.approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.005)))
+    c = known.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    c = c.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col("_v"))) if cuts else F.lit(0))
+    sums = c.groupBy(*by, "_range").agg(F.sum("_n").alias("_s"))
+    own = W.partitionBy(*by)
+    sums = sums.withColumn("_all", F.sum("_s").over(own)).withColumn("_before", F.coalesce(F.sum("_s").over(own.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*by, "_range"]]
+    j = c.alias("c").join(sums.alias("s"), same).select(*[F.col(f"c.{k}").alias(k) for k in [*by, "_range"]], "_v", "_n", "_all", "_before")
+    upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*by, "_range").orderBy("_v"))
+    j = j.withColumn("_upto", upto)
+    return j.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") >= p * F.col("_all"), F.col("_v"))).alias(f"p{int(p * 100)}") for p in points])
 
 
 def latency_percentiles(samples: DataFrame, by: list[str], value: str = "value", exact: bool = True) -> DataFrame:
-    """(by, n, p50, p95, p99, max) by nearest rank for each group and each prefix of the groups (rollup). exact=False
-    takes the approximate percentile, whose state is bounded however many samples a group has."""
-    return samples.rollup(*by).agg(
-        F.count("*").alias("n"), *[_nearest(p, value, exact).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)], F.max(value).alias("max")
-    )
+    """(by, n, p50, p95, p99, max) by nearest rank for each group and each prefix of the groups, the rest of by null.
+    exact=False takes the approximate percentile in one rollup."""
+    points = (0.5, 0.95, 0.99)
+    if not exact:
+        return samples.rollup(*by).agg(F.count("*").alias("n"), *[F.percentile_approx(value, p, 10_000).alias(f"p{int(p * 100)}") for p in points], F.max(value).alias("max"))
+    out = None
+    for k in range(len(by), -1, -1):
+        keys = by[:k]
+        n = samples.groupBy(*keys).agg(F.count("*").alias("n"), F.max(value).alias("max"))
+        p = ranked_percentiles(samples, keys, value, points)
+        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"p.{c}")) for c in keys]
+        j = n.alias("n").join(p.alias("p"), same, "left") if keys else n.alias("n").join(p.alias("p"), F.lit(True), "left")
+        kinds = {f.name: f.dataType for f in samples.schema}
+        level = j.select(*[F.col(f"n.{c}").alias(c) if c in keys else F.lit(None).cast(kinds[c]).alias(c) for c in by], "n", "p50", "p95", "p99", "max")
+        out = level if out is None else out.union(level)
+    return out
 
 
 def overhead(percentiles: DataFrame, profile: str, limit: float, least: int) -> DataFrame:
@@ -54,9 +80,12 @@ def events_in_windows(events: DataFrame, windows: DataFrame, key: str) -> DataFr
 def forbidden_frames(events: DataFrame, key: str, prefixes: list[str], most: int = 20) -> DataFrame:
     """The first `most` events of each key with a stack frame of a forbidden prefix, and how many there are in all."""
     bad = events.where(F.exists("frames", lambda f: F.array_max(F.transform(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(f, p)))))
-    w = W.partitionBy(key)
-    out = bad.withColumn("n_bad", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy("ts", "event_id")))
-    return out.where(F.col("_k") <= most).drop("_k")
+    n = bad.groupBy(key).agg(F.count("*").alias("n_bad"))
+    # first in parts of each key, so that no task orders all events of one
+    part = F.pmod(F.xxhash64("event_id"), F.lit(64))
+    for w in (W.partitionBy(key, part), W.partitionBy(key)):
+        bad = bad.withColumn("_k", F.row_number().over(w.orderBy("ts", "event_id"))).where(F.col("_k") <= most).drop("_k")
+    return bad.join(n, key)
 
 
 def memory_trend(samples: DataFrame, key: str, edge: int = 10, allowance: int = 64 * MIB) -> DataFrame:
@@ -112,8 +141,9 @@ def test_totals(cases: DataFrame) -> DataFrame:
 
 def throughput_verdict(runs: DataFrame, most: float = 0.70) -> DataFrame:
     """(ratio, passed, reasons) of runs (phase, seconds, failed): the median after over the median before."""
-    med = lambda p: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN phase = '{p}' THEN seconds END)")
-    out = runs.agg(med("before").alias("_b"), med("after").alias("_a"), F.count_if("failed").alias("_f"), F.count_if(F.col("phase") == "before").alias("_nb"), F.count_if(F.col("phase") == "after").alias("_na"))
+    med = lambda p: F.max(F.when(F.col("phase") == p, F.col("p50")))
+    medians = ranked_percentiles(runs, ["phase"], "seconds", (0.5,)).agg(med("before").alias("_b"), med("after").alias("_a"))
+    out = runs.agg(F.count_if("failed").alias("_f"), F.count_if(F.col("phase") == "before").alias("_nb"), F.count_if(F.col("phase") == "after").alias("_na")).join(medians)
     out = out.withColumn("ratio", F.try_divide("_a", "_b"))
     reasons = F.array_compact(F.array(
         F.when(F.col("_f") > 0, "FAILED_RUN"), F.when((F.col("_nb") < 3) | (F.col("_na") < 3), "TOO_FEW_RUNS"), F.when(F.col("ratio") > most, "TOO_SLOW")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brindle.functions.tables import saved
+
 
 def exact_counts(gold: DataFrame, pred: DataFrame, case: str = "case_id") -> DataFrame:
     """(case, type, n_gold, n_pred, tp): one-to-one matches of equal type, start and end."""
@@ -228,12 +230,22 @@ def privacy_floor(groups: DataFrame, columns: list[str], n: str = "n_inputs", le
 
 
 def fingerprint(gold: DataFrame, case: str = "case_id") -> DataFrame:
-    """(digest, n): SHA-256 over the sorted digests of the cases, each over its sorted spans."""
+    """(digest, n): SHA-256 over the sorted digests of the cases, each over its sorted spans.
+
+    Digests are put together by their leading hex digits, from groups of about 65,536 at most to one: by two digits up to
+    2 ** 24 cases, by two more for each further factor of 256.
+    """
     one = F.concat_ws(":", "type", "start", "end")
     cases = gold.groupBy(case).agg(F.sha2(F.concat_ws("|", F.col(case).cast("string"), F.array_sort(F.collect_list(one))), 256).alias("d"))
-    # first by the digest's leading byte, so that no group holds all cases
-    parts = cases.groupBy(F.substring("d", 1, 2).alias("k")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.sum("n").alias("n"))
+    cases, levels = saved(cases, "digests"), 1
+    n = cases.count()
+    while n > 65_536 * 256**levels:
+        levels += 1
+    parts = cases.groupBy(F.substring("d", 1, 2 * levels).alias("k")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"), F.count("*").alias("n"))
+    for level in range(levels - 1, -1, -1):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), "")
+        parts = parts.groupBy(F.substring("k", 1, 2 * level).alias("k")).agg(F.sha2(joined, 256).alias("d"), F.sum("n").alias("n"))
+    return parts.select(F.col("d").alias("digest"), "n")
 
 
 #: Floors of a release (fixed values): metric, least value.

@@ -194,12 +194,13 @@ def e22_deltas(spark, sf_dir):
     return qu.deltas(s.select("type", "precision"), b, columns=("precision",)).select("type", F.round("d_precision", 9).alias("d_precision"))
 
 
-@query("SELECT n_name AS key, n_regionkey::VARCHAR AS a, (n_regionkey + 1)::VARCHAR AS b FROM nation WHERE n_regionkey = 2")
+@query("SELECT p_partkey AS key, p_size::VARCHAR AS a, CASE WHEN p_size = 2 THEN '3' END AS b FROM part WHERE p_size IN (2, 5)")
 def e23_comparable(spark, sf_dir):
-    n = load(spark, sf_dir, "nation")
-    a = n.select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
-    b = n.select(F.col("n_name").alias("key"), F.when(F.col("n_regionkey") == 2, F.lit("3")).otherwise(F.col("n_regionkey").cast("string")).alias("value"))
-    return qu.comparable(a, b)
+    """Parameters of two runs, one for each part: some differ, some are missing in the second."""
+    value = F.col("p_size").cast("string")
+    p = load(spark, sf_dir, "part", "p_partkey", "p_size").withColumnRenamed("p_partkey", "key")
+    b = p.where("p_size <> 5").select("key", F.when(F.col("p_size") == 2, F.lit("3")).otherwise(value).alias("value"))
+    return qu.comparable(p.select("key", value.alias("value")), b)
 
 
 @query(f"""WITH {_ROWS}, c AS (SELECT stage || family AS corpus, sum(tp) AS tp, sum(n_pred) AS p, sum(n_gold) AS g FROM r GROUP BY 1)

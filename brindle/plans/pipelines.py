@@ -29,33 +29,37 @@ def s1_canonical_corpus(spark, sf_dir):
 
 @query("SELECT doc_id::VARCHAR AS case_id, CASE WHEN doc_id % 4 = 0 THEN 'LENGTH_MISMATCH' WHEN doc_id % 4 = 1 THEN 'INVALID_TRANSITION' END AS reason FROM documents")
 def s2_bio_corpus(spark, sf_dir):
-    d = load(spark, sf_dir, "documents", "doc_id")
+    """Words of documents as tokens; every fourth has a tag too many, the next one starts inside an entity."""
+    d = load(spark, sf_dir, "documents", "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     k = F.col("doc_id") % 4
-    tags = F.when(k == 0, F.lit('["O"]')).when(k == 1, F.lit('["O","I-X"]')).otherwise(F.lit('["B-X","I-X"]'))
+    tokens = F.split("text", " ")
+    tags = F.transform(tokens, lambda t, i: F.when(k == 1, "I-X").when(i == 0, "B-X").otherwise("I-X"))
+    tags = F.when(k == 0, F.array_append(tags, F.lit("O"))).otherwise(tags)
     path = shared_path(spark, "bio")
-    d.select(F.col("doc_id").alias("case_id"), F.lit('say "a", b').alias("text"), F.lit('["a","b"]').alias("tokens"), tags.alias("tags")).write.option("header", True).option("escape", '"').csv(path)
+    d.select(F.col("doc_id").alias("case_id"), "text", F.to_json(tokens).alias("tokens"), F.to_json(tags).alias("tags")).write.option("header", True).option("escape", '"').csv(path)
     return co.read_bio_corpus(spark, path).select("case_id", "reason")
 
 
-@query("SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 3 = 0 THEN 'SLICE_MISMATCH' WHEN doc_id % 3 = 1 THEN 'SPAN_RANGE' END AS reason FROM documents")
+@query("SELECT doc_id::VARCHAR AS id, CASE WHEN text IS NULL THEN 'MISSING_FIELD' WHEN doc_id % 3 = 1 OR text = '' THEN 'SPAN_RANGE' WHEN doc_id % 3 = 0 THEN 'SLICE_MISMATCH' END AS reason FROM documents")
 def s3_span_corpus(spark, sf_dir):
     k = F.col("doc_id") % 3
     d = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    e = F.struct(F.lit(0).alias("start"), F.when(k == 1, 10_000_000).otherwise(3).alias("end"), F.when(k == 0, "??").otherwise(F.substring("text", 1, 3)).alias("text"), F.lit("X").alias("type"))
+    e = F.struct(F.lit(0).alias("start"), F.when(k == 1, F.length("text") + 1).otherwise(F.length("text")).alias("end"), F.when(k == 0, "??").otherwise(F.col("text")).alias("text"), F.lit("X").alias("type"))
     path = shared_path(spark, "spans")
     d.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("domain"), "text", F.array(e).alias("entities")).write.parquet(path)
     return co.read_span_corpus(spark, path).select("id", "reason")
 
 
-@query("SELECT doc_id::VARCHAR AS uid, left(text, 3) AS v FROM documents")
+@query("SELECT doc_id::VARCHAR AS uid, sha256(text) AS v FROM documents WHERE text <> ''")
 def s4_attack_corpus(spark, sf_dir):
-    d = load(spark, sf_dir, "documents", "doc_id", "text")
-    e = F.struct(F.lit(0).alias("start"), F.least(F.lit(3), F.length("text")).alias("end"), F.substring("text", 1, 3).alias("text"), F.lit("X").alias("type"))
+    """Whole texts as one span each."""
+    d = load(spark, sf_dir, "documents", "doc_id", "text").where("text <> ''")
+    e = F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("text"), F.lit("X").alias("type"))
     target = F.struct(F.lit(True).alias("pii"), F.lit(False).alias("context"))
     path = shared_path(spark, "attacks")
     uid = F.col("doc_id").cast("string")
     d.select(uid.alias("uid"), uid.alias("input_id"), F.lit("c").alias("category"), target.alias("attack_target"), F.col("text").alias("llm_input"), F.array(e).alias("pii_spans")).write.parquet(path)
-    return co.read_attack_corpus(spark, path).select("uid", F.col("pii_spans")[0]["text"].alias("v"))
+    return co.read_attack_corpus(spark, path).select("uid", F.sha2(F.col("pii_spans")[0]["text"], 256).alias("v"))
 
 
 @query("SELECT DISTINCT CASE WHEN lang = 'en' THEN 'SHA256' ELSE 'OK' END AS verdict FROM documents UNION SELECT 'MISSING'")
@@ -96,16 +100,17 @@ def s10_policies(spark, sf_dir):
     s = load(spark, sf_dir, "supplier", "s_suppkey")
     p = F.to_json(F.struct(F.col("s_suppkey").cast("string").alias("id"), F.lit("*").alias("url"), F.when(F.col("s_suppkey") % 2 == 0, 1).alias("bogus")))
     path = shared_path(spark, "policies")
-    s.groupBy((F.col("s_suppkey") % 5).alias("k")).agg(F.concat(F.lit('{"policies":['), F.array_join(F.collect_list(p), ","), F.lit("]}")).alias("value")).select("value").repartition(5).write.text(path)
+    s.groupBy(F.floor(F.col("s_suppkey") / 1000).alias("k")).agg(F.concat(F.lit('{"policies":['), F.array_join(F.collect_list(p), ","), F.lit("]}")).alias("value")).write.partitionBy("k").text(path)
     return co.read_policies(spark, path).select("policy_id", "deadline_ms", F.array_join("unknown_fields", ",").alias("unknown"))
 
 
-@query("SELECT n_name AS name, n_regionkey::DOUBLE AS p99 FROM nation")
+@query("SELECT p_name AS name, p_size::DOUBLE AS p99 FROM part")
 def s14_measurements(spark, sf_dir):
-    n = load(spark, sf_dir, "nation")
-    body = F.to_json(F.struct(F.col("n_name").alias("benchmark"), F.lit("avgt").alias("mode"), F.struct(F.lit(1.0).alias("score"), F.create_map(F.lit("99.0"), F.col("n_regionkey").cast("double")).alias("scorePercentiles")).alias("primaryMetric")))
+    """Measurements of parts in files of a thousand."""
+    n = load(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.floor(F.col("p_partkey") / 1000).alias("k"))
+    body = F.to_json(F.struct(F.col("name").alias("benchmark"), F.lit("avgt").alias("mode"), F.struct(F.lit(1.0).alias("score"), F.create_map(F.lit("99.0"), F.col("size").cast("double")).alias("scorePercentiles")).alias("primaryMetric")))
     path = shared_path(spark, "bench")
-    n.groupBy("n_regionkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list(body), ","), F.lit("]")).alias("value")).write.partitionBy("n_regionkey").text(path)
+    n.groupBy("k").agg(F.concat(F.lit("["), F.array_join(F.collect_list(body), ","), F.lit("]")).alias("value")).write.partitionBy("k").text(path)
     return co.read_measurements(spark, path).select(F.col("benchmark").alias("name"), "p99")
 
 
@@ -114,8 +119,8 @@ def s15_testcases(spark, sf_dir):
     p = load(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_size")
     case = F.format_string('<testcase classname="%s%d" name="%s" time="%d">%s</testcase>', "p_brand", "p_partkey", "p_name", "p_size", F.when(F.col("p_size") > 40, "<failure>x</failure>").otherwise(""))
     path = shared_path(spark, "junit")
-    suites = p.groupBy("p_brand").agg(F.concat(F.lit("<testsuite>"), F.array_join(F.collect_list(case), ""), F.lit("</testsuite>")).alias("value"))
-    suites.write.partitionBy("p_brand").text(path)
+    suites = p.groupBy(F.floor(F.col("p_partkey") / 1000).alias("k")).agg(F.concat(F.lit("<testsuite>"), F.array_join(F.collect_list(case), ""), F.lit("</testsuite>")).alias("value"))
+    suites.write.partitionBy("k").text(path)
     return co.read_testcases(spark, path).select("name", "seconds", "failed")
 
 

@@ -78,13 +78,15 @@ def n10_stream_validity(spark, sf_dir):
 def n11_bio_spans(spark, sf_dir):
     d = load(spark, sf_dir, "documents", "doc_id", "text").withColumn("tokens", F.split("text", " "))
     d = d.where("size(tokens) > 2 and text not like '%  %' and tokens[0] <> '' and tokens[1] <> ''")
-    d = d.withColumn("tokens", F.slice("tokens", 1, 3)).withColumn("tags", F.array(F.lit("O"), F.lit("B-W"), F.lit("O")))
+    d = d.withColumn("tags", F.transform("tokens", lambda x, k: F.when(k == 1, "B-W").otherwise("O")))
     return ch.bio_to_spans(d, ["doc_id"])
 
 
-@query("SELECT doc_id, strlen(left(text, 10))::BIGINT AS start_utf8, strlen(left(text, 20))::BIGINT AS end_utf8, true AS slice_ok FROM documents")
+@query("SELECT doc_id, strlen(left(text, length(text) // 3))::BIGINT AS start_utf8, strlen(text)::BIGINT AS end_utf8, doc_id % 5 > 0 AS slice_ok FROM documents WHERE text IS NOT NULL")
 def n12_utf8_bounds(spark, sf_dir):
-    d = load(spark, sf_dir, "documents", "doc_id", "text").withColumn("a", F.lit(10)).withColumn("b", F.lit(20)).withColumn("v", F.substring("text", 11, 10))
+    """The last two thirds of each text; every fifth slice is given wrong."""
+    d = load(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").withColumn("a", F.floor(F.length("text") / 3).cast("int")).withColumn("b", F.length("text"))
+    d = d.withColumn("v", F.concat(F.expr("substring(text, a + 1)"), F.when(F.col("doc_id") % 5 == 0, "?").otherwise("")))
     return ch.utf8_bounds(d, "text", "a", "b", "v").select("doc_id", "start_utf8", "end_utf8", "slice_ok")
 
 
@@ -220,13 +222,14 @@ def j4_policy_lint(spark, sf_dir):
     return po.lint_policies(p, ["fast-pii"])
 
 
-@query("SELECT 'p' || lpad(min(n_regionkey)::VARCHAR, 3, '0') AS policy_id FROM nation")
+@query("SELECT 'p' || lpad(min(s_suppkey // 10 * 10)::VARCHAR, 12, '0') AS policy_id FROM supplier WHERE s_suppkey // 10 % 3 = 2")
 def j5_override_cycle(spark, sf_dir):
-    """Nations override the next of their region in a ring; the smallest policy on a cycle is named by the first region."""
-    n = load(spark, sf_dir, "nation", "n_regionkey").distinct()
-    name = lambda x: F.concat(F.lit("p"), F.lpad(x.cast("string"), 3, "0"))
-    p = n.select(name(F.col("n_regionkey")).alias("policy_id"), F.array(name((F.col("n_regionkey") + 1) % 5)).alias("overrides"))
-    return po.override_cycles(p)
+    """Suppliers override the next of their ten; every third ten is a ring, the others end."""
+    s = load(spark, sf_dir, "supplier", "s_suppkey").select(F.floor(F.col("s_suppkey") / 10).alias("ten")).distinct()
+    s = s.select("ten", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    name = lambda x: F.concat(F.lit("p"), F.lpad(x.cast("string"), 12, "0"))
+    onward = F.when((F.col("k") < 9) | (F.col("ten") % 3 == 2), F.array(name(F.col("ten") * 10 + (F.col("k") + 1) % 10))).otherwise(F.array().cast("array<string>"))
+    return po.override_cycles(s.select(name(F.col("ten") * 10 + F.col("k")).alias("policy_id"), onward.alias("overrides")))
 
 
 # ------------------------------------------------------------------ contexts
@@ -281,10 +284,12 @@ def c8_correlation(spark, sf_dir):
     return out.select("event_id", "session_generated", F.when(~F.col("session_generated"), F.col("session_id")).alias("session_id"), "path")
 
 
-@query("SELECT s_suppkey, 'x-keep' AS names FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'content-length,' ELSE 'etag,' END || lower(s_name) AS names FROM supplier")
 def c10_headers(spark, sf_dir):
-    h = F.create_map(F.lit("Connection"), F.lit("X-Drop"), F.lit("x-drop"), F.lit("1"), F.lit("X-Keep"), F.lit("2"), F.lit("Upgrade"), F.lit("h2c"))
-    return load(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(F.map_keys(cx.clean_headers(h, F.lit(False), F.lit(0))), ",").alias("names"))
+    own = F.concat(F.lit("x-drop-"), "s_suppkey")
+    h = F.create_map(F.lit("Connection"), own, own, F.lit("1"), F.col("s_name"), F.lit("2"), F.lit("Upgrade"), F.lit("h2c"), F.lit("ETag"), F.lit("e"))
+    names = F.array_join(F.array_sort(F.map_keys(cx.clean_headers(h, F.col("s_suppkey") % 2 == 0, F.col("s_suppkey")))), ",")
+    return load(spark, sf_dir, "supplier").select("s_suppkey", names.alias("names"))
 
 
 # ------------------------------------------------------------------ audit and operations over events

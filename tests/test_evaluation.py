@@ -81,7 +81,10 @@ def test_ipv6_text(spark, text, want):
 
 def test_pseudonym_is_hmac(spark):
     for key in (b"k", b"long" * 40):
-        got = spark.range(1).select(cx.pseudonym(F.lit("tökén"), key).alias("x")).first().x
+        one = spark.range(1).select(F.lit("tökén").alias("t"), cx.pseudonym(F.lit("tökén"), key).alias("x"))
+        got = one.first().x
+        secret = cx.pseudonymise(one, "t", key, "y")
+        assert secret.first().y == got and key.hex() not in secret._jdf.queryExecution().toString()
         assert got == hmac.new(key, "tökén".encode(), hashlib.sha256).hexdigest()
 
 
