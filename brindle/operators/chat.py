@@ -332,7 +332,6 @@ def validate_streams(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.count("*").alias("n_events"), code.alias("error_code"))
 
 
-@F.arrow_udf("array<int>")
 def _aligned(texts: pa.Array, tokens: pa.Array) -> pa.Array:
     """Places (from 1, code points) of tokens sought one after another, null where one is not found. (Seeking from a place
     on walks the text from its start in SQL, which is quadratic.)"""
@@ -351,7 +350,7 @@ def bio_to_spans(df: DataFrame, keys: list[str], text: str = "text", tokens: str
     """Entity spans of BIO-tagged tokens: (keys, type, start_utf8, end_utf8), start null for an entity whose token is
     not found after the one before. Tokens are sought from left to right."""
     t = F.col(text)
-    places = _aligned(t, F.col(tokens))
+    places = F.arrow_udf(_aligned, "array<int>")(t, F.col(tokens))
     rows = df.withColumn("_p", places).select(*keys, text, F.posexplode(F.arrays_zip(F.col(tokens).alias("w"), F.col(tags).alias("tag"), F.col("_p").alias("p"))).alias("k", "x"))
     begins = (~F.col("x.tag").startswith("I-")).cast("int")
     rows = rows.withColumn("island", F.sum(begins).over(W.partitionBy(*keys).orderBy("k"))).where("x.tag <> 'O'")
