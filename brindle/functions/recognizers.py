@@ -72,6 +72,7 @@ PHONE = (
     rf"(?:\({_D}(?:{_SEP}?{_D}){{2}}\){_SEP}?{_D}(?:{_SEP}?{_D}){{6}}|{_D}(?:{_SEP}?{_D}){{9}})"
     rf"(?![0-9()])(?!{_SEP}[0-9()])(?!{_SEP}{{2,}}[0-9])(?![.:/][0-9])"
 )
+#: Words of a phone number nearby (fixed values).
 PHONE_WORDS = "телефон|тел|мобильный|моб|phone|contact"
 
 
@@ -202,6 +203,7 @@ def find_ru_passport(text: Column) -> Column:
 
 OMS = r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}([ \-‐‑  ])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])"
 _GAP = r"[^\p{L}\p{Nd}_]+"
+#: The policy's names nearby (fixed values).
 OMS_WORDS = f"омс|полис{_GAP}обязательного{_GAP}медицинского{_GAP}страхования"
 
 

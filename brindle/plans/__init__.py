@@ -1,6 +1,6 @@
 """Queries of the inspection operators over the test tables, and their SQL."""
 
-from brindle.plans import catalog, detection, evaluation, pipelines, rules, traffic  # noqa: F401
+from brindle.plans import catalog, detection, evaluation, layouts, pipelines, rules, traffic  # noqa: F401
 
 
 def queries() -> dict:

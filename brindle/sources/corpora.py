@@ -126,7 +126,7 @@ def iban_registry(spark: SparkSession) -> DataFrame:
     """(country, length) of the IBAN registry."""
     from brindle.functions.checksums import IBAN_LENGTHS
 
-    return spark.createDataFrame([(x[:2], int(x[2:])) for x in IBAN_LENGTHS.split()], "country string, length int")
+    return spark.createDataFrame(sorted(IBAN_LENGTHS.items()), "country string, length int")
 
 
 def read_measurements(spark: SparkSession, path: str) -> DataFrame:
@@ -205,13 +205,13 @@ def card_of(n: Column) -> Column:
     return F.concat(base, F.pmod(10 - total % 10, F.lit(10)).cast("string"))
 
 
-def iban_of(n: Column) -> Column:
-    """A German IBAN of an account number."""
+def iban_of(n: Column, country: str = "DE", digits: int = 18) -> Column:
+    """An IBAN of an account number, of a country whose accounts are that many digits."""
     from brindle.functions import checksums as ck
 
-    bban = F.lpad(n.cast("string"), 18, "0")
-    rest = ck.mod97(F.concat(F.lit("DE00"), bban))
-    return F.concat(F.lit("DE"), F.lpad((98 - rest).cast("string"), 2, "0"), bban)
+    bban = F.lpad(n.cast("string"), digits, "0")
+    rest = ck.mod97(F.concat(F.lit(f"{country}00"), bban))
+    return F.concat(F.lit(country), F.lpad((98 - rest).cast("string"), 2, "0"), bban)
 
 
 #: Texts around a planted value, by type: before and after it.
