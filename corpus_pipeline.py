@@ -43,8 +43,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ids, n_tokens and round_trip: whether decoding the ids gives the text again."""
     small_batches(spark)
-    out = decode(encode(docs), to="_decoded")
-    return out.withColumn("round_trip", F.col("_decoded") == F.coalesce("text", F.lit(""))).drop("_decoded")
+    out = decode(encode(docs.select(F.struct("*").alias("_row"), "text")))
+    new = {"ids": F.col("ids"), "n_tokens": F.col("n_tokens"), "round_trip": F.col("decoded") == F.coalesce("text", F.lit(""))}
+    return out.select(*[F.col(f"_row.{c}") for c in docs.columns if c not in new], *[v.alias(c) for c, v in new.items()])
 
 
 STAGES = [
