@@ -68,6 +68,13 @@ def test_trees_are_monotonic_and_deterministic(spark):
         assert (np.diff(np.array(scores), axis=0) <= 1e-9).all()
 
 
+def test_repeated_ids_give_the_same_trees(spark):
+    docs, labels = labelled(spark)
+    twice = docs.union(docs.where("doc_id < 50").withColumn("text", F.concat("text", F.lit(" zzz other words"))))
+    trees = [quality.fit_quality(d, l.union(l.where("doc_id < 9"))) for d, l in ((twice, labels), (twice.repartition(5), labels.repartition(4)))]
+    assert np.array_equal(trees[0].value, trees[1].value)
+
+
 def test_quality_of_odd_rows_and_no_labels(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)], "doc_id long, text string, n_words string")
     empty = spark.createDataFrame([], "doc_id long, quality int")
