@@ -18,32 +18,64 @@ def none_of(kind: str) -> Column:
     return F.array().cast(kind)
 
 
+#: Items that one inner fold takes: appending to an array copies it, so results are gathered in blocks.
+BLOCK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often and however deep in lambdas the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scan(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], finish: Callable[[Column], Column] | None = None) -> Column:
+    """All rows of step(state, item) -> (next state, array of `kind`), the state carried from item to item, and of
+    finish(last state).
+
+    n items cost n * BLOCK / 2 + (n / BLOCK) ** 2 / 2 copied references: linear for any count a text can hold.
+    """
+    none = none_of(kind)
+
+    def one(acc: Column, x: Column) -> Column:
+        after, rows = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], rows).alias("out"))
+
+    def folded(xs: Column) -> Column:
+        def block(acc: Column, k: Column) -> Column:
+            begin = F.struct(acc["state"].alias("state"), none.alias("out"))
+            end = lambda got: F.struct(got["state"].alias("state"), F.concat(acc["out"], F.array(got["out"])).alias("out"))
+            return F.aggregate(F.slice(xs, k * BLOCK + 1, F.lit(BLOCK)), begin, one, end)
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+        begin = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+        whole = lambda acc: F.concat(F.flatten(acc["out"]), finish(acc["state"])) if finish else F.flatten(acc["out"])
+        return F.aggregate(blocks, begin, block, whole)
+
+    return let(items, lambda xs: F.when(F.size(xs) > 0, folded(xs)).otherwise(none))
+
+
 def matches(text: Column, pattern: str, guard: str | None = None) -> Column:
     """array<struct<m, at, start_utf8, end_utf8>> of a pattern's matches: at is the 0-based code point, the others bytes.
 
-    The texts between matches and the matches are laid end to end in one fold. Texts without a
-    match are searched once and skip the fold; with a guard, a cheap pattern that every match contains, most texts are
+    The texts between matches and the matches are laid end to end in one scan. Texts without a
+    match are searched once and skip it; with a guard, a cheap pattern that every match contains, most texts are
     not searched at all.
     """
     kind = "array<struct<m:string,at:int,start_utf8:bigint,end_utf8:bigint>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["g"])
-        byte = acc["byte"] + F.octet_length(x["g"])
+    def step(place: Column, x: Column) -> tuple[Column, Column]:
+        at = place["at"] + F.length(x["g"])
+        byte = place["byte"] + F.octet_length(x["g"])
         end = byte + F.octet_length(x["m"])
         one = F.struct(x["m"].alias("m"), at.alias("at"), byte.alias("start_utf8"), end.alias("end_utf8"))
-        return F.struct(
-            (at + F.length(x["m"])).alias("at"), end.alias("byte"), F.concat(acc["out"], F.array(one)).alias("out")
-        )
+        return F.struct((at + F.length(x["m"])).alias("at"), end.alias("byte")), F.array(one)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("byte"), none_of(kind).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("byte"))
 
     def laid(found: Column) -> Column:
         parts = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("g"))
-        return F.when(F.size(found) > 0, F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(none_of(kind))
+        return F.when(F.size(found) > 0, scan(parts, start, kind, step)).otherwise(none_of(kind))
 
-    # an array of one binds the matches, which would be searched again at each mention
-    found = F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), laid)[0]
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), laid)
     return F.when(text.rlike(guard), found).otherwise(none_of(kind)) if guard else found
 
 
@@ -91,13 +123,13 @@ def merge_spans(spans: Column) -> Column:
     different markers gets the generic marker."""
     kind = "array<struct<start:bigint,end:bigint,marker:string>>"
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
+    def step(last: Column, s: Column) -> tuple[Column, Column]:
         joined = F.struct(
             last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"),
             F.when(last["marker"] == s["marker"], last["marker"]).otherwise(F.lit("[PII_MASKED]")).alias("marker"),
         )
-        touch = (F.size(acc) > 0) & (s["start"] <= last["end"])
-        return F.when(touch, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
+        touch = F.coalesce(s["start"] <= last["end"], F.lit(False))
+        return F.when(touch, joined).otherwise(s), F.when(touch | last.isNull(), none_of(kind)).otherwise(F.array(last))
 
-    return F.aggregate(F.array_sort(spans.cast(kind)), none_of(kind), step)
+    nothing = F.lit(None).cast(kind[6:-1])
+    return scan(F.array_sort(spans.cast(kind)), nothing, kind, step, F.array)
