@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.spans import let, none_of, scan
 from brindle.llm.common import without
 
 #: Base patterns, in the order in which kinds of one start are listed (fixed values).
@@ -33,47 +33,16 @@ ALLOWED = (
     r"(?i)example",
 )
 
-SPAN = "struct<start:int,rank:int,end:int>"
-#: Items that one inner fold takes: appending to an array copies it, so results are gathered in blocks.
-BLOCK = 256
+SPANS = "array<struct<start:int,rank:int,end:int>>"
 #: The ASCII characters of candidates lie between these two. The entropy fold carries the counts of a window as a string
 #: with one place for each of them, whose character is NONE moved up by the count.
 FIRST, LAST, NONE = ord("+"), ord("z"), ord("0")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once, however often and however deep in lambdas the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _scan(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
-    """All spans of step(state, item) -> (next state, array of spans), the state carried from item to item.
-
-    n items cost n * BLOCK / 2 + (n / BLOCK) ** 2 / 2 copied references: linear for any count a text can hold.
-    """
-    none = F.array().cast(f"array<{SPAN}>")
-
-    def one(acc: Column, x: Column) -> Column:
-        after, spans = step(acc["state"], x)
-        return F.struct(after.alias("state"), F.concat(acc["out"], spans).alias("out"))
-
-    def folded(xs: Column) -> Column:
-        def block(acc: Column, k: Column) -> Column:
-            begin = F.struct(acc["state"].alias("state"), none.alias("out"))
-            end = lambda got: F.struct(got["state"].alias("state"), F.concat(acc["out"], F.array(got["out"])).alias("out"))
-            return F.aggregate(F.slice(xs, k * BLOCK + 1, F.lit(BLOCK)), begin, one, end)
-
-        blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
-        begin = F.struct(state.alias("state"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
-        return F.aggregate(blocks, begin, block, lambda acc: F.flatten(acc["out"]))
-
-    return _let(items, lambda xs: F.when(F.size(xs) > 0, folded(xs)).otherwise(none))
-
-
 def _fold(text: Column, pattern: str, rank: int, keep=None, group: int | None = None) -> Column:
     """Spans of the matches of a pattern: the texts between matches and the matches, laid end to end in code points."""
     p = F.lit(pattern)
-    none = F.array().cast(f"array<{SPAN}>")
+    none = none_of(SPANS)
 
     def parts(m: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m))
@@ -85,7 +54,7 @@ def _fold(text: Column, pattern: str, rank: int, keep=None, group: int | None =
         span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
         return end, F.when(keep(x["v"]), span).otherwise(none) if keep else span
 
-    found = _scan(_let(F.regexp_extract_all(text, p, F.lit(0)), parts), F.lit(0), step)
+    found = scan(let(F.regexp_extract_all(text, p, F.lit(0)), parts), F.lit(0), SPANS, step)
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
@@ -129,7 +98,7 @@ def best_entropy(token: Column, window: int = WINDOW) -> Column:
         return F.aggregate(rest, first, step, lambda acc: F.lit(math.log2(window)) - acc["least"] / window)
 
     codes = F.transform(F.split(token, ""), lambda c: F.ascii(c) - (FIRST - 1))
-    return F.when(F.length(token) < window, F.lit(0.0)).otherwise(_let(codes, slid))
+    return F.when(F.length(token) < window, F.lit(0.0)).otherwise(let(codes, slid))
 
 
 def _secretive(token: Column) -> Column:
@@ -147,13 +116,13 @@ def _secretive(token: Column) -> Column:
 
 def _uncovered(base: Column, more: Column) -> Column:
     """base and those of more that no span of base covers, in order: the furthest end of base so far is carried."""
-    none = F.array().cast(f"array<{SPAN}>")
+    none = none_of(SPANS)
 
     def step(end: Column, s: Column) -> tuple[Column, Column]:
         known = s["rank"] < KINDS.index("entropy")
         return F.when(known, F.greatest(end, s["end"])).otherwise(end), F.when(known | (s["end"] > end), F.array(s)).otherwise(none)
 
-    return F.when(F.size(more) == 0, base).otherwise(_scan(F.array_sort(F.concat(base, more)), F.lit(0), step))
+    return F.when(F.size(more) == 0, base).otherwise(scan(F.array_sort(F.concat(base, more)), F.lit(0), SPANS, step))
 
 
 def _join(spans: Column) -> Column:

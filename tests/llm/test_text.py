@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.functions import spans
 from brindle.llm import html_text, mixing, quality, secrets, tokens
 
 ODD = [None, "", " \n\t ", "é😀", "a b c", "x " * 3000, "same line\nsame line\nsame line", "one two three four five six one two three four five six", "#$ & <b> | %"]
@@ -150,7 +151,7 @@ def test_spans_match_brute_force(spark):
     out = {r.i: r.spans for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "i long, text string")).collect()}
     for i, t in enumerate(texts):
         assert out[i] == plain_spans(t), t[:100]
-    assert max(out[i].count("entropy") for i in out) > secrets.BLOCK
+    assert max(out[i].count("entropy") for i in out) > spans.BLOCK
 
 
 def test_long_tokens_take_linear_time_and_no_stack(spark):
