@@ -178,7 +178,12 @@ def detect_windowed(df: DataFrame, keys: list[str], text: str = "text", types: I
     metadata are INCONSISTENT_WINDOW_RESULT, and a text with an error has no findings.
     """
     chunks = chunk_documents(df.select(*keys, text), text, window, entity)
-    found = chunks.select(*keys, "window_start", "core_start", "core_end", F.explode_outer(all_findings(F.col("chunk"), types)).alias("f"))
+    return _united(chunks.withColumn("_found", all_findings(F.col("chunk"), types)), keys)
+
+
+def _united(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Findings of windows (keys, window_start, core_start, core_end, _found) as those of their texts."""
+    found = chunks.select(*keys, "window_start", "core_start", "core_end", F.explode_outer("_found").alias("f"))
     moved = found.withColumn("start_utf8", F.col("f.start_utf8") + F.col("window_start")).withColumn("end_utf8", F.col("f.end_utf8") + F.col("window_start"))
     owned = F.col("f").isNotNull() & (F.col("start_utf8") >= F.col("core_start")) & (F.col("start_utf8") < F.col("core_end"))
     one = F.when(owned, F.struct("start_utf8", "end_utf8", F.col("f.type").alias("type"), F.col("f.recognizer_id").alias("recognizer_id"), F.col("f.recognizer_version").alias("recognizer_version"), F.col("f.evidence").alias("evidence")))
@@ -196,12 +201,18 @@ def detect_windowed(df: DataFrame, keys: list[str], text: str = "text", types: I
 def detect_any_size(df: DataFrame, text: str = "text", types: Iterable[str] = NAMES, limit: int = MAX_BYTES, entity: int = 4096) -> DataFrame:
     """As detect_pii, without PAYLOAD_TOO_LARGE: texts above the limit go through windows of that size, in canonical order."""
     types = tuple(types)
+    if not types:
+        return detect_pii(df, text, types)
     large = F.coalesce((F.octet_length(F.col(text)) > limit) & F.is_valid_utf8(F.col(text)), F.lit(False))
     rows = saved(df.where(large).withColumn("_id", F.monotonically_increasing_id()), "large")
-    found = detect_windowed(rows, ["_id"], text, types, limit, entity)
+    # The expression of all types is large: it is built once, for whole texts and windows named alike.
+    found_in_chunk = all_findings(F.coalesce("chunk", F.lit("")), types)
+    small = preflight(df.where(~large), text, limit).withColumn("chunk", F.col(text))
+    small = small.select(*df.columns, "error_code", F.when(F.col("error_code").isNull(), found_in_chunk).alias("findings"))
+    found = _united(chunk_documents(rows, text, limit, entity).withColumn("_found", found_in_chunk), ["_id"])
     ranked = F.array_sort(F.transform("findings", lambda f: F.struct(type_order(f["type"]).alias("k"), f.alias("f"))))
     found = found.select("_id", "error_code", F.transform(ranked, lambda x: x["f"]).cast(FINDING).alias("findings"))
-    return detect_pii(df.where(~large), text, types, limit=limit).unionByName(rows.join(found, "_id").drop("_id"))
+    return small.unionByName(rows.join(found, "_id").drop("_id"))
 
 
 def reconcile_windows(found: DataFrame, keys: list[str], window_key: str = "window_error") -> DataFrame:
