@@ -222,14 +222,14 @@ def j4_policy_lint(spark, sf_dir):
     return po.lint_policies(p, ["fast-pii"])
 
 
-@query("SELECT 'p' || lpad(min(s_suppkey // 10 * 10)::VARCHAR, 12, '0') AS policy_id FROM supplier WHERE s_suppkey // 10 % 3 = 1")
+@query("SELECT 'p' || lpad(min(s_suppkey // 5 * 5)::VARCHAR, 12, '0') AS policy_id FROM supplier WHERE s_suppkey // 5 % 3 = 1")
 def j5_override_cycle(spark, sf_dir):
-    """Suppliers override the next of their ten; every third ten is a ring, the others end."""
-    s = load(spark, sf_dir, "supplier", "s_suppkey").select(F.floor(F.col("s_suppkey") / 10).alias("ten")).distinct()
-    s = s.select("ten", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    """Suppliers override the next of their five; every third five is a ring, the others end."""
+    s = load(spark, sf_dir, "supplier", "s_suppkey").select(F.floor(F.col("s_suppkey") / 5).alias("five")).distinct()
+    s = s.select("five", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
     name = lambda x: F.concat(F.lit("p"), F.lpad(x.cast("string"), 12, "0"))
-    onward = F.when((F.col("k") < 9) | (F.col("ten") % 3 == 1), F.array(name(F.col("ten") * 10 + (F.col("k") + 1) % 10))).otherwise(F.array().cast("array<string>"))
-    return po.override_cycles(s.select(name(F.col("ten") * 10 + F.col("k")).alias("policy_id"), onward.alias("overrides")))
+    onward = F.when((F.col("k") < 4) | (F.col("five") % 3 == 1), F.array(name(F.col("five") * 5 + (F.col("k") + 1) % 5))).otherwise(F.array().cast("array<string>"))
+    return po.override_cycles(s.select(name(F.col("five") * 5 + F.col("k")).alias("policy_id"), onward.alias("overrides")))
 
 
 # ------------------------------------------------------------------ contexts
