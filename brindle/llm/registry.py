@@ -17,6 +17,7 @@ MODULES = {
     "op8_simhash": ("simhash", None),
     "op9_substring_dedup": ("substring_dedup", "OP9_SQL"),
     "op10_quality_rules": ("quality", None),
+    "op11_token_alignment": ("alignment", None),
     "op13_merkle_manifest": ("merkle", "OP13_SQL"),
 }
 
