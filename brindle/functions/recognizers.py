@@ -54,13 +54,9 @@ def find_email(text: Column) -> Column:
         local = F.rtrim(F.substring_index(m["m"], "@", 1))
         domain = F.regexp_replace(F.substring_index(m["m"], "@", -1), r" +", "")
         domain = F.regexp_replace(domain, _DOT, ".")
-        ok = (
-            (F.length(local) <= 64)
-            & ~local.rlike(r"\A\.|\.\z|\.\.")
-            & domain.rlike(r"\A(?![\-])[^.]{1,63}(?<![\-])(?:\.(?![\-])[^.]{1,63}(?<![\-]))+\z")
-            & (F.length(local) + 1 + F.length(domain) <= 254)
-        )
-        return _if(ok, FORMAT_ONLY)
+        short = (F.length(local) <= 64) & (F.length(local) + 1 + F.length(domain) <= 254)
+        ok = ~local.rlike(r"\A\.|\.\z|\.\.") & domain.rlike(r"\A(?![\-])[^.]{1,63}(?<![\-])(?:\.(?![\-])[^.]{1,63}(?<![\-]))++\z")
+        return F.when(short, _if(ok, FORMAT_ONLY))
 
     return F.when(F.contains(text, F.lit("@")), _found("EMAIL_ADDRESS", matches(text, EMAIL), evidence)).otherwise(none_of(FINDING))
 
@@ -115,6 +111,8 @@ IPV4 = (
     rf"(?:(?![.:])|(?=\.(?![A-Za-z0-9.:]))|(?=:(?![A-Za-z0-9.:_%]|[+\-][0-9]))"
     rf"|(?=:(?![0-9]{{6}}){_PORT}(?![A-Za-z0-9.:_%])))"
 )
+#: Characters of the longest IPv6 text, with an IPv4 tail; longer runs are not matched further.
+LONGEST_IPV6 = 45
 IPV6 = r"(?<![0-9A-Fa-f:])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:][0-9A-Fa-f:.]*+(?!%)"
 
 
@@ -132,7 +130,7 @@ def find_ip(text: Column) -> Column:
         unit = "[0-9A-Fa-f]{1,4}"
         full = plain.rlike(rf"\A(?:{unit}:){{7}}{unit}\z")
         short = plain.rlike(rf"\A(?:{unit}(?::{unit})*)?::(?:{unit}(?::{unit})*)?\z") & (units < 8)
-        return _if(full | short, VALIDATED)
+        return F.when(F.length(m["m"]) <= LONGEST_IPV6, _if(full | short, VALIDATED))
 
     six = _found("IP_ADDRESS", F.transform(matches(text, IPV6), trimmed), evidence)
     both = F.array_sort(F.concat(four, six))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brindle.functions.recognizers import TYPES
-from brindle.functions.spans import merge_spans
+from brindle.functions.spans import merge_spans, scan
 from brindle.operators.detect import on_boundary
 
 GENERIC = "[PII_MASKED]"
@@ -44,18 +44,14 @@ def short_marker(marker: Column, size: Column) -> Column:
 def mask_text(text: Column, spans: Column, fit: bool = False) -> Column:
     """A text with the instructions carried out on its bytes; fit cuts each marker to its span's size."""
     raw = F.encode(text, "UTF-8")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.encode(F.lit(""), "UTF-8").alias("out"))
+    piece = lambda at, size: F.decode(F.substring(raw, (at + 1).cast("int"), size.cast("int")), "UTF-8")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(raw, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
         marker = short_marker(s["marker"], s["end"] - s["start"]) if fit else s["marker"]
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.encode(marker, "UTF-8")).alias("out"))
+        return s["end"], F.array(piece(at, s["start"] - at), marker)
 
-    def finish(acc: Column) -> Column:
-        rest = F.substring(raw, (acc["at"] + 1).cast("int"), F.octet_length(raw))
-        return F.decode(F.concat(acc["out"], rest), "UTF-8")
-
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(text)
+    pieces = scan(spans, F.lit(0).cast("bigint"), "array<string>", step, lambda at: F.array(piece(at, F.octet_length(raw))))
+    return F.when(F.size(spans) > 0, F.array_join(pieces, "")).otherwise(text)
 
 
 def masking_error(text: Column, spans: Column) -> Column:

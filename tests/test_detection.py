@@ -153,3 +153,44 @@ def test_url_hosts(spark):
     df = spark.createDataFrame([("see http://10.0.0.1:80/x ok", 4, 24), ("at 1.2.3.4:99", 3, 13), ("at http://ab.c/", 3, 15)], "text string, a bigint, b bigint")
     got = [(r.host_start, r.host_end) for r in d.annotate_url_hosts(df, "text", "a", "b").collect()]
     assert got == [(11, 19), (3, 10), (None, None)]
+
+
+HOSTILE = {
+    "labels": "a@" + ".".join(["b"] * 350_000),
+    "spaced labels": "a @ " + " . ".join(["b"] * 200_000),
+    "locals": "a." * 350_000 + "@b.com",
+    "ats": "a@b." * 250_000,
+    "units": ":".join(["1"] * 500_000),
+    "colons": ":" * 1_000_000,
+    "octets": "1." * 500_000,
+    "digits": "7" * 1_000_000,
+    "spaced digits": "4 " * 500_000,
+    "dashed digits": "123-" * 250_000,
+    "brackets": "(" * 500_000 + "8" * 500_000,
+    "groups": "DE89 " + "1234 " * 200_000,
+    "letters": "D" * 500_000 + "E89" * 160_000,
+    "series": "паспорт 45 09 " * 30_000,
+    "polis": "полис обязательного " * 25_000 + "1234567890123456",
+}
+
+
+def test_hostile_texts_of_a_megabyte_do_not_end_the_session(spark):
+    rows = [(k, t + tail) for k, t in HOSTILE.items() for tail in ("", " so x@y.com")]
+    df = spark.createDataFrame(rows, "k string, text string").repartition(8)
+    out = df.select("k", *[F.size(f(F.col("text"))).alias(n) for n, f in FINDERS.items()]).collect()
+    assert len(out) == len(rows)
+    assert spark.range(3).count() == 3
+
+
+def test_long_domains_are_no_addresses_and_the_next_one_is_found(spark):
+    text = "a@" + ".".join(["b"] * 3000) + " c@d.com " + ":".join(["1"] * 20000) + " ::1"
+    df = spark.createDataFrame([(text,)], "text string")
+    r = df.select(FINDERS[E](F.col("text")).alias("e"), FINDERS[I](F.col("text")).alias("i")).first()
+    raw = text.encode()
+    assert [raw[x.start_utf8 : x.end_utf8] for x in r.e] == [b"c@d.com"] and [raw[x.start_utf8 : x.end_utf8] for x in r.i] == [b"::1"]
+
+
+def test_masking_of_many_findings_is_linear(spark):
+    df = spark.range(1).select(F.repeat(F.lit("é 10.1.2.3 ж "), 20000).alias("text"))
+    r = m.mask_documents(d.detect_pii(df, types=[I])).first()
+    assert r.masked == "é [IP_MASKED] ж " * 20000
