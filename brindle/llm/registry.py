@@ -18,6 +18,7 @@ MODULES = {
     "op9_substring_dedup": ("substring_dedup", "OP9_SQL"),
     "op10_quality_rules": ("quality", None),
     "op11_token_alignment": ("alignment", None),
+    "op12_language_model": ("language_model", None),
     "op13_merkle_manifest": ("merkle", "OP13_SQL"),
 }
 
