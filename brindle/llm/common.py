@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import sys
 import tempfile
@@ -12,6 +11,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_digest
 
 #: ASCII white space, as the contracts define it: [\x20\x09-\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
@@ -65,31 +65,10 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 # ---------------------------------------------------------------- hashing of words and windows
 
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _WS = np.zeros(256, dtype=bool)
 _WS[list(SPACE)] = True
 
 
-def _powers_to(base: np.uint64, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(n, base, dtype=np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
-
-
-@functools.lru_cache(maxsize=4)
-def _table(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = int(_BASES[which])
-    return _powers_to(np.uint64(base), size), _powers_to(np.uint64(pow(base, -1, 1 << 64)), size)
-
-
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2**64; tables in doubling sizes, the largest few kept."""
-    size = 1 << max(14, (n + 1).bit_length())
-    up, down = _table(which, size)
-    return up, down
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads all bits of 64-bit values."""
     with np.errstate(over="ignore"):
@@ -107,22 +86,39 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+#: Odd factors of the two families of span hashes (arbitrary).
+_FAMILY = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of values[start:end] for many spans at once: prefix sums of a polynomial modulo 2**64."""
-    up, down = _powers(which, len(values))
+    """64-bit hash of values[start:end] for many spans at once; which chooses one of two families.
+
+    Blocks of 1, 2, 4, ... values are hashed from their halves, with all bits mixed at every step, so no sum over a span is
+    linear in its values. A span is the hash of its length and of the two largest blocks that cover it.
+    """
+    one, two = (np.uint64(x) for x in _FAMILY[which])
+    size = np.asarray(ends) - np.asarray(starts)
+    out = np.zeros(len(size), dtype=np.uint64)
+    if not len(size) or not size.any():
+        return out
+    step = np.frexp(size.astype(np.float64))[1] - 1  # the largest power of two in the length
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * up[: len(values)], out=sums[1:])
-        got = (sums[ends] - sums[starts]) * down[starts]
-        return mix(got + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        block = mix(values + one)
+        for k in range(int(step.max()) + 1):
+            at = np.flatnonzero(step == k)
+            if len(at):
+                ends_in = block[ends[at] - (1 << k)]
+                out[at] = mix(mix(block[starts[at]] * one + ends_in) * two + ends_in + size[at].astype(np.uint64))
+            if k < step.max():
+                half = 1 << k
+                block = mix(mix(block[:-half] * two + np.uint64(k)) + block[half:] * one)
+    return out
 
 
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, starts, ends in bytes)."""
-    raw, starts, ends = word_bounds(text)
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64), starts, ends
-    return span_hash(raw.astype(np.uint64) + np.uint64(1), starts, ends), starts, ends
+    """(XXH3 of each word's bytes, starts, ends in bytes)."""
+    _, starts, ends = word_bounds(text)
+    return np.frombuffer(b"".join(map(xxh3_64_digest, text.split())), dtype=np.uint64), starts, ends
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

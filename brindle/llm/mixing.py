@@ -83,7 +83,7 @@ def plan_mix(docs: DataFrame, seed: int, max_epochs: int, cycle: tuple[int, ...]
         placed.join(ranges.select("sk", "range", "start"), ["sk", "range"])
         .withColumn("passed", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(plan.select("sk", "quota"), "sk")
-        .where(2 * F.col("passed") + F.col("size") <= 2 * F.col("quota"))
+        .where((F.col("quota") > 0) & (2 * F.col("passed") + F.col("size") <= 2 * F.col("quota")))
         .groupBy("sk")
         .agg(F.max("place").alias("last"))
     )
@@ -99,7 +99,8 @@ def mix_sources(docs: DataFrame, seed: int = 7, max_epochs: int = 3, cycle: tupl
     """docs repeated as the mix takes them: each row 0 to max_epochs times, the columns unchanged.
 
     Sources by code point (null last, a source of its own) weigh 1, 2, 3, repeating. Null and empty texts have size 0
-    and are repeated like others of their source. Rows of one doc_id are taken alike; a null doc_id has a place as any
+    and are repeated like others of their source, which at its cap are taken max_epochs times; a source without any word has a
+    target of 0 and is not taken. Rows of one doc_id are taken alike; a null doc_id has a place as any
     other. Reruns agree. An empty table gives an empty table.
     """
     _, plan = plan_mix(docs, seed, max_epochs, cycle)

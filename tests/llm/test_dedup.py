@@ -96,6 +96,35 @@ def test_substrings_match_brute_force(spark, shard):
     assert substring_dedup.dedup_substrings(docs_table(spark, rows, extra=True)).where("start = 'kept'").count() == len(rows)
 
 
+@pytest.mark.parametrize("shard", [256, 1])
+def test_words_that_a_polynomial_confuses_are_no_repeats(spark, shard):
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*words[:30], w, *words[30:]]) for w in (x, y, x)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(df, shard=shard).collect()}
+    assert out == {0: 0, 1: 0, 2: 61}
+
+
+def test_span_hashes_of_words_in_turns_differ():
+    x, y = np.uint64(1), np.uint64(2)
+    a, b = np.array([x]), np.array([y])
+    for _ in range(11):
+        a, b = np.r_[a, b], np.r_[b, a]
+    whole = np.array([0]), np.array([len(a)])
+    assert all(common.span_hash(a, *whole, k) != common.span_hash(b, *whole, k) for k in (0, 1))
+    rng = np.random.default_rng(0)
+    v = rng.integers(0, 3, 400).astype(np.uint64)
+    low = rng.integers(0, 399, 3000)
+    high = np.minimum(low + rng.integers(1, 9, 3000), 400)
+    seen = {}
+    for i, j, h in zip(low, high, common.span_hash(v, low, high), strict=True):
+        assert seen.setdefault(h, tuple(v[i:j])) == tuple(v[i:j])
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_suffix_automaton_matching_statistics():
     rng = random.Random(3)
     known = [[rng.randrange(3) for _ in range(40)] for _ in range(4)]

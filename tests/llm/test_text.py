@@ -307,6 +307,30 @@ def test_mix_targets_and_repeats(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_empty_documents_of_a_capped_source_are_taken_three_times_at_most(spark):
+    rows = [(k, "", "a") for k in range(8)] + [(10 + k, "w w", "a") for k in range(3)] + [(100 + k, "v " * 50, s) for k, s in enumerate("bcbcbc")]
+    rows += [(200 + k, "", "z") for k in range(4)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    counts = collections.Counter(r.doc_id for r in out.collect())
+    assert {counts[k] for k in [*range(8), 10, 11, 12]} == {3} and all(counts[200 + k] == 0 for k in range(4))
+
+
+def twins():
+    """Two words of 1,024 letters that every polynomial modulo a power of two gives one value."""
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_that_a_polynomial_confuses_are_no_repeats():
+    x, y = twins()
+    counts, _ = quality.statistics(f"w0 w1 w2 w3 {x} w0 w1 w2 w3 {y}".encode())
+    assert counts[quality.COUNTS.index("n_repeat_words")] == 0
+    again, _ = quality.statistics(f"w0 w1 w2 w3 {x} w0 w1 w2 w3 {x}".encode())
+    assert again[quality.COUNTS.index("n_repeat_words")] == 10
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     with open(tokens.MODEL, "rb") as f:
