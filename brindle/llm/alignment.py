@@ -6,6 +6,9 @@ import functools
 import hashlib
 import os
 import re
+import sys
+from array import array
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -23,10 +26,10 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 RANGE = 32768
 #: A range does not end inside a longer unit, so that little is tokenized twice.
 LONG_UNIT = 4096
-#: Units (see Aligner.units) up to this many bytes are remembered, at most so many of them.
-MEMO_BYTES, MEMO_UNITS = 64, 400_000
+#: Units (see Aligner.units) up to this many characters are remembered, the last of them up to twice this number.
+MEMO_LENGTH, MEMO_UNITS = 64, 200_000
 #: Distinct links of documents that a chunk gathers before it is written.
-CHUNK_LINKS = 1_500_000
+CHUNK_LINKS = 1_000_000
 
 
 class Fragment(NamedTuple):
@@ -115,8 +118,10 @@ class Aligner:
             self.b_bytes.append(bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) else p.replace("▁", " ").encode())
         if any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size())):
             raise ValueError("pieces with inner spaces are not supported")
-        self.memo: dict[str, int] = {}
-        self.known: list[tuple] = []
+        self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.memo: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     @classmethod
     def units(cls, text: str) -> list[str]:
@@ -129,35 +134,45 @@ class Aligner:
         b = [y or [self.b.piece_to_id("▁")] for y in b]  # the library gives nothing for a lone space
         return [(x.ids, y) for x, y in zip(a, b, strict=True)]
 
-    def ends(self, ids: list[int], surface: list[bytes]) -> list[int]:
-        return np.cumsum([len(surface[i]) for i in ids]).tolist() if ids else []
+    def ends(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+        """Bytes up to the end of each token."""
+        return list(accumulate([self.a_size[i] for i in a])), list(accumulate([self.b_size[i] for i in b]))
 
     def same(self, unit: str, a: list[int], b: list[int]) -> bool:
         raw = unit.encode()
         return b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
 
-    def learn(self, units: list[str]) -> None:
-        """Put units into the memo: (n_a, n_b, n_groups, text of the groups, links), None if bytes differ."""
-        for unit, (a, b) in zip(units, self.tokens(units), strict=True):
-            entry = None
-            if self.same(unit, a, b):
-                f = fragment(a, self.ends(a, self.a_bytes), b, self.ends(b, self.b_bytes))
-                groups = [(f.pa, f.pb), *f.groups]
-                entry = (len(a), len(b), len(groups), group_text(groups), links(groups))
-            self.memo[unit] = len(self.known)
-            self.known.append(entry)
-
-    def look_up(self, docs: list[list[str]]) -> list[list[tuple | None]]:
-        """The memo's entries of the units of documents; long units are not kept."""
-        if len(self.known) > MEMO_UNITS:
-            self.memo, self.known = {}, []
-        new = list({u for units in docs for u in units if u not in self.memo})
-        long = {u for u in new if len(u) > MEMO_BYTES}
-        self.learn(new)
-        known, memo = self.known, self.memo
-        out = [[known[memo[u]] for u in units] for units in docs]
-        for u in long:
-            known[memo.pop(u)] = None
+    def entry(self, unit: str, a: list[int], b: list[int]) -> tuple:
+        """(n_a, n_b, n_groups, text of the groups, links as bytes) of a unit; () if bytes differ."""
+        if not self.same(unit, a, b):
+            return ()
+        ends = self.ends(a, b)
+        common = set(ends[0]).intersection(ends[1])
+        if len(common) == 1:
+            groups = [(a, b)]
+        else:
+            f = fragment(a, ends[0], b, ends[1])
+            groups = [(f.pa, f.pb), *f.groups]
+        name = self.names.__getitem__
+        text = ";".join([f"{','.join(map(name, x))}|{','.join(map(name, y))}" for x, y in groups])
+        return (len(a), len(b), len(groups), text, array("q", links(groups)).tobytes())
+
+    def look_up(self, docs: list[list[str]]) -> list[list[tuple]]:
+        """The entries of the units of documents. Two tables of bounded size remember units: the newer one takes over from the
+        older what it is asked for, and becomes the older one when it is full."""
+        if len(self.memo) > MEMO_UNITS:
+            self.memo, self.older = {}, self.memo
+        out = [list(map(self.memo.get, units)) for units in docs]
+        open_ = [k for k, entries in enumerate(out) if None in entries]
+        missing = {u for k in open_ for u, e in zip(docs[k], out[k], strict=True) if e is None}
+        known = {u: e for u in missing if (e := self.older.get(u)) is not None}
+        new = list(missing.difference(known))
+        if new:
+            for u, (a, b) in zip(new, self.tokens(new), strict=True):
+                known[u] = self.entry(u, a, b)
+        for k in open_:
+            out[k] = [known[u] if e is None else e for u, e in zip(docs[k], out[k], strict=True)]
+        self.memo.update((u, e) for u, e in known.items() if len(u) <= MEMO_LENGTH)
         return out
 
 
@@ -166,8 +181,8 @@ def aligner(bpe: str, pieces: str) -> Aligner:
     return Aligner(bpe, pieces)
 
 
-def _distinct(found: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.array(found, dtype=np.int64), return_counts=True)
+def _distinct(found: np.ndarray | list[int]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.asarray(found, dtype=np.int64), return_counts=True)
 
 
 _WHOLE = pa.schema([
@@ -211,12 +226,12 @@ def _short_docs(bpe: str, pieces: str, keep: bool):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             split = [tool.units(t) if t else [] for t in texts]
             for doc_id, entries in zip(ids, tool.look_up(split), strict=True):
-                if not entries or None in entries:
+                if not entries or () in entries:
                     rows.append((doc_id, 0, 0, 0, 0, "", "" if keep else None))
                     found.append((np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)))
                     continue
                 n_a, n_b, n_groups, text, pairs = zip(*entries, strict=True)
-                pairs, text = [x for p in pairs for x in p], ";".join(text)
+                pairs, text = np.frombuffer(b"".join(pairs), dtype=np.int64), ";".join(text)
                 rows.append((doc_id, sum(n_a), sum(n_b), sum(n_groups), len(pairs), hashlib.sha256(text.encode()).hexdigest(), text if keep else None))
                 found.append(_distinct(pairs))
                 size += len(found[-1][0])
@@ -286,8 +301,7 @@ def range_fragment(tool: Aligner, text: str, low: int, high: int) -> tuple[bool,
         a_ids += a
         b_ids += b
     kept = []
-    for ids, surface in ((a_ids, tool.a_bytes), (b_ids, tool.b_bytes)):
-        ends = tool.ends(ids, surface)
+    for ids, ends in zip((a_ids, b_ids), tool.ends(a_ids, b_ids), strict=True):
         inside = [k for k, e in enumerate(ends) if low < e <= high]
         kept += [[ids[k] for k in inside], [ends[k] for k in inside]]
     return ok, fragment(*kept)

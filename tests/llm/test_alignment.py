@@ -25,7 +25,7 @@ def whole(text):
     raw = (" " + text).encode()
     if b"".join(t.a_bytes[i] for i in a) != raw or b"".join(t.b_bytes[i] for i in b) != raw:
         return []
-    a_ends, b_ends = t.ends(a, t.a_bytes), t.ends(b, t.b_bytes)
+    a_ends, b_ends = t.ends(a, b)
     both, low, out = sorted(set(a_ends) & set(b_ends)), 0, []
     for high in both:
         out.append(([x for x, e in zip(a, a_ends, strict=True) if low < e <= high], [x for x, e in zip(b, b_ends, strict=True) if low < e <= high]))
@@ -111,6 +111,15 @@ def test_documents_whole_and_in_ranges(spark, size):
     assert shown[200] == alignment.group_text(whole(docs[-3][1]))
 
 
+def test_memo_gives_entries_again_after_it_was_full(monkeypatch):
+    monkeypatch.setattr(alignment, "MEMO_UNITS", 3)
+    t = alignment.Aligner(alignment.BPE, alignment.PIECES)
+    docs = [t.units("the cat sat on the mat"), t.units("low ▁ bar"), t.units("the dog sat on a log")]
+    first = t.look_up(docs)
+    assert [t.look_up(docs) for _ in range(5)] == [first] * 5 and () in first[1] and () not in first[0]
+    assert [e for d in docs for e in t.look_up([d])[0]] == [e for d in first for e in d]
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.align_tokens(df)[0].collect() == []
