@@ -41,18 +41,29 @@ UNSEEN = frozenset(
     "script style noscript template iframe svg canvas object audio video button select textarea head title datalist noembed noframes".split()
 )
 ASIDE = frozenset("nav footer aside dialog menu".split())
-#: Words of class, id or role that mark such parts, and words that may stand beside them in one name.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promos promotion sidebar "
-    "aside menu menus nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert "
-    "newsletter subscribe subscription signup login popup modal overlay comment comments commentlist disqus respond reply "
-    "replies discussion share sharing social related recommended recommendations widget widgets toolbar pagination pager "
-    "masthead topbar skip contentinfo complementary search form".split()
+#: Words of class, id or role that mark such parts: one of the first is enough; of the others, and of words that may stand
+#: beside them, a name has to be made as a whole.
+TELLING_WORDS = frozenset(
+    "ad ads adv adslot adsense advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos "
+    "comment comments commenter commenters commentlist disqus replies sidebar sidebars share sharing sharebar social cookie "
+    "cookies consent gdpr ccpa newsletter newsletters popup modal breadcrumb breadcrumbs footer navbar related recommended "
+    "recommendations taboola outbrain paywall".split()
+)
+#: What the names of such parts begin or end with when they are written as one word.
+TELLING_PARTS = re.compile(r"\A(?:adsby|advert|googlead|doubleclick|comments|sidebar|newsletter|cookie|breadcrumb|sharethis|addthis)|(?:comments?|sidebar|footer|newsletter|advert|navbar)\Z")
+MARKS = TELLING_WORDS | frozenset(
+    "promotion aside menu menus nav navigation banner notice notices alert subscribe subscription signup login overlay respond "
+    "reply discussion widget widgets toolbar pagination pager masthead topbar skip contentinfo complementary search form".split()
 )
 BESIDE = frozenset(
     "list item items box block wrap wrapper container section area bar panel slot unit site global header body inner main "
-    "primary secondary top bottom thread form links posts".split()
+    "primary secondary top bottom left right thread form links posts text content c js".split()
 )
+#: Names of wrappers that say what a page has, not what they are.
+WRAPS = frozenset("has with without no hide layout".split())
+#: Words with which menus are named in longer names; there they have to be lists of links, too.
+MENUS = frozenset("menu menus nav navigation pagination pager toolbar search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset({"article", "main"})
 WHOLE = frozenset({"html", "body", "article", "main"})
 #: Elements that hold running text or its headings.
@@ -72,31 +83,45 @@ NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 class Node:
-    """An element. soft: 1 if its tag or a hiding attribute leaves it out, 2 if its name does so unless it holds the page's text."""
+    """An element. soft: 1 if its tag or a hiding attribute leaves it out, 2 if its names do so unless it holds the page's
+    text or is a section of it, 3 if they do so only where it is a list of links."""
+
+    __slots__ = ("tag", "parent", "parts", "soft", "names", "within", "core", "linked", "forms", "paragraphs", "articles", "chars", "tags", "link_chars", "link_tags", "prose", "density", "total", "start", "end")
 
-    __slots__ = ("tag", "parent", "parts", "soft", "within", "core", "paragraphs", "articles", "chars", "tags", "link_chars", "link_tags", "prose", "density", "total", "start", "end")
+    def __init__(self, tag: str, parent, soft: int = 0, within: int = 0, names: frozenset = frozenset()):
+        self.tag, self.parent, self.parts, self.soft, self.within, self.names = tag, parent, [], soft, within, names
 
-    def __init__(self, tag: str, parent, soft: int = 0, within: int = 0):
-        self.tag, self.parent, self.parts, self.soft, self.within = tag, parent, [], soft, within
 
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in NAME_PARTS.findall(name)]
 
-def _names_aside(name: str) -> bool:
-    """Whether one class, id or role is made of marks, and of words that may stand beside them, only."""
-    words = [w.lower() for w in NAME_PARTS.findall(name)]
-    return any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words)
 
+def _aside(words: list[str], tag: str) -> int:
+    """0, 2 or 3 (see Node) for the words of one class, id or role."""
+    if any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words):
+        return 2
+    if tag in PROSE or any(w in WRAPS for w in words):
+        return 0
+    if any(w in TELLING_WORDS or TELLING_PARTS.search(w) for w in words):
+        return 2
+    return 3 if any(w in MENUS for w in words) else 0
 
-def _soft(tag: str, attributes: str, inside: bool) -> int:
+
+def _soft(tag: str, attributes: str, inside: bool) -> tuple[int, frozenset]:
+    """soft of an element, and the words of the names that decide it."""
     if tag in ASIDE or (tag == "header" and not inside):
-        return 1
-    named = tag == "form"
+        return 1, frozenset()
+    found = [(2, "form")] if tag == "form" else []
     if attributes and tag not in WHOLE and TELLING.search(attributes):
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and UNSHOWN.search(value)):
-                return 1
-            named = named or (key in ("class", "id", "role") and any(map(_names_aside, value.split())))
-    return 2 if named else 0
+                return 1, frozenset()
+            if key in ("class", "id", "role") and tag not in HEADINGS:
+                named = [(_aside(words, tag), words) for words in map(_words, value.split())]
+                found += [(k, w) for k, words in named if k for w in words]
+    soft = min((k for k, _ in found), default=0)
+    return soft, frozenset(w for k, w in found if k == soft)
 
 
 def parse(page: str) -> Node:
@@ -162,7 +187,8 @@ def parse(page: str) -> Node:
             continue
         if attributes.endswith("/") and tag in ("svg", "path"):
             continue
-        child = Node(tag, at, 1 if tag in UNSEEN else _soft(tag, attributes, at.within > 0), at.within + (tag in ARTICLE))
+        soft, names = (1, frozenset()) if tag in UNSEEN else _soft(tag, attributes, at.within > 0)
+        child = Node(tag, at, soft, at.within + (tag in ARTICLE), names)
         at.parts.append(child)
         places.setdefault(tag, []).append(len(open_nodes))
         open_nodes.append(child)
@@ -184,21 +210,41 @@ def _shown(text: str) -> int:
     return len("".join(text.split()))
 
 
+def _stem(words) -> set[str]:
+    return {w.rstrip("s") for w in words}
+
+
+def _is_section(n: Node) -> bool:
+    """Whether a named part inside an article is a section of it: its heading says the name, as ids of sections do, its own
+    paragraphs (not those of items in it) are most of it, with few links and no form."""
+    if n.tag != "section" or not n.within or n.forms or n.core < 120 or n.linked * 4 > n.core:
+        return False
+    kids = [p for p in n.parts if isinstance(p, Node)]
+    heads = [k for k in kids if k.tag in HEADINGS]
+    said = _stem(w for h in heads[:1] for p in _in_order(h) for t in p.parts if isinstance(t, str) for w in _words(t))
+    return _stem(n.names) <= said and 2 * sum(k.core for k in kids if k.tag in PROSE) > n.core
+
+
 def prune(root: Node) -> None:
     """Cut off menus, footers, adverts and the like.
 
-    A part known by its name only stays if it is what the page is about, and no article or main element stands
-    elsewhere: it holds such an element and most of the text outside links, or nearly all of it and all paragraphs.
+    A part known by its names only stays if it is a section of the article, or what the page is about and no article or main
+    element stands elsewhere: it holds such an element and most of the text outside links, or nearly all of it and all
+    paragraphs. Names that say a menu among other words count where the part is mostly links.
     """
     order = _in_order(root)
     if not any(n.soft for n in order):
         return
     for n in reversed(order):
         kids = [p for p in n.parts if isinstance(p, Node)]
-        plain = 0 if n.tag == "a" else sum(_shown(p) for p in n.parts if isinstance(p, str))
-        n.core = plain + sum(k.core for k in kids if not k.soft)
+        own, link = sum(_shown(p) for p in n.parts if isinstance(p, str)), n.tag == "a"
+        n.linked = own * link + sum(k.core * link + k.linked for k in kids)
+        n.core = 0 if link else own + sum(k.core for k in kids if not k.soft)
         n.paragraphs = (n.tag == "p" and n.core > 0) + sum(k.paragraphs for k in kids if not k.soft)
         n.articles = (n.tag in ARTICLE) + sum(k.articles for k in kids if not k.soft)
+        n.forms = (n.tag in ("form", "input")) + sum(k.forms for k in kids)
+        if n.soft == 3:
+            n.soft = 2 if n.linked > n.core else 0
     rest, paragraphs, articles = root.core, root.paragraphs, root.articles
     stack = [root]
     while stack:
@@ -208,7 +254,8 @@ def prune(root: Node) -> None:
             if isinstance(p, Node) and p.soft:
                 alone = articles <= p.within - (p.tag in ARTICLE)
                 own = p.articles > 0 and p.core > rest
-                if p.soft == 1 or not alone or not (own or (p.core >= 200 and rest < 100 and not paragraphs)):
+                about = alone and (own or (p.core >= 200 and rest < 100 and not paragraphs))
+                if p.soft == 1 or not (about or _is_section(p)):
                     continue
                 rest, paragraphs, articles = rest + p.core, paragraphs + p.paragraphs, articles + p.articles
             kept.append(p)

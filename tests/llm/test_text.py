@@ -205,6 +205,78 @@ def test_marked_parts_go_whatever_their_size(name):
     assert html_text.extract(page) == "T\nA short article."
 
 
+NAMES_ASIDE = (
+    "user-comments reader-comments post-comments article-comments fb-comments commentSection comments__list left-sidebar sidebar-left page-sidebar-2 "
+    "google-ad adsbygoogle ad-slot-3 advert_wide sponsored-content related-articles relatedStories share-buttons social-icons newsletter-cta "
+    "newsletterSignup gdpr-notice-text cookieBar c-footer site-footer-2 breadcrumb-trail popup-offer disqus_thread promo-teaser usercomments"
+).split()
+
+
+@pytest.mark.parametrize("name", NAMES_ASIDE)
+def test_one_telling_word_marks_a_part(name):
+    part = f'<div class="{name}"><p>{"words of a reader or a seller " * 12}</p></div>'
+    assert html_text.extract(f"<article><h1>T</h1>{PARAS}{part}</article>").count("\n") == 4
+    assert html_text.extract(f'<body><div class="content"><h1>T</h1>{PARAS}{part}</div></body>').count("\n") == 4
+
+
+@pytest.mark.parametrize(("attribute", "title"), [
+    ('id="search"', "Search"), ('class="related"', "Related work"), ('id="notices"', "Notices"), ('id="navigation"', "Navigation of the fleet"),
+    ('id="comments"', "Comments"), ('id="sharing"', "Sharing"), ('id="cookies"', "Cookies"),
+])
+def test_sections_whose_heading_says_their_name_stay(attribute, title):
+    text = "A section of the article says what it has to say in a sentence or two, long enough to be prose and free of any link. " * 2
+    page = f"<article><h1>T</h1>{PARAS}<section {attribute}><h2>{title}</h2><p>{text}</p><p>{text}</p></section></article>"
+    got = html_text.extract(page).split("\n")
+    assert got[5:] == [title, text.strip(), text.strip()]
+    heading = f"<article><h1>T</h1>{PARAS}<h2 {attribute}>{title}</h2><p>{text}</p></article>"
+    assert html_text.extract(heading).split("\n")[5:] == [title, text.strip()]
+
+
+def test_sections_of_readers_and_forms_go():
+    said = "This is what a reader has to say about it, at some length and with some care, more than once and to no end. " * 3
+    items = f'<section id="comments"><h2>Comments</h2><ol><li><b>Ann</b><p>{said}</p></li><li><b>Bob</b><p>{said}</p></li></ol></section>'
+    form = f'<section class="newsletter"><h2>Newsletter</h2><p>{said}</p><form><input name=mail></form></section>'
+    assert html_text.extract(f"<article><h1>T</h1>{PARAS}{items}{form}</article>").count("\n") == 4
+
+
+def made_page(rng):
+    """(page, blocks of the article, other blocks): names of the article's parts and of lists of links are in no list."""
+    word = lambda n: " ".join(rng.choice(["river", "stone", "market", "winter", "engine", "letter", "harbour", "the", "of", "and", "was"]) for _ in range(n))
+    odd = lambda: "".join(rng.choice("bdfgklmprtvz") + rng.choice("aeiou") for _ in range(3)) + str(rng.randint(1, 99))
+    good, bad, marks = [], [], iter(range(10_000))
+
+    def block(kind, n, links=0.0):
+        text = f"{word(n)} {next(marks)}"
+        (good if kind else bad).append(text)
+        return f'<a href="/{odd()}">{text}</a>' if rng.random() < links else text
+
+    body = [f"<h1>{block(1, 5)}</h1>"]
+    for k in range(rng.randint(4, 9)):
+        body.append(f"<h2 class='{odd()}'>{block(1, 4)}</h2>" if k % 3 == 2 else f"<p class='{odd()}'>{block(1, rng.randint(25, 90))}</p>")
+        if rng.random() < 0.2:
+            body.append(f"<ul>{''.join(f'<li>{block(1, 12)}</li>' for _ in range(3))}</ul>")
+        if rng.random() < 0.3:
+            body.append(f"<div class='{rng.choice(NAMES_ASIDE)}'>{block(0, rng.randint(5, 40))}</div>")
+    text = "".join(body)
+    for _ in range(rng.randint(1, 3)):
+        text = rng.choice([f"<div class='{odd()}'>{text}</div>", f"<article class='{odd()}'>{text}</article>", f"<section>{text}</section>"])
+    links = lambda n: f"<div class='{odd()}'><ul>{''.join(f'<li>{block(0, 3, 1.0)}</li>' for _ in range(n))}</ul></div>"
+    side = rng.choice([f"<aside>{block(0, 30)}</aside>", f"<div class='{odd()}'>{links(6)}</div>", f"<div id='{rng.choice(NAMES_ASIDE)}'><p>{block(0, 60)}</p></div>"])
+    return f"<html><body>{links(8)}<div class='{odd()}'>{text}{side}</div>{links(12)}<footer>{block(0, 9)}</footer></body></html>", good, bad
+
+
+def test_blocks_of_held_out_pages():
+    rng, kept, lost, wrong = random.Random(12), 0, 0, 0
+    for _ in range(150):
+        page, good, bad = made_page(rng)
+        got = set(html_text.extract(page).split("\n"))
+        kept += sum(g in got for g in good)
+        lost += sum(g not in got for g in good)
+        wrong += sum(b in got for b in bad)
+    print(kept, lost, wrong)
+    assert kept / (kept + lost) > 0.97 and kept / (kept + wrong) > 0.97
+
+
 def test_density_decides_inside_main():
     page = f"<main><h1>T</h1><div>{PARAS}</div><div>Buy now today</div><div><a href=1>one</a> <a href=2>two</a></div></main>"
     assert "Buy now" not in html_text.extract(page) and html_text.extract(page).count("\n") == 4
