@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from brindle.functions.tables import shared_path
 from brindle.operators import chat as ch
-from brindle.plans.catalog import CACHE_SQL, load, query
+from brindle.plans.catalog import BOUNDED_CACHE_SQL, CACHE_SQL, cache_log, load, query
 from brindle.plans.detection import deltas
 from brindle.sources import corpora as co
+from brindle.streaming.cache import cache_stream
 from brindle.streaming import streams as st
 
 
@@ -186,7 +187,8 @@ def st3_deadlines(spark, sf_dir):
     s = e.select(F.col("event_id").alias("span_id"), "ts")
     after = F.when(F.col("event_id") % 4 == 1, F.col("ts") + F.expr("INTERVAL 2 HOURS")).otherwise(F.col("ts"))
     c = e.where("event_id % 4 <> 0").select(F.col("event_id").alias("span_id"), after.alias("ts"))
-    return st.run_available(st.deadlines(s, c, "1 hour"))
+    # an end comes up to two hours after the newest start; starts of the next batch must not count as late for that
+    return st.run_available(st.deadlines(s, c, "1 hour", "3 hours"), store=st.ROCKSDB)
 
 
 @query(CACHE_SQL)
@@ -196,6 +198,14 @@ def st4_cached_identities(spark, sf_dir):
     return st.run_available(st.cached_identities(e, 18_000)).groupBy("subject", "cache").agg(F.count("*").alias("n"))
 
 
+@query(BOUNDED_CACHE_SQL)
+def st4_bounded_cache(spark, sf_dir):
+    """Streaming form of the cache with lookups that take time and a largest size; l11_bounded_cache is the batch form."""
+    log = cache_log(_event_stream(spark, sf_dir, "2 DAYS"))
+    out = st.run_available(cache_stream(log, 18_000, 4), store=st.ROCKSDB)
+    return out.groupBy("owner", "cache").agg(F.count("*").alias("n"))
+
+
 @query("""WITH p AS (SELECT *, sum(CASE WHEN event_type NOT IN ('error', 'view') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS isl FROM events),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id, isl ORDER BY ts, event_id) AS r FROM p WHERE event_type IN ('error', 'view'))
 SELECT user_id AS probe, event_id AS probe_id FROM k WHERE r = 3""")

@@ -8,8 +8,9 @@ from brindle.operators import audit as au
 from brindle.operators import chat as ch
 from brindle.operators import context as cx
 from brindle.operators import policy as po
-from brindle.plans.catalog import CACHE_SQL, load, query
+from brindle.plans.catalog import BOUNDED_CACHE_SQL, CACHE_SQL, cache_log, load, query
 from brindle.plans.detection import deltas
+from brindle.streaming.cache import cache_report
 
 # ------------------------------------------------------------------ conversations as requests, responses and streams
 
@@ -356,6 +357,13 @@ def l11_identity_cache(spark, sf_dir):
     return au.identity_cache_report(log, "5 hours").groupBy("subject", "cache").agg(F.count("*").alias("n"))
 
 
+@query(BOUNDED_CACHE_SQL)
+def l11_bounded_cache(spark, sf_dir):
+    """Requests, joined lookups and removals of caches of four entries and five hours; st4_bounded_cache is the streaming form."""
+    out = cache_report(cache_log(_events(spark, sf_dir)), "5 hours", 4)
+    return out.groupBy("owner", "cache").agg(F.count("*").alias("n"))
+
+
 @query("""WITH c AS (SELECT event_type, ts AS t, 1 AS d FROM events UNION ALL SELECT event_type, ts + INTERVAL 2 HOUR, -1 FROM events),
 g AS (SELECT event_type, t, sum(d) AS d FROM c GROUP BY 1, 2), r AS (SELECT event_type, sum(d) OVER (PARTITION BY event_type ORDER BY t) AS active FROM g)
 SELECT event_type, max(active)::BIGINT AS peak FROM r GROUP BY 1""")

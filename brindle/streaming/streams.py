@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brindle.functions.tables import shared_path
@@ -14,16 +17,35 @@ from brindle.operators.masking import instructions, mask_text
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_available(df: DataFrame, mode: str = "append", schema=None) -> DataFrame:
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str | None):
+    """Streams that start inside keep their state in a store of the class given; the session's setting comes back after."""
+    before = spark.conf.get(PROVIDER, None)
+    if provider:
+        spark.conf.set(PROVIDER, provider)
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(PROVIDER, before)
+        elif provider:
+            spark.conf.unset(PROVIDER)
+
+
+def run_available(df: DataFrame, mode: str = "append", store: str | None = None) -> DataFrame:
     """Run a stream over all that its sources have, into a table of the shared folder, and read that."""
     spark = df.sparkSession
     out, check = shared_path(spark, "stream"), shared_path(spark, "offsets")
-    q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).start(out)
+    with state_store(spark, store):
+        q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).start(out)
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
-def run_batches(df: DataFrame, mode: str = "update") -> DataFrame:
+def run_batches(df: DataFrame, mode: str = "update", store: str | None = None) -> DataFrame:
     """As run_available for results that change: each batch is written with its number, batch_id."""
     spark = df.sparkSession
     out, check = shared_path(spark, "stream"), shared_path(spark, "offsets")
@@ -31,7 +53,8 @@ def run_batches(df: DataFrame, mode: str = "update") -> DataFrame:
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch_id", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(put).start()
+    with state_store(spark, store):
+        q = df.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
     schema = df.withColumn("batch_id", F.lit(0).cast("bigint")).schema
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
@@ -112,13 +135,61 @@ def pair_stream(started: DataFrame, completed: DataFrame, limit: str = "1 hour")
     return s.join(c, on, "leftOuter").select("span_id", "started_ts", "completed_ts")
 
 
-def deadlines(started: DataFrame, completed: DataFrame, limit: str = "50 milliseconds") -> DataFrame:
-    """Error rows of policies that did not end within the deadline, each once the watermark has passed it.
-
-    A bounded input ends with a late pair in both streams (write_in_order adds it), which moves the watermark past all.
+class DeadlineProcessor(StatefulProcessor):
+    """A timer for each start, which its end takes away if it comes in time. Either may come first."""
+
+    def __init__(self, limit_ms: int):
+        self.limit = limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getValueState("times", "started long, completed long")
+
+    def _clear(self) -> None:
+        self.times.clear()
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = self.times.get()
+        started, completed = known or (None, None)
+        for pdf in rows:
+            for r in pdf.itertuples():
+                at = r.ts.value // 1_000_000
+                if r.ended:
+                    completed = at if completed is None else min(completed, at)
+                else:
+                    started = at if started is None else min(started, at)
+        if known:
+            self._clear()
+        if started is None or completed is None or completed > started + self.limit:
+            self.times.update((started, completed))
+            self.handle.registerTimer((completed if started is None else started) + self.limit)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        started = (self.times.get() or (None,))[0]
+        self.times.clear()
+        if started is not None:
+            yield pd.DataFrame([(key[0], "ERROR", "POLICY_DEADLINE_EXCEEDED")], columns=["span_id", "status", "error_code"], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def deadlines(started: DataFrame, completed: DataFrame, limit: str = "50 milliseconds", late: str = "1 second") -> DataFrame:
+    """(span_id, status, error_code) of policies that did not end within the deadline, each in the batch whose watermark passes
+    its deadline. Needs RocksDB as state store.
+
+    A start sets a timer in event time, an end in time removes it, and with either the state of the span is gone. An end
+    without a start is forgotten after the limit. A bounded input ends with a late pair of rows (write_in_order adds it).
     """
-    p = pair_stream(started, completed, limit)
-    return p.where("completed_ts is null").select("span_id", F.lit("ERROR").alias("status"), F.lit("POLICY_DEADLINE_EXCEEDED").alias("error_code"))
+    spark = started.sparkSession
+    limit_ms = spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {limit}) AS t").first().t
+    rows = started.select("span_id", "ts", F.lit(False).alias("ended")).unionByName(completed.select("span_id", "ts", F.lit(True).alias("ended")))
+    rows = rows.withWatermark("ts", late).where("span_id is not null")
+    kind = started.schema["span_id"].dataType.simpleString()
+    return rows.groupBy("span_id").transformWithStateInPandas(DeadlineProcessor(limit_ms), f"span_id {kind}, status string, error_code string", "append", "EventTime")
 
 
 def cached_identities(lookups: DataFrame, ttl_seconds: int = 300) -> DataFrame:
