@@ -6,9 +6,7 @@ import functools
 import hashlib
 import os
 import re
-import sys
-from array import array
-from itertools import accumulate
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +25,7 @@ RANGE = 32768
 #: A range does not end inside a longer unit, so that little is tokenized twice.
 LONG_UNIT = 4096
 #: Units (see Aligner.units) up to this many characters are remembered, the last of them up to twice this number.
-MEMO_LENGTH, MEMO_UNITS = 64, 200_000
+MEMO_LENGTH, MEMO_UNITS = 64, 250_000
 #: Distinct links of documents that a chunk gathers before it is written.
 CHUNK_LINKS = 1_000_000
 
@@ -118,7 +116,7 @@ class Aligner:
             self.b_bytes.append(bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) else p.replace("▁", " ").encode())
         if any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size())):
             raise ValueError("pieces with inner spaces are not supported")
-        self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.a_size, self.b_size = (np.array([len(x) for x in s]) for s in (self.a_bytes, self.b_bytes))
         self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.memo: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
@@ -136,26 +134,46 @@ class Aligner:
 
     def ends(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
         """Bytes up to the end of each token."""
-        return list(accumulate([self.a_size[i] for i in a])), list(accumulate([self.b_size[i] for i in b]))
+        return np.cumsum(self.a_size[a]).tolist() if a else [], np.cumsum(self.b_size[b]).tolist() if b else []
 
     def same(self, unit: str, a: list[int], b: list[int]) -> bool:
         raw = unit.encode()
         return b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
 
-    def entry(self, unit: str, a: list[int], b: list[int]) -> tuple:
-        """(n_a, n_b, n_groups, text of the groups, links as bytes) of a unit; () if bytes differ."""
-        if not self.same(unit, a, b):
-            return ()
-        ends = self.ends(a, b)
-        common = set(ends[0]).intersection(ends[1])
-        if len(common) == 1:
-            groups = [(a, b)]
-        else:
-            f = fragment(a, ends[0], b, ends[1])
-            groups = [(f.pa, f.pb), *f.groups]
-        name = self.names.__getitem__
-        text = ";".join([f"{','.join(map(name, x))}|{','.join(map(name, y))}" for x, y in groups])
-        return (len(a), len(b), len(groups), text, array("q", links(groups)).tobytes())
+    def entries(self, units: list[str]) -> list[tuple]:
+        """(n_a, n_b, n_groups, text of the groups, links as bytes) of each unit; () if bytes differ. The tokens of all units
+        are laid end to end, so that the arithmetic is done once for all."""
+        both = self.tokens(units)
+        a_ids, b_ids = (list(chain.from_iterable(x)) for x in zip(*both, strict=True))
+        raw = "".join(units).encode()
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != raw or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw:
+            good = [u for u, (a, b) in zip(units, both, strict=True) if self.same(u, a, b)]
+            known = dict(zip(good, self.entries(good), strict=True)) if good else {}
+            return [known.get(u, ()) for u in units]
+        a, b = np.array(a_ids), np.array(b_ids)
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        of_a, of_b = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        n_a, n_b = np.bincount(of_a, minlength=len(common)), np.bincount(of_b, minlength=len(common))
+        unit_of = np.searchsorted(np.cumsum([len(u.encode()) for u in units]), common)
+        # every A token beside every B token of its group
+        times = n_b[of_a]
+        left = np.repeat(np.arange(len(a)), times)
+        place = np.arange(len(left)) - (np.cumsum(times) - times)[left]
+        found = (a[left] << 32 | b[(np.cumsum(n_b) - n_b)[of_a[left]] + place]).tobytes()
+        # all ids by group, those of A first, each with what stands after it
+        key = np.r_[2 * of_a, 2 * of_b + 1]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        last = np.r_[key[1:] != key[:-1], True]
+        ends_unit = np.r_[unit_of[1:] != unit_of[:-1], True][key // 2]
+        mark = np.where(~last, 0, np.where(key % 2 == 0, 1, np.where(ends_unit, 3, 2)))
+        shown = map(self.names.__getitem__, np.r_[a, b][order].tolist())
+        texts = "".join(chain.from_iterable(zip(shown, map(",|;\n".__getitem__, mark.tolist()), strict=True))).split("\n")
+        links_to = 8 * np.cumsum(np.bincount(unit_of, n_a * n_b, len(units)).astype(np.int64))
+        counts = [np.bincount(unit_of, x, len(units)).astype(np.int64).tolist() for x in (n_a, n_b, np.ones(len(common)))]
+        cut = [0, *links_to.tolist()]
+        return [(*n, t, found[x:y]) for *n, t, x, y in zip(*counts, texts, cut, cut[1:], strict=False)]
 
     def look_up(self, docs: list[list[str]]) -> list[list[tuple]]:
         """The entries of the units of documents. Two tables of bounded size remember units: the newer one takes over from the
@@ -168,8 +186,7 @@ class Aligner:
         known = {u: e for u in missing if (e := self.older.get(u)) is not None}
         new = list(missing.difference(known))
         if new:
-            for u, (a, b) in zip(new, self.tokens(new), strict=True):
-                known[u] = self.entry(u, a, b)
+            known.update(zip(new, self.entries(new), strict=True))
         for k in open_:
             out[k] = [known[u] if e is None else e for u, e in zip(docs[k], out[k], strict=True)]
         self.memo.update((u, e) for u, e in known.items() if len(u) <= MEMO_LENGTH)
