@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brindle.functions.tables import saved
+
 
 def correlate(audit: DataFrame, exchanges: DataFrame, sessions: DataFrame) -> DataFrame:
     """Audit events of measured sessions joined to their exchange by trace and parent span, never by trace alone."""
@@ -32,18 +34,45 @@ def reconcile_pairs(started: DataFrame, completed: DataFrame, keys: list[str]) -
     return s.join(c, keys, "full_outer").select(*keys, verdict.alias("verdict"))
 
 
-def scan_leaks(lines: DataFrame, forbidden: DataFrame, text: str = "line", limit: int = 10_000) -> DataFrame:
-    """Rows of lines that contain a forbidden value, with the value's id (never the value).
+def _grams(text: str, n: int):
+    """All runs of n characters of a text, in order; one linear pass."""
+    return F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
+def gram_index(forbidden: DataFrame, n: int = 6) -> DataFrame:
+    """(gram, value_id, value) of values of n characters or more: of each value the gram that the fewest values hold, so that
+    what values have in common, such as a prefix, does not bring them together. The first one of equal grams."""
+    each = forbidden.where(F.length("value") >= n).select("value_id", "value", F.posexplode(_grams("value", n)).alias("at", "gram"))
+    held = each.select("gram", "value").distinct().groupBy("gram").agg(F.count("*").alias("held"))
+    rarest = each.join(held, "gram").groupBy("value_id", "value").agg(F.min_by("gram", F.struct("held", "at")).alias("gram"))
+    return forbidden.join(rarest, ["value_id", "value"]).select("gram", "value_id", "value")
+
+
+#: Up to so many bytes of values their index is broadcast.
+INDEX_BYTES = 4 << 20
+
+
+def scan_leaks(lines: DataFrame, forbidden: DataFrame, text: str = "line", limit: int = 10_000, n: int = 6) -> DataFrame:
+    """Rows of lines that contain a forbidden value (value_id, value), with the value's id (never the value).
 
-    Values meet each line in arrays of about `limit`, dealt by a hash; one array if the list is short. Whatever the
-    number of values, a hit is contains(line, value).
+    Values of n characters or more stand in an index under their rarest gram, which meets the different grams of a line in an
+    equi-join without its text; what meets is checked by contains. Columns of lines named value or value_id are not allowed. Shorter values, the empty one too, have no gram: they meet each line in
+    arrays of about `limit`, dealt by a hash. Whatever the number of values, a hit is contains(line, value), once for each row
+    of forbidden; null lines and values hit nothing.
     """
-    n = max(1, -(-forbidden.count() // limit))
-    dealt = forbidden.groupBy(F.pmod(F.xxhash64("value_id", "value"), F.lit(n)).alias("_block"))
+    n_bytes = forbidden.where(F.length("value") >= n).agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    index = gram_index(forbidden, n)
+    index = F.broadcast(index) if n_bytes <= INDEX_BYTES else index.hint("merge")
+    rows = saved(lines.withColumn("_line", F.monotonically_increasing_id()), "lines")
+    met = rows.select("_line", F.explode(F.array_distinct(_grams(text, n))).alias("gram")).join(index, "gram").select("_line", "value_id", "value")
+    long = rows.join(met, "_line").where(F.contains(F.col(text), F.col("value"))).drop("_line", "value")
+    short = forbidden.where(F.length("value") < n)
+    blocks = max(1, -(-short.count() // limit))
+    dealt = short.groupBy(F.pmod(F.xxhash64("value_id", "value"), F.lit(blocks)).alias("_block"))
     values = dealt.agg(F.collect_list(F.struct("value_id", "value")).alias("_values")).select("_values")
     hit = F.filter("_values", lambda v: F.contains(F.col(text), v["value"]))
-    met = lines.crossJoin(F.broadcast(values) if n == 1 else values)
-    return met.withColumn("_hit", F.explode(hit)).select(*lines.columns, F.col("_hit.value_id").alias("value_id"))
+    met = lines.crossJoin(F.broadcast(values) if blocks == 1 else values)
+    return long.unionByName(met.withColumn("_hit", F.explode(hit)).select(*lines.columns, F.col("_hit.value_id").alias("value_id")))
 
 
 def typed_outcomes(expected: DataFrame, events: DataFrame, key: str, allowed: list[str]) -> DataFrame:

@@ -322,6 +322,15 @@ def l4_leaks(spark, sf_dir):
     return au.scan_leaks(load(spark, sf_dir, "documents", "doc_id", "text"), f, "text").select("doc_id", "value_id")
 
 
+@query("""SELECT d.doc_id, p.p_partkey AS value_id FROM documents d JOIN part p ON contains(d.text, substr(p.p_name, 1, 8))
+UNION ALL SELECT d.doc_id, -b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
+def l4_leaks_of_tables(spark, sf_dir):
+    """Documents that hold a passage of the benchmark or the first letters of a part's name; the values come from the tables."""
+    parts = load(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("value_id"), F.substring("p_name", 1, 8).alias("value"))
+    items = load(spark, sf_dir, "benchmark").select((-F.col("item_id")).cast("bigint").alias("value_id"), F.col("text").alias("value"))
+    return au.scan_leaks(load(spark, sf_dir, "documents", "doc_id", "text"), parts.union(items), "text").select("doc_id", "value_id")
+
+
 _OUTCOME = "CASE event_type WHEN 'click' THEN 'ALLOW' WHEN 'view' THEN 'MASK' WHEN 'purchase' THEN 'BLOCK' WHEN 'error' THEN 'ERROR' END"
 
 

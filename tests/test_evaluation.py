@@ -148,3 +148,27 @@ def test_long_lists_of_forbidden_values_are_searched_inside_lines(spark):
     want = sorted((n, k) for n, t in lines for k, v in values if t and v in t)
     for limit in (7, 10_000):
         assert sorted((r.n, r.value_id) for r in audit.scan_leaks(ldf, vdf, limit=limit).collect()) == want
+
+
+def test_leaks_are_what_contains_says(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abé.*\n😀 ") for _ in range(n))
+    lines = [(k, word(rng.randrange(0, 60))) for k in range(60)] + [(100, None), (101, ""), (102, "x" * 5000 + "needle" * 3), (102, "x" * 5000 + "needle" * 3)]
+    values = [(k, word(rng.randrange(0, 12))) for k in range(80)] + [(200, lines[3][1]), (201, "xxxxxxneedle"), (201, "xxxxxxneedle"), (202, ""), (203, None), (204, "needle")]
+    want = sorted((a, v) for a, t in lines if t is not None for v, x in values if x is not None and x in t)
+    df = spark.createDataFrame(lines, "k int, line string")
+    got = audit.scan_leaks(df, spark.createDataFrame(values, "value_id int, value string"), limit=7)
+    assert sorted((r.k, r.value_id) for r in got.collect()) == want
+    assert audit.scan_leaks(df, spark.createDataFrame([], "value_id int, value string")).collect() == []
+    assert audit.scan_leaks(df.where("false"), spark.createDataFrame(values, "value_id int, value string")).collect() == []
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_many_values_meet_lines_by_their_gram(spark, monkeypatch, limit):
+    values = spark.range(200_000).select(F.col("id").alias("value_id"), F.concat(F.lit("key-"), F.md5(F.col("id").cast("string"))).alias("value"))
+    monkeypatch.setattr(audit, "INDEX_BYTES", limit)
+    lines = spark.range(500).select("id", F.concat(F.lit("so the key-"), F.md5((F.col("id") * 500).cast("string")), F.lit(" was shown")).alias("line"))
+    out = audit.scan_leaks(lines, values)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.value_id) for r in out.collect()) == [(k, 500 * k) for k in range(400)]
+    assert "CartesianProduct" not in plan
