@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brindle.functions.tables import saved
+
 MIB = 1 << 20
 
 
@@ -17,8 +19,15 @@ def ranked_percentiles(samples: DataFrame, by: list[str], value: str, points: tu
     `ranges` parts, however many samples it has.
     """
     known = samples.where(F.col(value).isNotNull())
-    cuts = sorted(set(known.approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.005)))
-    c = known.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    return _ranked(known.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")), by, points, _cuts(known, value, ranges))
+
+
+def _cuts(df: DataFrame, value: str, ranges: int) -> list[float]:
+    return sorted(set(df.approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.005)))
+
+
+def _ranked(c: DataFrame, by: list[str], points: tuple[float, ...], cuts: list[float]) -> DataFrame:
+    """ranked_percentiles of values (_v) that are counted (_n) already."""
     c = c.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col("_v"))) if cuts else F.lit(0))
     sums = c.groupBy(*by, "_range").agg(F.sum("_n").alias("_s"))
     own = W.partitionBy(*by)
@@ -32,19 +41,26 @@ def ranked_percentiles(samples: DataFrame, by: list[str], value: str, points: tu
 
 def latency_percentiles(samples: DataFrame, by: list[str], value: str = "value", exact: bool = True) -> DataFrame:
     """(by, n, p50, p95, p99, max) by nearest rank for each group and each prefix of the groups, the rest of by null.
-    exact=False takes the approximate percentile in one rollup."""
+
+    Equal values of a group are counted once, in a table; every prefix adds up those counts, and all use the same ranges of
+    values. exact=False takes the approximate percentile in one rollup.
+    """
     points = (0.5, 0.95, 0.99)
     if not exact:
         return samples.rollup(*by).agg(F.count("*").alias("n"), *[F.percentile_approx(value, p, 10_000).alias(f"p{int(p * 100)}") for p in points], F.max(value).alias("max"))
+    counts = saved(samples.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")), "counts")
+    cuts = _cuts(counts.where("_v is not null"), "_v", 64)
+    kinds = {f.name: f.dataType for f in samples.schema}
     out = None
     for k in range(len(by), -1, -1):
         keys = by[:k]
-        n = samples.groupBy(*keys).agg(F.count("*").alias("n"), F.max(value).alias("max"))
-        p = ranked_percentiles(samples, keys, value, points)
-        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"p.{c}")) for c in keys]
-        j = n.alias("n").join(p.alias("p"), same, "left") if keys else n.alias("n").join(p.alias("p"), F.lit(True), "left")
-        kinds = {f.name: f.dataType for f in samples.schema}
-        level = j.select(*[F.col(f"n.{c}").alias(c) if c in keys else F.lit(None).cast(kinds[c]).alias(c) for c in by], "n", "p50", "p95", "p99", "max")
+        level = counts if k == len(by) else counts.groupBy(*keys, "_v").agg(F.sum("_n").alias("_n"))
+        n = level.groupBy(*keys).agg(F.sum("_n").alias("n"), F.max("_v").alias("max"))
+        p = _ranked(level.where("_v is not null"), keys, points, cuts)
+        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"p.{c}")) for c in keys] or F.lit(True)
+        level = n.alias("n").join(p.alias("p"), same, "left").select(
+            *[F.col(f"n.{c}").alias(c) if c in keys else F.lit(None).cast(kinds[c]).alias(c) for c in by], F.coalesce("n", F.lit(0)).alias("n"), "p50", "p95", "p99", "max"
+        )
         out = level if out is None else out.union(level)
     return out
 
@@ -139,16 +155,18 @@ def test_totals(cases: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("seconds"), "task", "class")
 
 
-def throughput_verdict(runs: DataFrame, most: float = 0.70) -> DataFrame:
-    """(ratio, passed, reasons) of runs (phase, seconds, failed): the median after over the median before."""
+def throughput_verdict(runs: DataFrame, most: float = 0.70, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, ratio, passed, reasons) of runs (by, phase, seconds, failed): the median after over the median before."""
+    by = list(by)
     med = lambda p: F.max(F.when(F.col("phase") == p, F.col("p50")))
-    medians = ranked_percentiles(runs, ["phase"], "seconds", (0.5,)).agg(med("before").alias("_b"), med("after").alias("_a"))
-    out = runs.agg(F.count_if("failed").alias("_f"), F.count_if(F.col("phase") == "before").alias("_nb"), F.count_if(F.col("phase") == "after").alias("_na")).join(medians)
-    out = out.withColumn("ratio", F.try_divide("_a", "_b"))
+    medians = ranked_percentiles(runs, [*by, "phase"], "seconds", (0.5,)).groupBy(*by).agg(med("before").alias("_b"), med("after").alias("_a"))
+    out = runs.groupBy(*by).agg(F.count_if("failed").alias("_f"), F.count_if(F.col("phase") == "before").alias("_nb"), F.count_if(F.col("phase") == "after").alias("_na"))
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by] or F.lit(True)
+    out = out.alias("o").join(medians.alias("m"), same, "left").select(*[F.col(f"o.{c}").alias(c) for c in by], "_f", "_nb", "_na", F.try_divide("_a", "_b").alias("ratio"))
     reasons = F.array_compact(F.array(
         F.when(F.col("_f") > 0, "FAILED_RUN"), F.when((F.col("_nb") < 3) | (F.col("_na") < 3), "TOO_FEW_RUNS"), F.when(F.col("ratio") > most, "TOO_SLOW")
     ))
-    return out.select("ratio", (F.size(reasons) == 0).alias("passed"), F.array_join(reasons, ",").alias("reasons"))
+    return out.select(*by, "ratio", (F.size(reasons) == 0).alias("passed"), F.array_join(reasons, ",").alias("reasons"))
 
 
 def matrix_problems(observed: DataFrame, dims: list[DataFrame]) -> DataFrame:

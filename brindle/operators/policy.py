@@ -182,11 +182,6 @@ def inspected_payloads(messages: DataFrame, fragments: DataFrame, keys: list[str
     return messages.select(*keys).join(fragments.select(*keys, "ordinal", "text"), keys, "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def _rendered(counts: DataFrame, keys: list[str], name: str, to: str) -> DataFrame:
-    """(keys, to): counts by name as name:count, sorted and joined by commas."""
-    return counts.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", name, "count"))), ",").alias(to))
-
-
 def audit_messages(fragments: DataFrame, messages: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, audit_outcome, n_fragments, n_findings, by_type, by_evidence, policies, error_code): the safe summary of each message.
 
@@ -196,20 +191,33 @@ def audit_messages(fragments: DataFrame, messages: DataFrame, keys: list[str]) -
     """
     f = fragments if "errors" in fragments.columns else fragments.withColumn("errors", F.array().cast("array<struct<detector_id:string,error_code:string>>"))
     evidence = "evidence" in f.schema["findings"].dataType.elementType.names
-    each = f.select(*keys, F.explode("findings").alias("x"))
-    types = each.groupBy(*keys, F.col("x.type").alias("type")).count()
-    kinds = each.groupBy(*keys, (F.col("x.evidence") if evidence else F.lit(None).cast("string")).alias("evidence")).count().where("evidence is not null")
-    total = types.groupBy(*keys).agg(F.sum("count").alias("n_findings"))
-    refs = f.select(*keys, F.explode("policies").alias("p")).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("policies"))
-    first = f.select(*keys, F.explode("errors").alias("e")).where("e.error_code is not null").groupBy(*keys).agg(F.min(F.struct("e.detector_id", "e.error_code")).alias("_first"))
-    out = messages.join(f.groupBy(*keys).agg(F.count("*").alias("n_fragments"), F.bool_or("failed").alias("failed")), keys, "left")
-    for part in (total, _rendered(types, keys, "type", "by_type"), _rendered(kinds, keys, "evidence", "by_evidence"), refs, first):
-        out = out.join(part, keys, "left")
+    # One pass: what a fragment says is counted by (part, name, code), first within tasks, then rendered for each message.
+    part = lambda kind, name, code=None: F.struct(F.lit(kind).alias("part"), name.cast("string").alias("name"), (F.lit(None) if code is None else code).cast("string").alias("code"))
+    said = F.concat(
+        F.array(part("fragment", F.coalesce("failed", F.lit(False)))),
+        *[F.coalesce(F.transform(c, g), F.array().cast("array<struct<part:string,name:string,code:string>>")) for c, g in (
+            ("findings", lambda x: part("type", x["type"])),
+            ("findings", lambda x: part("evidence", x["evidence"] if evidence else F.lit(None))),
+            ("policies", lambda x: part("policy", x)),
+            ("errors", lambda x: part("error", x["detector_id"], x["error_code"])),
+        )],
+    )
+    counts = f.select(*keys, F.inline(said)).groupBy(*keys, "part", "name", "code").agg(F.count("*").alias("n"))
+    of = lambda kind: F.col("part") == kind
+    listed = lambda kind, text: F.array_join(F.array_sort(F.collect_set(F.when(of(kind), text))), ",")
+    number = F.concat_ws(":", "name", "n")
+    summed = counts.groupBy(*keys).agg(
+        F.sum(F.when(of("fragment"), F.col("n"))).alias("n_fragments"), F.bool_or(of("fragment") & (F.col("name") == "true")).alias("failed"),
+        F.sum(F.when(of("type"), F.col("n"))).alias("n_findings"), listed("type", number).alias("by_type"),
+        listed("evidence", F.when(F.col("name").isNotNull(), number)).alias("by_evidence"), listed("policy", F.col("name")).alias("policies"),
+        F.min(F.when(of("error") & F.col("code").isNotNull(), F.struct("name", "code"))).alias("_first"),
+    )
+    out = messages.join(summed, keys, "left")
     outcome = F.when(F.col("failed"), "ERROR").when(F.col("n_findings") > 0, "DETECTED").when(F.col("has_gap"), "INSPECTION_GAP").otherwise("CLEAN")
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return out.select(
         *keys, outcome.alias("audit_outcome"), F.coalesce("n_fragments", F.lit(0)).alias("n_fragments"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
-        text("by_type"), text("by_evidence"), text("policies"), F.when(F.col("failed"), F.coalesce("_first.error_code", F.lit("DETECTOR_EXECUTION_ERROR"))).alias("error_code"),
+        text("by_type"), text("by_evidence"), text("policies"), F.when(F.col("failed"), F.coalesce("_first.code", F.lit("DETECTOR_EXECUTION_ERROR"))).alias("error_code"),
     )
 
 

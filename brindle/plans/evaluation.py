@@ -303,6 +303,20 @@ def x12_throughput(spark, sf_dir):
     return me.throughput_verdict(e)
 
 
+@query("""WITH r AS (SELECT user_id, month(ts) * 100 + day(ts) // 8 AS span, event_id % 2 = 0 AS before, value, event_type = 'error' AND value > 100 AS failed FROM events),
+g AS (SELECT user_id, span, count(*) FILTER (failed) AS f, count(*) FILTER (before) AS nb, count(*) FILTER (NOT before) AS na,
+ quantile_disc(value, 0.5) FILTER (NOT before) / quantile_disc(value, 0.5) FILTER (before) AS ratio FROM r GROUP BY 1, 2),
+x AS (SELECT *, array_to_string(list_filter([CASE WHEN f > 0 THEN 'FAILED_RUN' END, CASE WHEN nb < 3 OR na < 3 THEN 'TOO_FEW_RUNS' END, CASE WHEN ratio > 0.7 THEN 'TOO_SLOW' END], lambda y: y IS NOT NULL), ',') AS reasons FROM g)
+SELECT user_id, span, ratio, reasons = '' AS passed, reasons FROM x""")
+def x12_throughput_of_users(spark, sf_dir):
+    """Runs of a user in eight days, even events before and odd ones after; errors over 100 failed."""
+    phase = F.when(F.col("event_id") % 2 == 0, "before").otherwise("after")
+    span = F.month("ts") * 100 + F.floor(F.dayofmonth("ts") / 8)
+    failed = (F.col("event_type") == "error") & (F.col("value") > 100)
+    e = load(spark, sf_dir, "events").select("user_id", span.alias("span"), phase.alias("phase"), F.col("value").alias("seconds"), failed.alias("failed"))
+    return me.throughput_verdict(e, by=("user_id", "span"))
+
+
 @query("""WITH d AS (SELECT DISTINCT user_id FROM events), t AS (SELECT DISTINCT event_type FROM events), o AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE value > 100 GROUP BY 1, 2)
 SELECT user_id, event_type, CASE WHEN n IS NULL THEN 'MISSING' ELSE 'DUPLICATE' END AS problem FROM d CROSS JOIN t LEFT JOIN o USING (user_id, event_type) WHERE n IS NULL OR n > 1""")
 def x13_matrix(spark, sf_dir):

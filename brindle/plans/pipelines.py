@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brindle.functions.checksums import IBAN_LENGTHS
 from brindle.functions.tables import shared_path
 from brindle.operators import chat as ch
 from brindle.plans.catalog import BOUNDED_CACHE_SQL, CACHE_SQL, cache_log, load, query
@@ -140,11 +142,19 @@ def s13_audit_sink(spark, sf_dir):
     return spark.read.schema("event_id long, event string").json(path).groupBy("event").agg(F.count("*").alias("n"))
 
 
-@query("SELECT substr(x, 1, 2) AS country, substr(x, 3)::INT AS length, count(*) AS n_docs FROM (SELECT unnest(['DE22', 'GB22', 'NO15']) AS x), documents GROUP BY 1, 2")
+_REGISTRY = ", ".join(f"('{c}', {n})" for c, n in IBAN_LENGTHS.items())
+
+
+@query(f"""WITH r(country, length) AS (VALUES {_REGISTRY}), p AS (SELECT country, length, row_number() OVER (ORDER BY country) - 1 AS k, count(*) OVER () AS n FROM r)
+SELECT country, length::INT AS length, count(s_suppkey) AS n_accounts, coalesce(sum(s_suppkey % 40 + 4 = length), 0)::BIGINT AS n_fitting
+FROM p LEFT JOIN supplier ON s_suppkey % n = k GROUP BY 1, 2""")
 def s11_iban_registry(spark, sf_dir):
-    r = co.iban_registry(spark).where("country in ('DE', 'GB', 'NO')")
-    n = load(spark, sf_dir, "documents", "doc_id").agg(F.count("*").alias("n_docs"))
-    return r.crossJoin(n)
+    """All countries, with suppliers dealt to them and how many of their accounts have the country's length."""
+    n = len(IBAN_LENGTHS)
+    r = co.iban_registry(spark).select("country", "length", (F.row_number().over(W.orderBy("country")) - 1).alias("k"))
+    s = load(spark, sf_dir, "supplier", "s_suppkey").select((F.col("s_suppkey") % n).alias("k"), (F.col("s_suppkey") % 40 + 4).alias("size"), "s_suppkey")
+    out = r.join(s, "k", "left").groupBy("country", "length")
+    return out.agg(F.count("s_suppkey").alias("n_accounts"), F.count_if(F.col("size") == F.col("length")).alias("n_fitting"))
 
 
 # ------------------------------------------------------------------ streams

@@ -17,18 +17,18 @@ CASES = [
     ("a@b and a..b@c.de .x@y.com a@b.com.", E, []),
     ("éa@b.com x - a@b.com a    @b.com", E, []),
     ("почта: me@пример.рф тут", E, ["me@пример.рф"]),
-    ("+7 (912) 345-67-89 or 89123456789", P, ["+7 (912) 345-67-89", "89123456789"]),
-    ("тел 912 345 67 89; far far away from any such word 912 345 67 80", P, ["912 345 67 89"]),
-    ("телескоп 912 345 67 89", P, []),
-    ("12 8 912 345 67 89 and 8--912 345 67 89 and 8 912 345 67 89.5", P, []),
+    ("+7 (903) 518-24-60 or 89035182460", P, ["+7 (903) 518-24-60", "89035182460"]),
+    ("тел 903 518 24 69; far far away from any such word 903 518 24 60", P, ["903 518 24 69"]),
+    ("телескоп 903 518 24 69", P, []),
+    ("12 8 903 518 24 69 and 8--903 518 24 69 and 8 903 518 24 69.5", P, []),
     ("cards 4111 1111 1111 1111, 5500-0000-0000-0004 no 4111111111111112", C, ["4111 1111 1111 1111", "5500-0000-0000-0004"]),
     ("0000000000000000 4111  1111 1111 1111 -4111111111111111-", C, []),
     ("10.0.0.1:8080 1.2.3.4.5 01.2.3.4 1.2.3.4:0 end 9.9.9.9.", I, ["10.0.0.1", "9.9.9.9"]),
-    ("::1 fe80::1%eth0 2001:db8::ff00:42:8329 ::ffff:1.2.3.4 1:2:3:4:5:6:7:8 1:2:3", I, ["::1", "2001:db8::ff00:42:8329", "::ffff:1.2.3.4", "1:2:3:4:5:6:7:8"]),
+    ("::1 fe80::1%eth0 2001:db8:5::a1:77f0 ::ffff:1.2.3.4 1:2:3:4:5:6:7:8 1:2:3", I, ["::1", "2001:db8:5::a1:77f0", "::ffff:1.2.3.4", "1:2:3:4:5:6:7:8"]),
     ("DE89370400440532013000 DE89 3704 0044 0532 0130 00 DE88370400440532013000 gb82west12345698765432", B, ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "gb82west12345698765432"]),
     ("500100732259 500100732258 1500100732259", N, ["500100732259"]),
-    ("112-233-445 95 112 233 445 95 11223344595 112-233-445 96 001-001-998 00", S, ["112-233-445 95", "112 233 445 95", "11223344595"]),
-    ("СНИЛС: 112-233-445 96", S, ["112-233-445 96"]),
+    ("152-637-480 69 152 637 480 69 15263748069 152-637-480 68 001-001-998 00", S, ["152-637-480 69", "152 637 480 69", "15263748069"]),
+    ("СНИЛС: 152-637-480 68", S, ["152-637-480 68"]),
     ("паспорт 4509 123456; " + "z" * 80 + " 45 09 123456", Q, ["4509 123456"]),
     ("серия и номер 45-09 123456", Q, ["45-09 123456"]),
     ("полис ОМС 1234567890123456 and far" + " x" * 40 + " 1234567890123450", O, ["1234567890123456"]),
