@@ -11,6 +11,7 @@ from brindle.operators import chat as ch
 from brindle.plans.catalog import BOUNDED_CACHE_SQL, CACHE_SQL, cache_log, load, query
 from brindle.plans.detection import deltas
 from brindle.sources import corpora as co
+from brindle.sources import report as rp
 from brindle.streaming.cache import cache_stream
 from brindle.streaming import streams as st
 
@@ -135,6 +136,19 @@ def s12_reports(spark, sf_dir):
     return spark.read.parquet(path).select("lang", "n")
 
 
+@query("""SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS n_chars, max(doc_id)::BIGINT AS last FROM documents GROUP BY 1, 2
+UNION ALL SELECT 'all', NULL, count(*), sum(n_chars)::BIGINT, max(doc_id)::BIGINT FROM documents""")
+def s12_published_report(spark, sf_dir):
+    """A report published by its manifest: rows by language and source, continued by a second run with the total."""
+    path = shared_path(spark, "published")
+    d = load(spark, sf_dir, "documents", "doc_id", "lang", "source", "n_chars")
+    sums = [F.count("*").alias("n"), F.sum("n_chars").cast("bigint").alias("n_chars"), F.max("doc_id").cast("bigint").alias("last")]
+    rp.publish_report(d.groupBy("lang", "source").agg(*sums), path)
+    total = d.agg(*sums).select(F.lit("all").alias("lang"), F.lit(None).cast("string").alias("source"), "n", "n_chars", "last")
+    rp.publish_report(total, path, append=True)
+    return rp.read_report(spark, path)
+
+
 @query("SELECT event_type AS event, count(*) AS n FROM events GROUP BY 1")
 def s13_audit_sink(spark, sf_dir):
     path = shared_path(spark, "audit")

@@ -158,7 +158,7 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, by: list[str] | None = None, kind: str = "parquet") -> None:
-    """A report as files by view and scope; readers see all of a run or nothing."""
+    """A report as files by view and scope, replaced in place; report.publish_report is the one that readers see whole."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).format(kind).save(path)
 

@@ -45,16 +45,25 @@ def run_available(df: DataFrame, mode: str = "append", store: str | None = None)
     return spark.read.schema(df.schema).parquet(out)
 
 
-def run_batches(df: DataFrame, mode: str = "update", store: str | None = None) -> DataFrame:
-    """As run_available for results that change: each batch is written with its number, batch_id."""
-    spark = df.sparkSession
-    out, check = shared_path(spark, "stream"), shared_path(spark, "offsets")
+def batch_sink(out: str):
+    """A sink that holds each batch once, however often it is given: a batch is a folder of its number, which is replaced."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch_id", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    return put
+
+
+def run_batches(df: DataFrame, mode: str = "update", store: str | None = None, out: str | None = None, check: str | None = None, sink=batch_sink) -> DataFrame:
+    """As run_available for results that change: each batch is written with its number, batch_id.
+
+    With paths of its own for results and checkpoint, a run that was stopped goes on where it was: the batch that had not
+    been committed runs again with its number and its rows, on the state before it, and takes the place of what it left.
+    """
+    spark = df.sparkSession
+    out, check = out or shared_path(spark, "stream"), check or shared_path(spark, "offsets")
     with state_store(spark, store):
-        q = df.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(put).start()
+        q = df.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(sink(out)).start()
     q.awaitTermination()
     schema = df.withColumn("batch_id", F.lit(0).cast("bigint")).schema
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)

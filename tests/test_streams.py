@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.streaming import streams as st
@@ -124,3 +125,30 @@ def test_a_state_store_is_the_streams_own(spark):
     with st.state_store(spark, st.ROCKSDB):
         assert spark.conf.get(st.PROVIDER) == st.ROCKSDB
     assert spark.conf.get(st.PROVIDER) == before
+
+
+def test_a_stopped_stream_goes_on_and_gives_each_event_once(spark, tmp_path):
+    rows = [(k % 400, START + k) for k in range(1000)]
+    df = spark.createDataFrame(rows, "event_id long, at long").select("event_id", F.timestamp_seconds("at").alias("ts"))
+    st.write_in_order(df, str(tmp_path / "in"), steps=5, files=1)
+    events = lambda: st.ingest_once(st.stream_table(spark, str(tmp_path / "in"), 1), ["event_id"], "1 day")
+    out, check, stops = str(tmp_path / "out"), str(tmp_path / "check"), {1, 3}
+
+    def failing(path):
+        put = st.batch_sink(path)
+
+        def sink(batch, number):
+            put(batch, number)
+            if number in stops:
+                stops.discard(number)
+                raise RuntimeError("stopped after it was written, before it was committed")
+
+        return sink
+
+    for _ in range(2):
+        with pytest.raises(Exception, match="stopped"):
+            st.run_batches(events(), "append", st.ROCKSDB, out, check, failing)
+    got = st.run_batches(events(), "append", st.ROCKSDB, out, check, failing)
+    assert sorted(r.event_id for r in got.collect()) == list(range(400))
+    # all batches are committed: another run adds nothing
+    assert st.run_batches(events(), "append", st.ROCKSDB, out, check).count() == 400
