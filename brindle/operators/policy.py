@@ -48,19 +48,70 @@ def lint_policies(policies: DataFrame, detectors: list[str]) -> DataFrame:
     return p.withColumn("violation", code).where("violation is not null").select("policy_id", "violation").distinct()
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose source has an edge in and whose target has an edge out; others lie on no cycle."""
+    ins, outs = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+    return edges.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst", "low")
+
+
+def _shortened(edges: DataFrame, turn: int) -> DataFrame:
+    """Edges without some of the nodes that have one edge in and one out: two edges become one that remembers the smallest
+    node between its ends (low). Of neighbours one at most goes, by a coin of the turn, so that paths shrink by a share."""
+    one = lambda a, b: edges.groupBy(F.col(a).alias("node")).agg(F.count("*").alias("n"), F.first(b).alias(b)).where("n = 1").drop("n")
+    coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2)) == 0
+    chain = one("dst", "src").join(one("src", "dst"), "node").where("src <> node and dst <> node")
+    go = chain.where(coin("node") & ~coin("src")).select("node")
+    into = edges.join(go, edges["dst"] == go["node"]).select("node", F.col("src").alias("a"), F.col("low").alias("l"))
+    out = edges.join(go, edges["src"] == go["node"]).select("node", F.col("dst").alias("b"), F.col("low").alias("m"))
+    new = into.join(out, "node").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.least("l", "m", "node").alias("low"))
+    kept = edges.join(go, edges["dst"] == go["node"], "left_anti").join(go, edges["src"] == go["node"], "left_anti")
+    return kept.unionByName(new).groupBy("src", "dst").agg(F.min("low").alias("low"))
+
+
+def _spread(edges: DataFrame, labels: DataFrame, a: str, b: str) -> DataFrame:
+    """labels (node, label) after the smallest label has gone along all edges from a to b, until nothing changes."""
+    while True:
+        said = edges.select(F.col(a).alias("node"), F.col(b).alias("to")).join(labels, "node").select(F.col("to").alias("node"), F.col("label").alias("new"))
+        said = said.groupBy("node").agg(F.min("new").alias("new"))
+        after = labels.join(said, "node", "left").select("node", F.least("label", F.coalesce("new", "label")).alias("label"), (F.col("new") < F.col("label")).alias("moved"))
+        after = saved(after, "labels")
+        labels = after.select("node", "label")
+        if after.where("moved").isEmpty():
+            return labels
+
+
 def override_cycles(policies: DataFrame) -> DataFrame:
-    """(policy_id): the smallest policy on a cycle of overrides; no row if there is none.
+    """(policy_id): the smallest policy on a cycle of overrides; no row if there is none. Space is linear in the overrides.
 
-    Reachability by doubling: paths of up to 1, 2, 4, ... overrides, until no new pair comes. (A recursive query knows
-    UNION ALL only, which does not end on a cycle.) The pairs are those of a policy table, not of traffic.
+    Loops are noted and taken out. Nodes without an edge in or out are peeled off and nodes with one of each are passed over,
+    turn by turn, which uses up trees, chains and plain rings in about log(n) turns. In what is left colours spread forwards:
+    a node has the smallest node that reaches it, and those that reach that node back within its colour are a component; the
+    components are noted and taken out until no edge is left. Turns of the last part grow with the longest shortest path.
     """
-    reach = saved(policies.select(F.col("policy_id").alias("src"), F.explode("overrides").alias("dst")).distinct(), "reach")
-    known = -1
-    while (n := reach.count()) != known:
-        known = n
-        longer = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        reach = saved(reach.union(longer).distinct(), "reach")
-    return reach.where("src = dst").agg(F.min("src").alias("policy_id")).where("policy_id is not null")
+    edges = policies.select(F.col("policy_id").alias("src"), F.explode("overrides").alias("dst")).where("src is not null and dst is not null")
+    edges = saved(edges.distinct().withColumn("low", F.least("src", "dst")), "edges")
+    found, turn = edges.where("src = dst").agg(F.min("src").alias("policy_id")), 0
+    edges, size = edges.where("src <> dst"), -1
+    while (n := edges.count()) and n != size:
+        size, turn = n, turn + 1
+        for _ in range(3):  # a path without a node whose coins fit may stand still for a turn, hardly for three
+            edges = saved(_shortened(_trimmed(edges), turn), "edges")
+            turn += 1
+            found = found.union(edges.where("src = dst").agg(F.min(F.least("src", "low")).alias("policy_id")))
+            edges = edges.where("src <> dst")
+    while not edges.isEmpty():
+        nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        colour = saved(_spread(edges, nodes.withColumn("label", F.col("node")), "src", "dst"), "colour")
+        ends = [colour.select(F.col("node").alias(c), F.col("label").alias(f"{c}_colour")) for c in ("src", "dst")]
+        inside = saved(edges.join(ends[0], "src").join(ends[1], "dst").where("src_colour = dst_colour").select("src", "dst", "low", F.col("src_colour").alias("colour")), "inside")
+        # a node that reaches its colour's node takes its label on the way back; all others keep a larger one
+        back = _spread(inside, colour.withColumn("label", F.when(F.col("node") == F.col("label"), F.struct(F.lit(0).alias("k"), "label")).otherwise(F.struct(F.lit(1).alias("k"), F.col("node").alias("label")))), "dst", "src")
+        part = saved(back.where("label.k = 0").select("node"), "component")
+        both = inside.join(part.withColumnRenamed("node", "src"), "src", "left_semi").join(part.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        found = found.union(both.agg(F.min(F.least("src", "dst", "low")).alias("policy_id")))
+        edges = edges.join(part.withColumnRenamed("node", "src"), "src", "left_anti").join(part.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        edges = saved(_trimmed(edges.select("src", "dst", "low")), "edges")
+    return found.agg(F.min("policy_id").alias("policy_id")).where("policy_id is not null")
 
 
 def match_policies(contexts: DataFrame, policies: DataFrame) -> DataFrame:

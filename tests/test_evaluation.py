@@ -172,3 +172,41 @@ def test_many_values_meet_lines_by_their_gram(spark, monkeypatch, limit):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.id, r.value_id) for r in out.collect()) == [(k, 500 * k) for k in range(400)]
     assert "CartesianProduct" not in plan
+
+
+def smallest_on_a_cycle(edges):
+    reach = {a: {b for x, b in edges if x == a} for a, _ in edges}
+    while True:
+        more = {a: r | {c for b in r for c in reach.get(b, ())} for a, r in reach.items()}
+        if more == reach:
+            return min((a for a, r in reach.items() if a in r), default=None)
+        reach = more
+
+
+def cycle_of(spark, edges):
+    by = {}
+    for a, b in edges:
+        by.setdefault(a, []).append(b)
+    df = spark.createDataFrame([(a, b) for a, b in by.items()] + [("none", None), (None, ["x"])], "policy_id string, overrides array<string>")
+    got = policy.override_cycles(df).collect()
+    return got[0].policy_id if got else None
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cycles_of_random_overrides(spark, seed):
+    rng, n = random.Random(seed), 14
+    edges = sorted({(f"p{rng.randrange(n):02}", f"p{rng.randrange(n):02}") for _ in range((14, 24)[seed])})
+    assert cycle_of(spark, edges) == smallest_on_a_cycle(edges)
+
+
+def test_cycles_behind_trees_and_between_components(spark):
+    two = [("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "d"), ("a", "b"), ("f", "z")]
+    assert cycle_of(spark, two) == "b"
+    eights = [("m", "n"), ("n", "m"), ("n", "k"), ("k", "n"), ("k", "o"), ("o", "k"), ("a", "k"), ("o", "a2")]
+    assert cycle_of(spark, eights) == "k"
+
+
+def test_a_long_chain_of_overrides_takes_linear_space(spark):
+    chain = spark.range(2000).select(F.format_string("p%06d", "id").alias("policy_id"), F.array(F.format_string("p%06d", F.col("id") + 1)).alias("overrides"))
+    ring = chain.union(spark.createDataFrame([("p002000", ["p000777"])], "policy_id string, overrides array<string>"))
+    assert [r.policy_id for r in policy.override_cycles(ring).collect()] == ["p000777"]
