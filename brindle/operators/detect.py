@@ -143,6 +143,14 @@ def check_windowing(window: int, entity: int | None, version: str = "1") -> str
     return None
 
 
+def windowing_error(size: Column, window: Column, entity: Column, version: Column) -> Column:
+    """check_windowing for rows that bring their own capability, and WINDOWING_UNSUPPORTED for a text above its window where
+    no largest entity is known; null if the text can be inspected. A capability without window or version is invalid."""
+    fits = entity.isNull() | ((entity > 0) & (entity <= window) & (window - 2 * (entity - 1) >= 4))
+    valid = F.coalesce((F.length(F.trim(version)) > 0) & (window > 0) & fits, F.lit(False))
+    return F.when(~valid, "INVALID_CAPABILITY").when(entity.isNull() & (size > window), "WINDOWING_UNSUPPORTED")
+
+
 def chunk_documents(df: DataFrame, text: str = "text", window: int = MAX_BYTES, entity: int = 4096) -> DataFrame:
     """A row for each window of a text: window_start, core_start, core_end (bytes) and chunk, the window's text.
 

@@ -239,6 +239,16 @@ def w1_chunks_cover(spark, sf_dir):
     return ch.groupBy("doc_id").agg(F.sum(F.col("core_end") - F.col("core_start")).alias("covered"))
 
 
+@query("""WITH c AS (SELECT doc_id, strlen(text) AS size, 1024 * (doc_id % 6) AS w, CASE WHEN doc_id % 3 > 0 THEN doc_id % 1500 END AS e, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE '1.0' END AS v FROM documents)
+SELECT doc_id, CASE WHEN trim(v) = '' OR w <= 0 OR (e IS NOT NULL AND NOT (e > 0 AND e <= w AND w - 2 * (e - 1) >= 4)) THEN 'INVALID_CAPABILITY'
+ WHEN e IS NULL AND size > w THEN 'WINDOWING_UNSUPPORTED' END AS error_code FROM c""")
+def w6_capabilities(spark, sf_dir):
+    """Documents with windows, largest entities and versions of their own."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    entity, version = F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 1500), F.when(F.col("doc_id") % 11 == 0, " ").otherwise("1.0")
+    return docs.select("doc_id", d.windowing_error(F.octet_length("text"), 1024 * (F.col("doc_id") % 6), entity, version).alias("error_code"))
+
+
 @query(_CARDS + "SELECT doc_id, count(*) AS n FROM checked WHERE s % 10 = 0 AND len(list_distinct(string_split(v, ''))) > 1 GROUP BY doc_id")
 def w3_windowed_cards(spark, sf_dir):
     """Cards found in windows of 2 KiB are those found in whole documents."""
