@@ -38,13 +38,15 @@ PARTS = "array<struct<type:string,text:string,refusal:string>>"
 def parse_bodies(df: DataFrame, schema: str, body: str = "body") -> DataFrame:
     """df with doc (the known fields of a JSON body) and reject: AMBIGUOUS_CONTENT for duplicate keys,
     MALFORMED_MESSAGE for what is not a JSON object."""
-    v = F.try_parse_json(F.col(body))
+    # A body is parsed once: a filter on reject does not pass the generator, so the parsed value is not computed for it anew.
+    out = df.select("*", F.inline_outer(F.array(F.struct(F.try_parse_json(F.col(body)).alias("_v")))))
     loose = F.from_json(F.col(body), "map<string,string>")
-    reject = F.when(v.isNull(), F.when(loose.isNotNull(), "AMBIGUOUS_CONTENT").otherwise("MALFORMED_MESSAGE")).when(
-        ~F.schema_of_variant(v).startswith("OBJECT"), "MALFORMED_MESSAGE"
+    reject = F.when(F.col("_v").isNull(), F.when(loose.isNotNull(), "AMBIGUOUS_CONTENT").otherwise("MALFORMED_MESSAGE")).when(
+        ~F.ltrim(F.col(body), F.lit(" \t\r\n")).startswith("{"), "MALFORMED_MESSAGE"
     )
-    out = df.withColumn("_v", v).withColumn("reject", reject)
-    return out.withColumn("doc", F.when(F.col("reject").isNull(), F.try_variant_get("_v", "$", schema))).drop("_v")
+    out = out.withColumn("reject", reject)
+    doc = F.when(F.col("reject").isNull(), F.try_variant_get("_v", "$", schema))
+    return out.select(*df.columns, "reject", F.inline_outer(F.array(F.struct(doc.alias("doc")))))
 
 
 def scan_requests(df: DataFrame, body: str = "body") -> DataFrame:
@@ -102,7 +104,8 @@ def _message(m: Column, at: Column) -> Column:
 
 def _numbered(df: DataFrame, keys: list[str], fragments: Column) -> DataFrame:
     found = F.filter(fragments, lambda f: f["text"].isNotNull() & (f["text"] != ""))
-    out = df.select(*keys, F.posexplode(found).alias("ordinal", "f"))
+    # the outer form: before the inner one Spark puts a filter that computes all fragments once more
+    out = df.select(*keys, F.posexplode_outer(found).alias("ordinal", "f")).where("f is not null")
     return out.select(*keys, "ordinal", "f.kind", "f.field_class", "f.role", "f.locator", "f.text")
 
 
