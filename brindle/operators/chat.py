@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -335,35 +337,39 @@ def validate_streams(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.count("*").alias("n_events"), code.alias("error_code"))
 
 
-def _aligned(texts: pa.Array, tokens: pa.Array) -> pa.Array:
-    """Places (from 1, code points) of tokens sought one after another, null where one is not found. (Seeking from a place
-    on walks the text from its start in SQL, which is quadratic.)"""
+def _entities(texts: pa.Array, tokens: pa.Array, tags: pa.Array) -> pa.Array:
+    """Entities of each row. Tokens are sought one after another, and bytes counted from token to token, so a text is walked
+    once. (Seeking from a place on walks the text from its start in SQL, which is quadratic.)"""
     out = []
-    for text, words in zip(texts.to_pylist(), tokens.to_pylist(), strict=True):
-        at, found = 0, []
-        for w in words or ():
+    for text, words, marks in zip(texts.to_pylist(), tokens.to_pylist(), tags.to_pylist(), strict=True):
+        at = byte = 0
+        found, inside = [], False
+        for w, tag in () if words is None or marks is None else zip_longest(words, marks):
             k = -1 if w is None or text is None else text.find(w, at)
-            found.append(k + 1 if k >= 0 else None)
-            at = k + len(w) if k >= 0 else at
+            begin = end = None
+            if k >= 0:
+                begin = byte + len(text[at:k].encode())
+                byte = end = begin + len(w.encode())
+                at = k + len(w)
+            if tag is None:
+                continue
+            if tag == "O":
+                inside = False
+            elif inside and tag.startswith("I-"):
+                one = found[-1]
+                one["start_utf8"], one["end_utf8"] = (None, None) if end is None or one["end_utf8"] is None else (one["start_utf8"], end)
+            else:
+                found.append({"type": tag[2:101], "start_utf8": begin, "end_utf8": end})
+                inside = True
         out.append(found)
-    return pa.array(out, pa.list_(pa.int32()))
+    return pa.array(out, pa.list_(pa.struct([("type", pa.string()), ("start_utf8", pa.int64()), ("end_utf8", pa.int64())])))
 
 
 def bio_to_spans(df: DataFrame, keys: list[str], text: str = "text", tokens: str = "tokens", tags: str = "tags") -> DataFrame:
     """Entity spans of BIO-tagged tokens: (keys, type, start_utf8, end_utf8), start null for an entity whose token is
-    not found after the one before. Tokens are sought from left to right."""
-    t = F.col(text)
-    places = F.arrow_udf(_aligned, "array<int>")(t, F.col(tokens))
-    rows = df.withColumn("_p", places).select(*keys, text, F.posexplode(F.arrays_zip(F.col(tokens).alias("w"), F.col(tags).alias("tag"), F.col("_p").alias("p"))).alias("k", "x"))
-    begins = (~F.col("x.tag").startswith("I-")).cast("int")
-    rows = rows.withColumn("island", F.sum(begins).over(W.partitionBy(*keys).orderBy("k"))).where("x.tag <> 'O'")
-    spans = rows.groupBy(*keys, text, "island").agg(
-        F.substring(F.min_by("x.tag", "k"), F.lit(3), F.lit(99)).alias("type"), F.min("x.p").alias("a"),
-        F.max(F.col("x.p") + F.length("x.w")).alias("b"), F.count_if(F.col("x.p").isNull()).alias("lost"),
-    )
-    byte = lambda upto: F.octet_length(F.left(t, upto - 1)).cast("bigint")
-    ok = F.col("lost") == 0
-    return spans.select(*keys, "type", F.when(ok, byte(F.col("a"))).alias("start_utf8"), F.when(ok, byte(F.col("b"))).alias("end_utf8"))
+    not found after the one before. Tokens are sought from left to right. Rows stand alone: nothing is shuffled."""
+    found = F.arrow_udf(_entities, "array<struct<type:string,start_utf8:bigint,end_utf8:bigint>>")(F.col(text), F.col(tokens), F.col(tags))
+    return df.select(*keys, F.inline(found))
 
 
 def utf8_bounds(df: DataFrame, text: str, start: str, end: str, value: str | None = None) -> DataFrame:

@@ -1,6 +1,12 @@
 """Work of a query that must not be done twice or grow faster than its input."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from brindle.operators import chat as ch
+from brindle.streaming import streams as st
+from test_streams import START, progress_of
 
 
 def test_bodies_are_parsed_once(spark):
@@ -9,3 +15,43 @@ def test_bodies_are_parsed_once(spark):
     assert {r.k: r.reject for r in scanned.collect()} == {1: None, 2: "MALFORMED_MESSAGE", 3: "AMBIGUOUS_CONTENT", 4: "MALFORMED_MESSAGE", 5: "MALFORMED_MESSAGE"}
     plan = ch.fragments_from_requests(scanned, ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1
+
+
+def test_open_spans_are_state_of_groups(spark, tmp_path):
+    rows = [(i, START, False) for i in range(200)]
+    spark.createDataFrame(rows, "span_id long, at long, ended boolean").select("span_id", F.timestamp_seconds("at").alias("ts"), "ended").repartition(1).write.parquet(str(tmp_path / "in"))
+    s = st.stream_table(spark, str(tmp_path / "in"), 1)
+    out = st.deadlines(s.where("not ended").select("span_id", "ts"), s.where("ended").select("span_id", "ts"), "20 seconds", "60 seconds", groups=4)
+    got, progress = progress_of(out, tmp_path)
+    assert not got and 0 < progress[-1]["stateOperators"][0]["numRowsTotal"] <= 3 * 4
+
+
+def test_deadlines_of_mixed_spans_equal_a_fold(spark, tmp_path):
+    rng = random.Random(5)
+    rows = []
+    for k in range(3):
+        for i in range(300):
+            t = START + k * 100 + rng.randrange(40)
+            rows += [(k, k * 300 + i, t, False)] * rng.choice((1, 2)) + ([(k, k * 300 + i, t + rng.choice((-5, 3, 19, 20, 21, 35)), True)] if rng.random() < 0.7 else [])
+    rows.append((3, -1, START + 9000, False))
+    rows.append((3, -1, START + 9000, True))
+    for k in range(4):
+        part = [(s, t, e) for n, s, t, e in rows if n == k]
+        spark.createDataFrame(part, "span_id long, at long, ended boolean").select("span_id", F.timestamp_seconds("at").alias("ts"), "ended").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = st.stream_table(spark, str(tmp_path / "in"), 1)
+    got, _ = progress_of(st.deadlines(s.where("not ended").select("span_id", "ts"), s.where("ended").select("span_id", "ts"), "20 seconds", "200 seconds", groups=7), tmp_path)
+    started = {s: t for _, s, t, e in rows if not e}
+    in_time = {s for _, s, t, e in rows if e and t <= started[s] + 20}
+    assert sorted(r[0] for r in got) == sorted(set(started) - in_time)
+
+
+def test_bio_spans_do_not_move_texts(spark):
+    rows = [
+        (1, "ab  é cd ab", ["ab", "é", "cd", "ab"], ["B-X", "I-X", "O", "I-Y"]),
+        (2, "ab cd", ["cd", "ab"], ["B-X", "I-X"]), (3, None, ["a"], ["B-X"]), (4, "a b", ["a", "b"], ["I-Z", None]), (5, "a", None, ["B-X"]), (6, "a", ["a"], ["O", "B-X"]),
+    ]
+    df = spark.createDataFrame(rows, "k int, text string, tokens array<string>, tags array<string>")
+    out = ch.bio_to_spans(df, ["k"])
+    want = [(1, "X", 0, 6), (1, "Y", 10, 12), (2, "X", None, None), (3, "X", None, None), (4, "Z", 0, 1), (6, "X", None, None)]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
