@@ -55,3 +55,16 @@ def test_bio_spans_do_not_move_texts(spark):
     want = [(1, "X", 0, 6), (1, "Y", 10, 12), (2, "X", None, None), (3, "X", None, None), (4, "Z", 0, 1), (6, "X", None, None)]
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_open_streams_are_state_of_groups_and_time_out_alone(spark, tmp_path):
+    # batch 0: 60 streams begin; batch 1: every third ends, every third fails, others are silent; batch 2 moves the watermark
+    first = [(f"s{i}", 1, "b", False, False, START) for i in range(60)]
+    second = [(f"s{i}", 0, "a", i % 3 == 0, i % 3 == 1, START + 5) for i in range(60) if i % 3 < 2]
+    for rows in (first, second, [("late", 0, "x", False, False, START + 1000)], [("late", 1, "y", True, False, START + 1001)]):
+        df = spark.createDataFrame(rows, "stream_id string, seq long, delta string, done boolean, failed boolean, at long")
+        df.withColumn("ts", F.timestamp_seconds("at")).drop("at").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got, progress = progress_of(st.reassemble_live(st.stream_table(spark, str(tmp_path / "in"), 1), "1 minute", groups=4), tmp_path)
+    want = [(f"s{i}", "COMPLETE", "ab", 2) if i % 3 == 0 else (f"s{i}", "FAILED", "", 2 if i % 3 == 1 else 1) for i in range(60)]
+    assert sorted(r[:4] for r in got) == sorted([*want, ("late", "COMPLETE", "xy", 2)])
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 4
