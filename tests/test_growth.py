@@ -68,3 +68,15 @@ def test_open_streams_are_state_of_groups_and_time_out_alone(spark, tmp_path):
     want = [(f"s{i}", "COMPLETE", "ab", 2) if i % 3 == 0 else (f"s{i}", "FAILED", "", 2 if i % 3 == 1 else 1) for i in range(60)]
     assert sorted(r[:4] for r in got) == sorted([*want, ("late", "COMPLETE", "xy", 2)])
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 4
+
+
+def test_cached_subjects_are_state_of_groups(spark, tmp_path):
+    big = (1 << 60) + 1
+    for k in range(2):
+        rows = [(s, k * 100 + n, START + k * 200 + n, True) for n, s in enumerate([*range(40), big, None])]
+        df = spark.createDataFrame(rows, "subject long, event_id long, at long, ok boolean")
+        df.select("subject", "event_id", F.timestamp_seconds("at").alias("ts"), "ok").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got, progress = progress_of(st.cached_identities(st.stream_table(spark, str(tmp_path / "in"), 1), 300, groups=4), tmp_path)
+    want = [(s, k * 100 + n, "HIT" if k else "MISS") for k in range(2) for n, s in enumerate([*range(40), big, None])]
+    assert sorted((r[:3] for r in got), key=repr) == sorted(want, key=repr)
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 4
