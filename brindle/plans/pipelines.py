@@ -31,6 +31,10 @@ def s1_canonical_corpus(spark, sf_dir):
     return co.read_canonical_corpus(spark, path).select("case_id", "reason")
 
 
+#: A CSV file with line breaks in its fields cannot be split: a task reads it whole, so files hold so many records.
+BIO_RECORDS = 2_000
+
+
 @query("SELECT doc_id::VARCHAR AS case_id, CASE WHEN doc_id % 4 = 0 THEN 'LENGTH_MISMATCH' WHEN doc_id % 4 = 1 THEN 'INVALID_TRANSITION' END AS reason FROM documents")
 def s2_bio_corpus(spark, sf_dir):
     """Words of documents as tokens; every fourth has a tag too many, the next one starts inside an entity."""
@@ -40,7 +44,7 @@ def s2_bio_corpus(spark, sf_dir):
     tags = F.transform(tokens, lambda t, i: F.when(k == 1, "I-X").when(i == 0, "B-X").otherwise("I-X"))
     tags = F.when(k == 0, F.array_append(tags, F.lit("O"))).otherwise(tags)
     path = shared_path(spark, "bio")
-    d.select(F.col("doc_id").alias("case_id"), "text", F.to_json(tokens).alias("tokens"), F.to_json(tags).alias("tags")).write.option("header", True).option("escape", '"').csv(path)
+    d.select(F.col("doc_id").alias("case_id"), "text", F.to_json(tokens).alias("tokens"), F.to_json(tags).alias("tags")).write.option("maxRecordsPerFile", BIO_RECORDS).option("header", True).option("escape", '"').csv(path)
     return co.read_bio_corpus(spark, path).select("case_id", "reason")
 
 

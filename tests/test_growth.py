@@ -1,11 +1,15 @@
 """Work of a query that must not be done twice or grow faster than its input."""
 
 import random
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import chat as ch
+from brindle.plans import pipelines
 from brindle.streaming import streams as st
+from test_queries import SF
 from test_streams import START, progress_of
 
 
@@ -80,3 +84,9 @@ def test_cached_subjects_are_state_of_groups(spark, tmp_path):
     want = [(s, k * 100 + n, "HIT" if k else "MISS") for k in range(2) for n, s in enumerate([*range(40), big, None])]
     assert sorted((r[:3] for r in got), key=repr) == sorted(want, key=repr)
     assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 4
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_bio_files_hold_so_many_records(spark, monkeypatch):
+    monkeypatch.setattr(pipelines, "BIO_RECORDS", 50)
+    assert len(pipelines.s2_bio_corpus(spark, SF).inputFiles()) >= 4
