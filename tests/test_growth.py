@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import chat as ch
+from brindle.operators import masking as ma
 from brindle.plans import pipelines
 from brindle.streaming import streams as st
 from test_queries import SF
@@ -90,3 +91,12 @@ def test_cached_subjects_are_state_of_groups(spark, tmp_path):
 def test_bio_files_hold_so_many_records(spark, monkeypatch):
     monkeypatch.setattr(pipelines, "BIO_RECORDS", 50)
     assert len(pipelines.s2_bio_corpus(spark, SF).inputFiles()) >= 4
+
+
+def test_equal_spans_are_one_island(spark):
+    rows = [(1, 3, 9, "R"), (1, 3, 9, "R"), (1, 9, 12, "A"), (1, 15, 22, "R"), (1, 22, 27, "N"), (1, 40, 42, "N"), (1, 40, 42, "N")]
+    df = spark.createDataFrame(rows, "k long, start long, end long, marker string")
+    want = [(3, 12, "[PII_MASKED]"), (15, 27, "[PII_MASKED]"), (40, 42, "N")]
+    assert sorted(map(tuple, ma.merge_span_rows(df, ["k"]).select("start", "end", "marker").collect())) == want
+    one = df.agg(F.collect_list(F.struct("start", "end", "marker")).alias("s")).select(ma.merge_spans(F.col("s")).alias("m")).first().m
+    assert [tuple(x) for x in one] == want
