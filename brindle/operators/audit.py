@@ -39,13 +39,12 @@ def _grams(text: str, n: int):
     return F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
-def gram_index(forbidden: DataFrame, n: int = 6) -> DataFrame:
-    """(gram, value_id, value) of values of n characters or more: of each value the gram that the fewest values hold, so that
+def gram_index(values: DataFrame, n: int = 6) -> DataFrame:
+    """(gram, value) of different values of n characters or more: of each value the gram that the fewest values hold, so that
     what values have in common, such as a prefix, does not bring them together. The first one of equal grams."""
-    each = forbidden.where(F.length("value") >= n).select("value_id", "value", F.posexplode(_grams("value", n)).alias("at", "gram"))
+    each = values.where(F.length("value") >= n).select("value", F.posexplode(_grams("value", n)).alias("at", "gram"))
     held = each.select("gram", "value").distinct().groupBy("gram").agg(F.count("*").alias("held"))
-    rarest = each.join(held, "gram").groupBy("value_id", "value").agg(F.min_by("gram", F.struct("held", "at")).alias("gram"))
-    return forbidden.join(rarest, ["value_id", "value"]).select("gram", "value_id", "value")
+    return each.join(held, "gram").groupBy("value").agg(F.min_by("gram", F.struct("held", "at")).alias("gram")).select("gram", "value")
 
 
 #: Up to so many bytes of values their index is broadcast.
@@ -55,24 +54,29 @@ INDEX_BYTES = 4 << 20
 def scan_leaks(lines: DataFrame, forbidden: DataFrame, text: str = "line", limit: int = 10_000, n: int = 6) -> DataFrame:
     """Rows of lines that contain a forbidden value (value_id, value), with the value's id (never the value).
 
-    Values of n characters or more stand in an index under their rarest gram, which meets the different grams of a line in an
-    equi-join without its text; what meets is checked by contains. Columns of lines named value or value_id are not allowed. Shorter values, the empty one too, have no gram: they meet each line in
-    arrays of about `limit`, dealt by a hash. Whatever the number of values, a hit is contains(line, value), once for each row
-    of forbidden; null lines and values hit nothing.
+    Lines meet different values only: those of n characters or more stand in an index under their rarest gram, which meets the
+    different grams of a line in an equi-join without its text; what meets is checked by contains. Shorter values, the empty one
+    too, have no gram: they meet each line in arrays of about `limit`, dealt by a hash. Only a hit meets the ids of its value, in
+    arrays of about `limit` too. Columns of lines named value or value_id are not allowed. Whatever the number of values, a hit
+    is contains(line, value), once for each row of forbidden; null lines and values hit nothing.
     """
-    n_bytes = forbidden.where(F.length("value") >= n).agg(F.sum(F.octet_length("value"))).first()[0] or 0
-    index = gram_index(forbidden, n)
-    index = F.broadcast(index) if n_bytes <= INDEX_BYTES else index.hint("merge")
+    forbidden = forbidden.where("value is not null")
+    values = saved(forbidden.groupBy("value").agg(F.count("*").alias("ids")), "values")
+    size = values.agg(F.sum(F.when(F.length("value") >= n, F.octet_length("value"))), F.count_if(F.length("value") < n), F.max("ids")).first()
+    index = gram_index(values, n)
+    index = F.broadcast(index) if (size[0] or 0) <= INDEX_BYTES else index.hint("merge")
     rows = saved(lines.withColumn("_line", F.monotonically_increasing_id()), "lines")
-    met = rows.select("_line", F.explode(F.array_distinct(_grams(text, n))).alias("gram")).join(index, "gram").select("_line", "value_id", "value")
-    long = rows.join(met, "_line").where(F.contains(F.col(text), F.col("value"))).drop("_line", "value")
-    short = forbidden.where(F.length("value") < n)
-    blocks = max(1, -(-short.count() // limit))
-    dealt = short.groupBy(F.pmod(F.xxhash64("value_id", "value"), F.lit(blocks)).alias("_block"))
-    values = dealt.agg(F.collect_list(F.struct("value_id", "value")).alias("_values")).select("_values")
-    hit = F.filter("_values", lambda v: F.contains(F.col(text), v["value"]))
-    met = lines.crossJoin(F.broadcast(values) if blocks == 1 else values)
-    return long.unionByName(met.withColumn("_hit", F.explode(hit)).select(*lines.columns, F.col("_hit.value_id").alias("value_id")))
+    met = rows.select("_line", F.explode(F.array_distinct(_grams(text, n))).alias("gram")).join(index, "gram").select("_line", "value")
+    long = rows.join(met, "_line").where(F.contains(F.col(text), F.col("value"))).drop("_line")
+    blocks = max(1, -(-size[1] // limit))
+    dealt = values.where(F.length("value") < n).groupBy(F.pmod(F.xxhash64("value"), F.lit(blocks)).alias("_block"))
+    short = dealt.agg(F.collect_list("value").alias("_values")).select("_values")
+    met = lines.crossJoin(F.broadcast(short) if blocks == 1 else short)
+    hits = long.unionByName(met.select(*lines.columns, F.explode(F.filter("_values", lambda v: F.contains(F.col(text), v))).alias("value")))
+    parts = max(1, -(-(size[2] or 0) // limit))
+    ids = forbidden.groupBy("value", F.pmod(F.xxhash64("value_id"), F.lit(parts)).alias("_part")).agg(F.collect_list(F.struct("value_id")).alias("_ids"))
+    hits = hits.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    return hits.join(ids, ["value", "_part"]).select(*lines.columns, F.explode("_ids.value_id").alias("value_id"))
 
 
 def typed_outcomes(expected: DataFrame, events: DataFrame, key: str, allowed: list[str]) -> DataFrame:

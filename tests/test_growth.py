@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.operators import audit
 from brindle.operators import chat as ch
 from brindle.operators import masking as ma
 from brindle.plans import pipelines
@@ -100,3 +101,15 @@ def test_equal_spans_are_one_island(spark):
     assert sorted(map(tuple, ma.merge_span_rows(df, ["k"]).select("start", "end", "marker").collect())) == want
     one = df.agg(F.collect_list(F.struct("start", "end", "marker")).alias("s")).select(ma.merge_spans(F.col("s")).alias("m")).first().m
     assert [tuple(x) for x in one] == want
+
+
+def test_lines_meet_equal_values_once(spark):
+    # all lines hold the gram of a value that 3,000 ids have; one line holds the value, two a short value of 3,000 ids
+    lines = spark.createDataFrame([(k, f"a hot ring {k}" if k else "a hot rings hotel") for k in range(40)], "k int, line string")
+    lines = lines.withColumn("line", F.when(F.col("k") % 20 == 7, F.concat("line", F.lit(" xyz"))).otherwise(F.col("line")))
+    values = spark.range(9000).select(F.col("id").alias("value_id"), F.element_at(F.array(*map(F.lit, ("hot rings", "xyz", "nothing at all"))), (F.col("id") % 3 + 1).cast("int")).alias("value"))
+    values = values.union(spark.createDataFrame([(None, "xyz"), (-1, None)], "value_id long, value string"))
+    out = audit.scan_leaks(lines, values, limit=700)
+    got = sorted(((r.k, r.value_id) for r in out.collect()), key=repr)
+    assert got == sorted([(0, v) for v in range(0, 9000, 3)] + [(k, v) for k in (7, 27) for v in [*range(1, 9000, 3), None]], key=repr)
+    assert audit.gram_index(values.select("value").distinct()).count() == 2
