@@ -251,14 +251,25 @@ def st6_metrics(spark, sf_dir):
     return last.select(F.date_format("window_start", "yyyy-MM-dd").alias("d"), "status_class", "n")
 
 
+#: Texts that a file of the masking stream holds.
+MASK_TEXTS = 50_000
+
+
+def mask_files(spark, n: int) -> tuple[int, int]:
+    """(files, files of a batch) for n texts: four files at least, two batches at least, and work for all cores in each."""
+    files = max(4, -(-n // MASK_TEXTS))
+    return files, max(2, min(-(-files // 2), 4 * spark.sparkContext.defaultParallelism))
+
+
 @query("SELECT o_orderkey AS n, 'card [CARD_MASKED] used' AS masked, CASE WHEN o_orderkey % 2 = 0 THEN 'BLOCK' ELSE 'MASK' END AS decision FROM orders")
 def st7_mask_stream(spark, sf_dir):
     ids = load(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("n"))
     p = co.generate_planted(ids, "PAYMENT_CARD").withColumn("source", (F.col("n") % 2).cast("string"))
     path = shared_path(spark, "texts")
-    p.repartition(4).write.parquet(path)
+    files, at_once = mask_files(spark, ids.count())
+    p.repartition(files).write.parquet(path)
     pol = spark.createDataFrame([("0", "BLOCK"), ("1", "ALLOW")], "source string, on_detected string")
-    return st.run_available(st.mask_stream(st.stream_table(spark, path, 2), ["PAYMENT_CARD"], pol)).select("n", "masked", "decision")
+    return st.run_available(st.mask_stream(st.stream_table(spark, path, at_once), ["PAYMENT_CARD"], pol)).select("n", "masked", "decision")
 
 
 @query("SELECT count(*) AS n, sum(event_id)::BIGINT AS ids FROM events")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from brindle.operators import audit
 from brindle.operators import chat as ch
+from brindle.functions import checksums, spans, tables
 from brindle.operators import masking as ma
-from brindle.plans import pipelines
+from brindle.operators import quality as qu
+from brindle.plans import evaluation, pipelines, traffic
 from brindle.streaming import streams as st
 from test_queries import SF
 from test_streams import START, progress_of
@@ -113,3 +115,10 @@ def test_lines_meet_equal_values_once(spark):
     got = sorted(((r.k, r.value_id) for r in out.collect()), key=repr)
     assert got == sorted([(0, v) for v in range(0, 9000, 3)] + [(k, v) for k in (7, 27) for v in [*range(1, 9000, 3), None]], key=repr)
     assert audit.gram_index(values.select("value").distinct()).count() == 2
+
+
+def test_masking_stream_has_work_for_all_cores(spark):
+    n = spark.sparkContext.defaultParallelism
+    assert pipelines.mask_files(spark, 150) == (4, 2)
+    assert pipelines.mask_files(spark, 9_000_000) == (180, min(90, 4 * n))
+    assert n <= pipelines.mask_files(spark, 54_000_000)[1] <= 4 * n
