@@ -96,9 +96,7 @@ def iban_length(country: Column) -> Column:
 def mod97(compact: Column) -> Column:
     """Remainder of an upper-case IBAN, its first four characters moved to the end, letters as 10 to 35."""
     turned = F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, 1, 4))
-    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    digit_ = lambda c: F.ascii(c) < 58
     return F.aggregate(
-        F.split(turned, ""),
-        F.lit(0),
-        lambda a, c: (F.when(c.rlike("[0-9]"), a * 10).otherwise(a * 100) + value(c)) % 97,
+        F.split(turned, ""), F.lit(0), lambda a, c: F.when(digit_(c), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97
     )

@@ -57,7 +57,8 @@ def matches(text: Column, pattern: str, guard: str | None = None) -> Column:
     """array<struct<m, at, start_utf8, end_utf8>> of a pattern's matches: at is the 0-based code point, the others bytes.
 
     The texts between matches and the matches are laid end to end in one scan. Texts without a
-    match are searched once and skip it; with a guard, a cheap pattern that every match contains, most texts are
+    match are searched once and skip it, and so do those of one match, whose place is the size of what stands before it: split
+    would compile the pattern again for each text, which regexp_replace does not. With a guard, a cheap pattern that every match contains, most texts are
     not searched at all.
     """
     kind = "array<struct<m:string,at:int,start_utf8:bigint,end_utf8:bigint>>"
@@ -71,9 +72,13 @@ def matches(text: Column, pattern: str, guard: str | None = None) -> Column:
 
     start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("byte"))
 
+    def single(found: Column) -> Column:
+        before = F.regexp_replace(text, F.lit(rf"(?:{pattern})[\s\S]*"), F.lit(""))
+        return let(before, lambda g: step(start, F.struct(F.element_at(found, 1).alias("m"), g.alias("g")))[1])
+
     def laid(found: Column) -> Column:
         parts = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("g"))
-        return F.when(F.size(found) > 0, scan(parts, start, kind, step)).otherwise(none_of(kind))
+        return F.when(F.size(found) == 1, single(found)).when(F.size(found) > 1, scan(parts, start, kind, step)).otherwise(none_of(kind))
 
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), laid)
     return F.when(text.rlike(guard), found).otherwise(none_of(kind)) if guard else found

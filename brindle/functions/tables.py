@@ -25,3 +25,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task should sort or count at once.
+TASK_ROWS = 1 << 19
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by its keys to as many tasks as `rows` need, at least Spark's own number, so that what a task holds does not grow."""
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(own, -(-rows // TASK_ROWS)), *keys)

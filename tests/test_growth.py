@@ -122,3 +122,21 @@ def test_masking_stream_has_work_for_all_cores(spark):
     assert pipelines.mask_files(spark, 150) == (4, 2)
     assert pipelines.mask_files(spark, 9_000_000) == (180, min(90, 4 * n))
     assert n <= pipelines.mask_files(spark, 54_000_000)[1] <= 4 * n
+
+
+def test_texts_of_one_match_are_not_split(spark):
+    # split compiles its pattern for each text; the place of a single match comes from what stands before it
+    rows = [(1, "é\n12 x"), (2, "12"), (3, "no"), (4, "é1 b22\nü333"), (5, "\n\nab 7\n\n"), (6, "")]
+    df = spark.createDataFrame(rows, "k int, t string").select("k", spans.matches(F.col("t"), "[0-9]+").alias("m"))
+    got = {r.k: [tuple(x) for x in r.m] for r in df.collect()}
+    want = {1: [("12", 2, 3, 5)], 2: [("12", 0, 0, 2)], 3: [], 4: [("1", 1, 2, 3), ("22", 4, 5, 7), ("333", 8, 10, 13)], 5: [("7", 5, 5, 6)], 6: []}
+    assert got == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan
+
+
+def test_mod97_of_letters_and_digits(spark):
+    values = ["GB82WEST12345698765432", "DE89370400440532013000", "NO9386011117947", "AZ21NABZ00000000137010001944"]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select(checksums.mod97(F.col("v")).alias("r"), checksums.mod97(F.concat(F.lit("XK05"), F.substring("v", 5, 40))).alias("o"))
+    number = lambda v: int("".join(str(int(c, 36)) for c in v[4:] + v[:4]))
+    assert [tuple(r) for r in df.collect()] == [(1, number("XK05" + v[4:]) % 97) for v in values]
