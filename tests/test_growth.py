@@ -117,6 +117,12 @@ def test_lines_meet_equal_values_once(spark):
     assert audit.gram_index(values.select("value").distinct()).count() == 2
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_gates_scan_their_scores_once(spark):
+    plan = evaluation.e21_gates(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") <= 2
+
+
 def test_masking_stream_has_work_for_all_cores(spark):
     n = spark.sparkContext.defaultParallelism
     assert pipelines.mask_files(spark, 150) == (4, 2)
