@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.recognizers import TYPES
 from brindle.functions.spans import merge_spans, scan
+from brindle.functions.tables import dealt
 from brindle.operators.detect import on_boundary
 
 GENERIC = "[PII_MASKED]"
@@ -101,14 +102,14 @@ def mask_deltas(deltas: DataFrame, islands: DataFrame, keys: list[str], seq: str
 def check_patches(patches: DataFrame, keys: list[str]) -> DataFrame:
     """A row a document with error_code of its patch plan (ordinal, locator, start, end): DUPLICATE_ORDINAL,
     DUPLICATE_LOCATOR, OVERLAP, or null."""
-    w = W.partitionBy(*keys).orderBy("start", "end")
-    marked = patches.withColumn("_bad", F.coalesce(F.lag("end").over(w) > F.col("start"), F.lit(False)))
-    n = F.count("*")
-    code = (
-        F.when(F.count_distinct("ordinal") < n, "DUPLICATE_ORDINAL")
-        .when(F.count_distinct("locator") < n, "DUPLICATE_LOCATOR")
-        .when(F.bool_or("_bad"), "OVERLAP")
-    )
+    # One window marks repeats as well: counting different ordinals and locators would move each row twice more.
+    own = W.partitionBy(*keys)
+    again = lambda c: F.coalesce(F.row_number().over(own.orderBy(c)) - F.rank().over(own.orderBy(c)) > 0, F.lit(False)) | F.col(c).isNull()
+    marked = dealt(patches.select(*keys, "ordinal", "locator", "start", "end"), patches.count(), *keys).select(
+        *keys, again("ordinal").alias("_ordinal"), again("locator").alias("_locator"),
+        F.coalesce(F.lag("end").over(own.orderBy("start", "end")) > F.col("start"), F.lit(False)).alias("_bad"),
+    )
+    code = F.when(F.bool_or("_ordinal"), "DUPLICATE_ORDINAL").when(F.bool_or("_locator"), "DUPLICATE_LOCATOR").when(F.bool_or("_bad"), "OVERLAP")
     return marked.groupBy(*keys).agg(code.alias("error_code"))
 
 

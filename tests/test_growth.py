@@ -117,6 +117,24 @@ def test_lines_meet_equal_values_once(spark):
     assert audit.gram_index(values.select("value").distinct()).count() == 2
 
 
+def _exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan
+
+
+def test_patches_are_dealt_to_bounded_tasks_once(spark, monkeypatch):
+    rows = [(k, o, o, 10 * o, 10 * o + 3) for k in range(60) for o in range(3)]
+    rows += [(100, 1, 1, 0, 3), (100, 1, 2, 5, 6), (101, 1, 7, 0, 3), (101, 2, 7, 5, 6), (102, 1, 1, 0, 6), (102, 2, 2, 5, 6), (103, None, 1, 0, 1), (104, 1, None, 0, 1), (None, 1, 1, 0, 6)]
+    df = spark.createDataFrame(rows, "k int, ordinal int, locator int, start int, end int")
+    monkeypatch.setattr(tables, "TASK_ROWS", 20)
+    out = ma.check_patches(df, ["k"])
+    want = {k: None for k in range(60)} | {100: "DUPLICATE_ORDINAL", 101: "DUPLICATE_LOCATOR", 102: "OVERLAP", 103: "DUPLICATE_ORDINAL", 104: "DUPLICATE_LOCATOR", None: None}
+    plan = _exchanges(out)
+    assert {r.k: r.error_code for r in out.collect()} == want
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(k#" in plan and ", 10)" in plan and "Expand" not in plan
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def test_gates_scan_their_scores_once(spark):
     plan = evaluation.e21_gates(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
