@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brindle.functions.tables import dealt
 from brindle.operators import audit as au
 from brindle.operators import chat as ch
 from brindle.operators import context as cx
@@ -206,6 +207,7 @@ SELECT id, 'DETECTED' AS audit_outcome, sum(n)::BIGINT AS n_findings, string_agg
 def a3_a5_audit_counts(spark, sf_dir):
     """Counts by type rendered for each order, its lines being findings."""
     li = load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
+    li = dealt(li, li.count(), "l_orderkey")  # all that follows is by order and stays in its task
     frag = li.groupBy(F.col("l_orderkey").alias("id"), "l_linenumber").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("type"))).alias("findings"))
     frag = frag.withColumn("failed", F.lit(False)).withColumn("policies", F.array(F.lit("p@1")))
     msg = li.select(F.col("l_orderkey").alias("id")).distinct().withColumn("has_gap", F.lit(False))

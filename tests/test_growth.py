@@ -135,6 +135,13 @@ def test_patches_are_dealt_to_bounded_tasks_once(spark, monkeypatch):
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(k#" in plan and ", 10)" in plan and "Expand" not in plan
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_audited_orders_are_dealt_to_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 1000)
+    plan = _exchanges(traffic.a3_a5_audit_counts(spark, SF))
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def test_gates_scan_their_scores_once(spark):
     plan = evaluation.e21_gates(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
