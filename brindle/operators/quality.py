@@ -199,9 +199,17 @@ SUBSETS = (("stage",), ("stage", "family"), ("stage", "config"), ("stage", "conf
 def subsets(rows: DataFrame) -> DataFrame:
     """Sums of tp, n_pred and n_gold and the number of inputs over the overlapping groups SUBSETS, with ratios (null where
     nothing is to divide)."""
-    out = rows.groupingSets([[F.col(c) for c in s] for s in SUBSETS], "stage", "family", "config").agg(
-        F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"), F.sum("n_gold").alias("n_gold"), F.count_distinct("input_id").alias("n_inputs")
-    )
+    keys = ("stage", "family", "config")
+    of = lambda row, k: F.struct(F.lit(k).alias("_set"), *[(row(c) if c in SUBSETS[k] else F.lit(None)).alias(c) for c in keys])
+    each = lambda row: F.array(*[of(row, k) for k in range(len(SUBSETS))])
+    sums = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("tp", "n_pred", "n_gold")])
+    sums = sums.select("tp", "n_pred", "n_gold", F.explode(each(F.col)).alias("g")).groupBy("g").agg(*[F.sum(c).alias(c) for c in ("tp", "n_pred", "n_gold")])
+    # An input is moved once, with its different rows, and counts once in each group that they are in.
+    inputs = rows.where("input_id is not null").groupBy("input_id").agg(F.collect_set(F.struct(*keys)).alias("_rows"))
+    groups = F.array_distinct(F.flatten(F.transform("_rows", lambda x: each(lambda c: x[c]))))
+    inputs = inputs.select(F.explode(groups).alias("g")).groupBy("g").agg(F.count("*").alias("n_inputs"))
+    out = sums.alias("s").join(inputs.alias("i"), F.col("s.g").eqNullSafe(F.col("i.g")), "left").select("s.g.*", "tp", "n_pred", "n_gold", F.coalesce("n_inputs", F.lit(0)).alias("n_inputs"))
+    out = out.drop("_set")
     return out.select("*", *ratios(F.col("tp"), F.col("n_pred"), F.col("n_gold"), None))
 
 

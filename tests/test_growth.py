@@ -142,6 +142,16 @@ def test_audited_orders_are_dealt_to_bounded_tasks(spark, monkeypatch):
     assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0
 
 
+def test_inputs_of_subsets_are_moved_once(spark):
+    rows = [("s", "f", 1, 1), ("s", "f", 2, 1), ("s", "g", 1, 1), ("s", None, 1, 2), (None, "f", 1, None), ("t", "f", 1, None), ("t", "f", 1, 3), ("t", "f", 1, 3)]
+    df = spark.createDataFrame([(*r, 1, 2, 0) for r in rows], "stage string, family string, config int, input_id int, tp int, n_pred int, n_gold int")
+    out = qu.subsets(df)
+    got = sorted(((r.stage, r.family, r.config, r.tp, r.n_inputs, r.precision, r.recall) for r in out.collect()), key=repr)
+    want = df.groupingSets([[F.col(c) for c in s] for s in qu.SUBSETS], "stage", "family", "config").agg(F.sum("tp").alias("tp"), F.count_distinct("input_id").alias("n")).collect()
+    assert got == sorted(((r.stage, r.family, r.config, r.tp, r.n, 0.5, None) for r in want), key=repr)
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def test_gates_scan_their_scores_once(spark):
     plan = evaluation.e21_gates(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
