@@ -119,6 +119,12 @@ class LineRuns:
         self.levels = []
 
 
+def buckets_of(spark, lines: int) -> int:
+    """Buckets of the runs of so many line hashes: at least as many as Spark shuffles to, as a run is written by as many tasks,
+    each of which would leave a small file in every bucket."""
+    return max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines // BUCKET_LINES))
+
+
 #: Documents that a batch takes, and line hashes that a bucket of a run holds, before there are more of them.
 BATCH_DOCS, BUCKET_LINES = 1 << 30, 1 << 24
 
@@ -133,7 +139,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = None
     gives an empty table. Keys are compared by 128-bit hashes.
 
     Batches are ranges of doc_id by quantiles, so the oldest holder of a key is always in the oldest run. There are four,
-    more where documents pass BATCH_DOCS each; runs have 32 buckets, more where line hashes pass BUCKET_LINES each.
+    more where documents pass BATCH_DOCS each; runs have 32 buckets, or as many as Spark shuffles to, more where line hashes pass
+    BUCKET_LINES each.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -149,7 +156,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = None
     path = scratch(spark, "lines")
     lines.write.partitionBy("batch").parquet(path)
     keyed = spark.read.schema("doc_id long, hi long, lo long, batch int").parquet(path)
-    runs = LineRuns(spark, buckets or max(32, -(-keyed.count() // BUCKET_LINES)), fanout)
+    runs = LineRuns(spark, buckets or buckets_of(spark, keyed.count()), fanout)
     for b in range(len(cuts) + 1):
         runs.absorb(keyed.where(F.col("batch") == b))
     # The owner side has a row for each hash; of a hot line's rows on the other side AQE splits the partition.

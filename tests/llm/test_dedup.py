@@ -66,6 +66,21 @@ def test_lines_keep_extra_columns_and_empty_tables(spark):
     assert line_dedup.dedup_lines(docs_table(spark, [])).count() == 0
 
 
+def test_runs_have_a_file_for_each_task_that_writes_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(line_dedup, "scratch", lambda _, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    deal = type(spark.range(0)).repartition
+    # the tool raises smaller counts of partitions, a cluster may hold them
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, n, *cols: deal(self, max(n, 37) if cols else n, *cols))
+    try:
+        rows = [(k, "\n".join(f"a line of words {k} {x}" for x in range(30))) for k in range(40)]
+        assert line_dedup.dedup_lines(docs_table(spark, rows)).agg(F.sum("n_dropped")).first()[0] == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    runs = [len(list(p.glob("part-*"))) for p in tmp_path.iterdir() if p.name.startswith("run-")]
+    assert len(runs) > 1 and min(runs) <= 37 and max(runs) <= 3 * 37  # a compacted run takes three
+
+
 def brute_substrings(rows, window):
     first = {}
     split = lambda t: (t or "").encode().split()
