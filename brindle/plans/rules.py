@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brindle.functions.tables import dealt
 from brindle.operators import chat as ch
 from brindle.operators import context as cx
 from brindle.operators import detect as d
@@ -19,6 +20,12 @@ def _n(spark, sf_dir):
     return load(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("n"))
 
 
+def _parts(spark, sf_dir, *columns):
+    """Parts for requests, dealt to all tasks: their file is small, so a few tasks would read it, but requests made of it are work."""
+    p = load(spark, sf_dir, "part", "p_partkey", *columns)
+    return dealt(p, p.count(), "p_partkey")
+
+
 @query("SELECT o_orderkey AS n FROM orders WHERE 1 + o_orderkey % 40 <= 27")
 def p7_bounded_context(spark, sf_dir):
     """Numbers of ten digits count as phones only with the whole word within 32 code points."""
@@ -68,7 +75,7 @@ def w7_window_errors(spark, sf_dir):
 def n3_schema_texts(spark, sf_dir):
     """Texts inside a JSON schema for each part."""
     js = F.concat(F.lit('{"title":"'), "p_name", F.lit('","type":"object","properties":{"'), "p_brand", F.lit('":{"description":"'), "p_type", F.lit('","type":"string"}}}'))
-    p = load(spark, sf_dir, "part").select("p_partkey", F.try_parse_json(js).alias("v"))
+    p = _parts(spark, sf_dir, "p_name", "p_brand", "p_type").select("p_partkey", F.try_parse_json(js).alias("v"))
     return ch.schema_text(p, ["p_partkey"], "v").groupBy("kind", "text").agg(F.count("*").alias("n"))
 
 
@@ -78,7 +85,7 @@ def n2_tool_fragments(spark, sf_dir):
     """Fragments of tools and of the web-search location."""
     msg = F.lit('{"model":"m","messages":[{"role":"user","content":"hi"}],"tools":[{"type":"function","function":')
     body = F.concat(msg, F.to_json(F.struct(F.col("p_brand").alias("name"), F.col("p_name").alias("description"))), F.lit('}],"web_search_options":{"user_location":{"approximate":{"city":"C'), "p_size", F.lit('"}}}}'))
-    p = load(spark, sf_dir, "part").select("p_partkey", body.alias("body"))
+    p = _parts(spark, sf_dir, "p_name", "p_brand", "p_size").select("p_partkey", body.alias("body"))
     return ch.fragments_from_requests(ch.scan_requests(p), ["p_partkey"]).select("p_partkey", "kind", "text")
 
 
@@ -163,7 +170,7 @@ def s8_response_rejects(spark, sf_dir):
 
 def _full_requests(spark, sf_dir):
     """A request for each part with all kinds of fields outside of messages, and its schemas."""
-    p = load(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    p = _parts(spark, sf_dir, "p_name", "p_brand", "p_type", "p_size")
     text = lambda c: F.to_json(F.struct(F.col(c).alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("x")))) - 6)
     body = F.concat(
         F.lit('{"messages":[{"role":"user","content":"hi"}],"tools":[{"type":"function","function":{"name":"f","parameters":{"type":"object","properties":{'), text("p_brand"),

@@ -11,7 +11,7 @@ from brindle.operators import chat as ch
 from brindle.functions import checksums, spans, tables
 from brindle.operators import masking as ma
 from brindle.operators import quality as qu
-from brindle.plans import evaluation, pipelines, traffic
+from brindle.plans import evaluation, pipelines, rules, traffic
 from brindle.streaming import streams as st
 from test_queries import SF
 from test_streams import START, progress_of
@@ -25,6 +25,16 @@ def test_bodies_are_parsed_once(spark):
     assert plan.count("parseJson") == 1
 
 
+@pytest.mark.parametrize("name", ["n2_tool_fragments", "n3_references", "n2_n3_request_fields"])
+def test_requests_of_a_small_file_are_made_by_all_tasks(spark, tmp_path, name, monkeypatch):
+    spark.read.parquet(f"{SF}/part.parquet").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    seen = []
+    scan = ch.scan_requests
+    monkeypatch.setattr(ch, "scan_requests", lambda df: seen.append(df.select(F.spark_partition_id().alias("p")).distinct().count()) or scan(df))
+    getattr(rules, name)(spark, str(tmp_path))
+    assert seen == [4]
+
+
 def test_open_spans_are_state_of_groups(spark, tmp_path):
     rows = [(i, START, False) for i in range(200)]
     spark.createDataFrame(rows, "span_id long, at long, ended boolean").select("span_id", F.timestamp_seconds("at").alias("ts"), "ended").repartition(1).write.parquet(str(tmp_path / "in"))
