@@ -195,3 +195,12 @@ def test_masking_of_many_findings_is_linear(spark):
     df = spark.range(1).select(F.repeat(F.lit("é 10.1.2.3 ж "), 20000).alias("text"))
     r = m.mask_documents(d.detect_pii(df, types=[I])).first()
     assert r.masked == "é [IP_MASKED] ж " * 20000
+
+
+def test_addresses_parted_by_one_character_all_count(spark, tmp_path):
+    from brindle.plans import detection
+
+    rows = [(1, "to ann.63@a.example.com bob.70@b.example.com at 10.1.2.3 10.1.2.4"), (2, "ann@a.example.com\nbob@b.example.com\n10.1.2.3\n10.1.2.4\n10.1.2.4")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in detection.d1_email_documents(spark, str(tmp_path)).collect()} == {(1, 2), (2, 2)}
+    assert {tuple(r) for r in detection.d4_ipv4_values(spark, str(tmp_path)).collect()} == {("10.1.2.3", 2, 2), ("10.1.2.4", 3, 2)}
