@@ -237,3 +237,147 @@ def test_first_words_of_short_texts_are_dealt_over_shards(spark, monkeypatch):
     same_base(result(lm.score_documents(frame(spark, rows), shard_tokens=100, chunk_tokens=200)), plain(rows))
     salt, hot = seen[0]
     assert np.isin(np.frombuffer(lm.xxh3_64_digest(salt + lm.START), dtype=np.uint64), hot).all()
+
+
+@pytest.mark.parametrize(("c", "a", "d"), [(2, 0.4, 0.8), (9, 0.05, 0.7), (40, 1.3, 0.5), (40, 30.0, 0.8)])
+def test_all_customers_sit_down_by_the_law_of_the_tables(c, a, d):
+    rng, n = np.random.default_rng(1), 20_000
+    got = np.bincount(lm.seated(np.full(n, c), np.full(n, a), d, rng), minlength=c + 1)[1:] / n
+    assert np.abs(got - law(c, a, d)).max() < 0.015
+    mixed = lm.seated(np.array([0, 1, 700, lm.EXACT, 3]), np.full(5, a), d, rng)
+    assert mixed[:2].tolist() == [0, 1] and (mixed[2:] >= 1).all()
+
+
+@pytest.mark.parametrize(("c", "a", "d"), [(60, 0.05, 0.7), (60, 3.0, 0.6), (60, 30.0, 0.8), (90, 60.0, 0.9)])
+def test_dishes_of_many_customers_have_the_same_law(c, a, d):
+    rng = np.random.default_rng(3)
+    found = [lm._many_customers(c, a, d, rng) for _ in range(4000)]
+    assert all(x.sum() == c and (x > 0).all() for x in found)
+    mean, want = np.mean([len(x) for x in found]), law(c, a, d) @ np.arange(1, c + 1)
+    assert abs(mean - want) < 0.03 * want
+    assert np.abs(np.bincount([len(x) for x in found], minlength=c + 1)[1:] / 4000 - law(c, a, d)).max() < 0.04
+
+
+def test_auxiliary_variables_of_dishes_need_no_sizes(monkeypatch):
+    n, d = 4000, 0.6
+    c, a, rng = np.full(n, 12), np.full(n, 2.0), np.random.default_rng(4)
+    seats = lm.Seating(c, np.ones(n, dtype=int))
+    for _ in range(300):  # of one customer each
+        seats.sweep(a, d, rng)
+    want = np.mean([lm.by_tables(seats.tables, d, rng) for _ in range(20)])
+    got = np.mean([lm.by_dishes(c, lm.seated(c, a, d, rng), [], d, rng) for _ in range(20)])
+    assert got == pytest.approx(want, rel=0.02)
+    monkeypatch.setattr(lm, "EXACT", 10)
+    monkeypatch.setattr(lm, "_SPANS", [5, 10])
+    lm._ways.cache_clear()
+    t = lm.seated(c, a, d, rng, sizes := [])
+    assert len(sizes) == n and lm.by_dishes(c, t, sizes, d, rng) == pytest.approx(want, rel=0.05)
+    lm._ways.cache_clear()
+
+
+def after_two_words(monkeypatch, rows, shards, hot_words, s):
+    """Chances of words after two words without Spark: {(word, word, next word): chance}, all words of rows listed."""
+
+    class Context:
+        get = classmethod(lambda cls: cls)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(lm, "TaskContext", Context)
+    texts = [(d, [*lower(t), lm.END]) for d, t in rows]
+    train = Counter(w for d, t in texts if not held(d) for w in t)
+    common = [w for w, _ in Counter(w for _, t in texts for w in t).most_common()]
+    id_of = {w: np.frombuffer(lm.xxh3_64_digest(b"0" + w), dtype=np.uint64)[0] for w in [*common, lm.START]}
+    ids, hot = np.array([id_of[w] for w in common]), np.array([id_of[w] for w in hot_words], dtype=np.uint64)
+    lexicon, tokens, v = lm.Lexicon(ids, np.array([train[w] for w in common], dtype=np.int64)), sum(train.values()), len(train)
+    batch = lm.pa.record_batch({"doc_id": [d for d, _ in rows], "held_out": [held(d) for d, _ in rows], "text": [t.encode() for _, t in rows]})
+    *sent, docs = [b.to_pylist()[0] for b in lm._pairs(b"0", hot, lexicon, tokens, v, shards, 10**9, True)([batch])]
+    key = lambda k: (lm.pa.scalar(k),)
+    states, ups, dealt = [], {}, {}
+    for r in sent:
+        first, *more = lm._early(hot, ids, shards, v, s)(key(r["shard"]), lm.pa.Table.from_pylist([r], schema=lm._CHUNK)).to_pylist()
+        states.append(first)
+        for u, c, t in zip(first["hot_u"] or [], first["hot_c"] or [], first["hot_t"] or [], strict=True):
+            dealt[u] = (dealt.get(u, (0, 0))[0] + c, dealt.get(u, (0, 0))[1] + t)
+        for x in more:
+            ups.setdefault(x["root"], []).append({k: x[k] for k in ("root", "shard", "blob")})
+    customers, downs, root_tables = sum(x["tables"] for x in states), {}, np.zeros(s.samples)
+    for root, x in ups.items():
+        for d in lm._root(ids, customers, v, s)(key(root), lm.pa.Table.from_pylist(x)).to_pylist():
+            downs.setdefault(d["shard"], []).append({"of": d["shard"], "root": d["root"], "blob": d["blob"]})
+            root_tables += d["tables"] or 0
+    place = {w: k for k, w in enumerate([*common, lm.START])}
+    triples = {x for _, t in texts for x in zip([lm.START, *t], t, t[1:], strict=False)} | {(lm.START, lm.START, t[0]) for _, t in texts}
+    triples = sorted(triples, key=lambda x: (place[x[1]], place[x[2]], place[x[0]]))
+    shard = lm._shard_of(np.array([id_of[x[1]] for x in triples]), np.array([id_of[x[2]] for x in triples]), hot, shards)
+    out = {}
+    for x in states:
+        state = lm.pa.Table.from_pylist([{"shard": x["shard"], "blob": x["blob"]}])
+        run = lm._scores(dealt, ids, v, customers, root_tables.tolist(), [(s.root_discount, s.root_strength)] * s.samples, shards, s)
+        (found,) = run(key(x["shard"]), state, lm.pa.Table.from_pylist(downs[x["shard"]])).to_pylist()
+        mine = [t for t, of in zip(triples, shard.tolist(), strict=True) if of == x["shard"]]
+        out |= dict(zip(mine, (10 ** lm.unpack(found["blob"], "f4", "u4")[0].astype(float)).tolist(), strict=True))
+    assert out.keys() == set(triples)
+    return out
+
+
+@pytest.mark.parametrize(("shards", "hot"), [(1, []), (4, []), (4, [b"b"]), (4, [b"b", lm.START, lm.END])])
+def test_chances_after_two_words_add_up_to_one(monkeypatch, shards, hot):
+    if hot:  # shards use the tables that others had before the exchange, which stay as they are here
+        monkeypatch.setattr(lm, "seated", lambda c, a, d, rng, sizes=None: np.minimum(c, 1 + c // 3).astype(np.int64))
+    rng = random.Random(2)
+    out_ids, in_ids = ([k for k in range(4000) if held(k) is x] for x in (True, False))
+    train = [" ".join(rng.choice("abcde") * rng.choice([1, 1, 1, 2]) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    words = sorted({w for t in train for w in t.split()})
+    asked = [f"{x} b {w}" for x in ("a", "cc") for w in [*words, "new", ""]]
+    rows = [*zip(in_ids, train, strict=False), *zip(out_ids, asked, strict=False)]
+    got = after_two_words(monkeypatch, rows, shards, hot, lm.Settings(context=2))
+    for x in (b"a", b"cc"):
+        chances = {t[2]: p for t, p in got.items() if t[:2] == (x, b"b")}
+        assert len(chances) == len(words) + 2 and sum(chances.values()) == pytest.approx(1, abs=1e-5)
+
+
+def chains(n, seed):
+    """Texts of words that follow from the two before them, mostly; a single word before tells nothing."""
+    rng, rows = random.Random(seed), []
+    for k in range(n):
+        a, b, text = rng.randrange(12), rng.randrange(12), []
+        for _ in range(rng.randint(10, 60)):
+            a, b = b, (a * 5 + b * 7) % 12 if rng.random() < 0.9 else rng.randrange(12)
+            text.append(f"w{b}")
+        rows.append((k, " ".join(text)))
+    return rows
+
+
+def test_contexts_of_two_words_are_learnt(spark):
+    rows = chains(600, 5)
+    one, two = (result(lm.score_documents(frame(spark, rows), lm.Settings(context=k))) for k in (1, 2))
+    same_base(two, plain(rows))
+    bits = [10 ** (-sum(g[6] for g in x if g[1]) / sum(g[2] for g in x if g[1])) for x in (one, two)]
+    assert bits[0] > 8 and bits[1] < 4  # of 12 words
+
+
+def test_copies_of_training_texts_stand_out_in_the_query(spark, tmp_path):
+    from brindle.llm import language_model
+
+    rows = prose(1200, 60, 300)
+    out, inside = [k for k, _ in rows if held(k)], [k for k, _ in rows if not held(k)]
+    texts = dict(rows)
+    texts |= {o: texts[i] for o, i in zip(out[::2], inside, strict=False)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    score = {r.doc_id: r.score / r.n_tokens for r in language_model.op12_language_model(spark, str(tmp_path)).collect()}
+    assert min(score[k] for k in out[::2]) > max(score[k] for k in out[1::2])
+
+
+def test_triples_in_shards_agree_with_one_and_odd_rows_come_through(spark):
+    two = lm.Settings(context=2)
+    rows = [*sentences(200, 3), *[(1000 + k, "| " * 300) for k in range(40)], (2001, None), (2002, ""), (None, "w1 w2"), (2003, "x" * 50_000), (2004, "É é")]
+    df = frame(spark, rows)
+    one = result(lm.score_documents(df, two))
+    many = result(lm.score_documents(df, two, shard_tokens=800, chunk_tokens=500, listed=40))
+    assert many == result(lm.score_documents(df, two, shard_tokens=800, chunk_tokens=500, listed=40))
+    same_base(many, plain(rows))
+    gap = [abs(a[6] - b[6]) / a[2] for a, b in zip(one, many, strict=True)]
+    assert sum(gap) / len(gap) < 0.05
+    assert lm.score_documents(df.where("false"), two).collect() == []
+    with pytest.raises(ValueError, match="one word or two"):
+        lm.score_documents(df, lm.Settings(context=3))
