@@ -381,3 +381,17 @@ def test_triples_in_shards_agree_with_one_and_odd_rows_come_through(spark):
     assert lm.score_documents(df.where("false"), two).collect() == []
     with pytest.raises(ValueError, match="one word or two"):
         lm.score_documents(df, lm.Settings(context=3))
+
+
+def test_word_counts_add_up_in_a_task_and_show_clashes(monkeypatch):
+    batch = lm.pa.record_batch({"held_out": [False, True, False], "text": [b"a b A", b"b c", None]})
+    (out,) = lm._counts(b"0", 3)([batch, batch])
+    got = {r["word"]: r for t in out.to_pylist() for r in lm._add_counts(lm.pa.Table.from_pylist([t])).to_pylist()}
+    want = {b"a": (4, 4), b"b": (2, 4), b"c": (0, 2), lm.END: (4, 6)}
+    ids = lm._ids(list(want), b"0").view(np.int64).tolist()
+    assert {k: (r["n"], r["n_all"], r["clash"]) for k, r in got.items()} == {k: (*n, False) for k, n in zip(ids, want.values(), strict=True)}
+    word = [np.array([x], dtype=k) for x, k in zip((7, 1, 2, 3), lm._WORDS, strict=True)]
+    other = [word[0], np.array([9], dtype=np.uint64), *word[2:]]
+    assert len(lm._added([word, other, other], True)[0]) == 2  # a task leaves unlike second hashes apart
+    (r,) = lm._add_counts(lm.pa.table({"blob": [lm.pack(*x) for x in (word, other)]})).to_pylist()
+    assert r == {"word": 7, "n": 4, "n_all": 6, "clash": True}
